@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import new_path
+from .quality_crf import quality_scores
 from .token_counts import token_counts
 from .token_store import read_store, write_store
+from .toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     write_store(table(spark, sf_dir, "documents"), path, tokenizer=TOKENIZER)
@@ -28,8 +34,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, tokenizer=TOKENIZER).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_store": op5_token_store, "op7_token_counts": op7_token_counts}
+    return {"op2_quality_crf": op2_quality_crf, "op5_token_store": op5_token_store, "op7_token_counts": op7_token_counts, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
