@@ -1,7 +1,66 @@
-"""Placeholder until the stages' operators are there."""
-STAGES = []
+"""A training corpus from documents: drop toxic text, near-duplicates and benchmark passages, mix, write token ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalens.llm.common import delete, new_path
+from stratalens.llm.decontaminate import decontaminated
+from stratalens.llm.minhash import without_near_duplicates
+from stratalens.llm.mixing import mixed
+from stratalens.llm.token_store import read_store, write_store
+from stratalens.llm.toxicity import toxicity_scores
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    bad = scores.where("predicted = 1").select(F.col("doc_id").alias("bad_id"))
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("bad_id")), "left_anti").select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group."""
+    return without_near_duplicates(docs).select(COLUMNS)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without benchmark passages; n_chars follows the text. Documents that are mostly benchmark go."""
+    clean = decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards the target weights, in globally shuffled order."""
+    return mixed(docs).select(COLUMNS)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed corpus as a verified store of token ids: a row for each document and copy."""
+    path = new_path(spark, "corpus")
+    write_store(docs, path)
+    return read_store(spark, path)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("token_store", write_tokens)]
+
+#: Scores of fitted models, MinHash groups and token ids can't be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written as Parquet and read again by the next."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        path = new_path(spark, f"stage-{name}")
+        out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 from .decontaminate import benchmark_hits
 from .minhash import near_duplicates
+from .mixing import mixed
 from .quality_crf import quality_scores
 from .token_counts import token_counts
 from .token_store import read_store, write_store
@@ -45,6 +46,27 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "mix_key", F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE s AS (SELECT source, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT sum(sqrt(n)) AS w, sum(n) AS n FROM s),
+r AS (SELECT s.source, sqrt(s.n) * t.n * 1.0 / (t.w * s.n) AS rate FROM s, t),
+q AS (SELECT source, greatest(ceil(rate / 16), 1) AS m, rate / greatest(ceil(rate / 16), 1) AS rate FROM r),
+c(source, m, rate, k, p, cdf) AS (
+  SELECT source, m, rate, 0, exp(-rate), exp(-rate) FROM q
+  UNION ALL SELECT source, m, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k < 63),
+u AS (SELECT doc_id, text, documents.source, unnest(range(1, CAST(m AS BIGINT) + 1)) AS i FROM documents JOIN q USING (source)),
+h AS (SELECT doc_id, text, source, i, CAST(CAST('0x' || substr(md5('mix|' || doc_id || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u FROM u),
+x AS (SELECT h.doc_id, any_value(h.text) AS text, h.source, h.i, count(c.k) AS n FROM h LEFT JOIN c ON c.source = h.source AND c.cdf <= h.u GROUP BY h.doc_id, h.source, h.i),
+y AS (SELECT doc_id, any_value(text) AS text, source, sum(n) AS n FROM x GROUP BY doc_id, source),
+z AS (SELECT doc_id, text, source, CAST(unnest(range(0, CAST(n AS BIGINT))) AS INTEGER) AS copy FROM y WHERE n > 0)
+SELECT doc_id, source, copy, substr(md5('mix|' || doc_id || '|' || copy || '|order'), 1, 16) AS mix_key, CAST(strlen(text) AS BIGINT) AS n_bytes FROM z
+"""
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "store")
     write_store(table(spark, sf_dir, "documents"), path, tokenizer=TOKENIZER)
@@ -79,8 +101,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op5_token_store": op5_token_store, "op7_token_counts": op7_token_counts, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
+    return {"op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op7_token_counts": op7_token_counts, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL, "op9_minhash_dedup": OP9_SQL}
