@@ -12,6 +12,8 @@ from .decontaminate import benchmark_hits
 from .minhash import near_duplicates
 from .mixing import mixed
 from .quality_crf import quality_scores
+from .quality_rules import rule_quality
+from .secrets import scan_secrets
 from .token_counts import token_counts
 from .token_store import read_store, write_store
 from .toxicity import toxicity_scores
@@ -73,11 +75,29 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path, tokenizer=TOKENIZER)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x.rank < 3)
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.s, x.e)), ",")
+
+    def number(kind):
+        return F.size(F.filter("secrets", lambda x: x.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts(docs, tokenizer=TOKENIZER).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -101,7 +121,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op7_token_counts": op7_token_counts, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
+    return {"op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op6_secret_scan": op6_secret_scan, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
