@@ -14,6 +14,7 @@ from .mixing import mixed
 from .quality_crf import quality_scores
 from .quality_rules import rule_quality
 from .secrets import scan_secrets
+from .suffix_dedup import without_repeats
 from .token_counts import token_counts
 from .token_store import read_store, write_store
 from .toxicity import toxicity_scores
@@ -25,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -121,7 +126,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op6_secret_scan": op6_secret_scan, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op6_secret_scan": op6_secret_scan, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
