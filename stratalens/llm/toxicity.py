@@ -184,7 +184,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     ids = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     gold = labels.where(col(label).isNotNull()).select(col(doc_id).alias("gold_id"), col(label).alias("label")).dropDuplicates(["gold_id"])
     fold_of = F.pmod(F.crc32(F.col("gold_id").cast("string").cast("binary")), F.lit(folds))
-    learn = ids.where(~fold.isin(held, calibrate)).join(gold.where(~fold_of.isin(held, calibrate)), F.col("doc_id") == F.col("gold_id"))
+    # labels grow with the corpus, so they are never broadcast: one plan at every size
+    learn = ids.where(~fold.isin(held, calibrate)).join(gold.where(~fold_of.isin(held, calibrate)).hint("merge"), F.col("doc_id") == F.col("gold_id"))
     model = docs.sparkSession.sparkContext.broadcast(Ratios(ngram_ratios(word_counts(learn, "text", "label"), order), order, buckets))
 
     def score(batches):
@@ -196,7 +197,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
 
     kind = docs.schema[doc_id].dataType.simpleString()
     raw = stored(arrow_map(ids, score, f"doc_id {kind}, raw double, n_words bigint"), "toxic")
-    known = raw.where(fold == calibrate).join(gold, F.col("doc_id") == F.col("gold_id"))
+    known = raw.where(fold == calibrate).join(gold.hint("merge"), F.col("doc_id") == F.col("gold_id"))
     bins = known.groupBy(F.round(F.greatest(F.least("raw", F.lit(40.0)), F.lit(-40.0)), 2).alias("x")).agg(F.count_if(F.col("label") == 1).alias("one"), F.count_if(F.col("label") != 1).alias("zero"))
     a, b = _logistic([(r.x, r.one, r.zero) for r in bins.collect()])  # at most 8,001 bins
     p = 1 / (1 + F.exp(-(F.lit(a) * F.col("raw") + F.lit(b))))
