@@ -77,7 +77,7 @@ def stop_histogram(runs: DataFrame) -> DataFrame:
 def ablation_summary(rows: DataFrame, arm: str = "arm") -> DataFrame:
     """arm, recall_1, recall_3, mapping_accuracy, unresolved, tokens: conditional means, rounded to three places."""
     r = lambda c: F.round(F.avg(c), 3)
-    return rows.groupBy(arm).agg(r((F.col("rank") == 1).cast("double")).alias("recall_1"), r((F.coalesce("rank", F.lit(99)) <= 3).cast("double")).alias("recall_3"), r(F.col("mapped_ok").cast("double")).alias("mapping_accuracy"), r(F.col("rank").isNull().cast("double")).alias("unresolved"), F.sum("tokens").alias("tokens"))
+    return rows.groupBy(arm).agg(r((F.coalesce("rank", F.lit(99)) == 1).cast("double")).alias("recall_1"), r((F.coalesce("rank", F.lit(99)) <= 3).cast("double")).alias("recall_3"), r(F.col("mapped_ok").cast("double")).alias("mapping_accuracy"), r(F.col("rank").isNull().cast("double")).alias("unresolved"), F.sum("tokens").alias("tokens"))
 
 
 def trace_summary(events: DataFrame) -> DataFrame:
