@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
@@ -13,6 +13,8 @@ from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, st
 
 #: Words of a shingle; bands and rows of the signature (BANDS * ROWS bins).
 SHINGLE, BANDS, ROWS = 5, 36, 7
+#: Centres that an open bucket takes in one round after the first, each from another component, small ones first.
+STARS = 16
 #: A-Z lower-cased; space and 09-0D separate words.
 _NORM = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c for c in range(256))
 _EMPTY = U(2**64 - 1)
@@ -145,9 +147,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts with equal shingle sets are one class, linked without comparing. Class representatives meet in buckets of
     equal bands. A bucket of one isn't kept; in another, each member is compared with one centre: the member that
     shares most buckets, which among near copies is their common source. Links are confirmed on full sets and
-    contracted to components; while a bucket still holds several components, a further centre is taken from the
-    smallest of them and compared with the others' members, then leaves the bucket. So pairs inside a component are never
-    made, and every pair of different components that shares a bucket is confirmed or refuted.
+    contracted to components; while a bucket still holds several components, further centres are taken from up to STARS
+    of the smaller ones, compared with the members of other components, and leave the bucket. So pairs inside a component
+    are never made, a round makes at most STARS pairs for each member, and every pair of different components that shares
+    a bucket is confirmed or refuted.
 
     A pair at the threshold shares no bucket with probability (1 - 0.85^7)^36, about 1e-6; such a pair is missed only
     if no chain of others links it. Texts without words have no links: component_id is their own id. Repeated ids are
@@ -169,21 +172,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while True:
         here = members.join(comp, "id")
         if links is None:
-            centre = here.groupBy("bucket").agg(F.max_by("id", F.struct("fame", "id")).alias("c"))
+            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"))
         else:
             sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by("id", F.struct("fame", "id")).alias("c"))
-            centre = sizes.groupBy("bucket").agg(F.min_by("c", F.struct("n", "comp")).alias("c"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "c")
+            by_size = Window.partitionBy("bucket").orderBy("n", "comp")
+            ranked = sizes.withColumn("rank", F.row_number().over(by_size)).withColumn("more", F.lead("n").over(by_size))
+            centre = ranked.where((F.col("rank") <= STARS) & F.col("more").isNotNull()).select("bucket", "c", F.col("comp").alias("c_comp"))
         centre = stored(centre, "centres")
         if centre.isEmpty():
             break
-        centre = centre.join(comp.select(F.col("id").alias("c"), F.col("comp").alias("c_comp")), "c")
         met = here.join(centre, "bucket").where("comp <> c_comp").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-        fresh = _confirmed(met, sets, percent)
-        links = stored(fresh if links is None else links.unionByName(fresh), "links")
-        groups = connected_components(links, "a", "b")
-        comp = stored(wanted.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "comp")
-        # only buckets with several components stay, without the centre that has met all of them
-        left = members.join(centre.select("bucket", "c"), "bucket").where("id <> c").select("bucket", "id", "fame")
+        fresh = stored(_confirmed(met, sets, percent), "links")
+        if not fresh.isEmpty():
+            links = fresh if links is None else links.unionByName(fresh)
+            groups = connected_components(links, "a", "b")
+            comp = stored(wanted.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "comp")
+        elif links is None:
+            links = fresh
+        # only buckets with several components stay, without the centres that have met all others in them
+        left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
         open_ = left.join(comp, "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         members = stored(left.join(open_, "bucket", "left_semi"), "members")
         if members.isEmpty():
