@@ -155,7 +155,8 @@ def json_text(answer: Column | str) -> Column:
     """The JSON in an answer, with or without a code fence around it."""
     a = _col(answer)
     fenced = F.regexp_extract(a, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(fenced != "", fenced).otherwise(F.regexp_extract(a, r"(?s)([\{\[].*[\}\]])", 1)))
+    found = F.when(fenced != "", fenced).otherwise(F.regexp_extract(a, r"(?s)([\{\[].*[\}\]])", 1))
+    return F.regexp_replace(found, r"^\s+|\s+$", "")
 
 
 def query_terms(query: str) -> list[tuple[str, str]]:
