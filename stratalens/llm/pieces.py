@@ -115,7 +115,7 @@ class Pieces:
     def starts(self, text: str) -> list[tuple[int, int]]:
         """(character offset, id) of each token, as the library gives them."""
         if self.is_model:
-            return [(p.begin, p.id) for p in self.sp.encode(text, out_type="immutable_proto").pieces]
+            return [(p.begin, p.id) for p in self.sp.encode(text, return_type="proto").pieces]
         e = self.lib.encode(text, add_special_tokens=False)
         return [(a, i) for (a, _), i in zip(e.offsets, e.ids, strict=True)]
 

@@ -219,6 +219,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             k, a, z, core, cls = anchors(data, off)
             keep = _in(maybe, mix(core * U(3) + cls))
             k, a, z, core, cls = k[keep], a[keep], z[keep], core[keep], cls[keep]
+            if not len(k):
+                return
             # neighbouring runs of one class (periodic text) are one row
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (cls[1:] != cls[:-1]) | (core[1:] != core[:-1]) | (a[1:] != z[:-1] + 1)

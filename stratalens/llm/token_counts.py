@@ -25,7 +25,7 @@ def stable_boundary(enc: Pieces, text: str, cut: int, overlap: int) -> int | Non
     The text around the cut is encoded twice: from ``overlap`` characters before it, and from the cut on. A common
     boundary is one where both have a token starting and agree on all that follows up to the end of the overlap. It is
     proven if white space precedes it under a tokenizer that drops white space; for others ``AGREE`` equal tokens must
-    follow. Widened by doubling; None if the text ends first.
+    follow, and the halves encoded apart must give the tokens of the whole. Widened by doubling; None if the text ends first.
     """
     while cut + overlap < len(text):
         lo, hi = max(0, cut - overlap), cut + overlap
@@ -38,12 +38,18 @@ def stable_boundary(enc: Pieces, text: str, cut: int, overlap: int) -> int | Non
             if enc.dropping:
                 if place > cut and text[place - 1] in " \n":
                     return place
-            elif place > cut and len(right) - k >= AGREE:
+            elif place > cut and len(right) - k >= AGREE and enc.ids([text[lo:place], text[place:hi]]) == _halves(enc, text[lo:hi], a_ids=[i for x, i in left if x < place]):
                 return place
         overlap *= 2
     return None
 
 
+def _halves(enc: Pieces, text: str, a_ids: list[int]) -> list[bytes]:
+    whole, = enc.ids([text])
+    n = len(a_ids) * enc.kind.itemsize
+    return [whole[:n], whole[n:]]
+
+
 def spliced(enc: Pieces, text: str, chunk: int, overlap: int) -> Iterator[str]:
     """Parts of a text whose tokens, one part after another, are the text's."""
     begin, cut = 0, chunk
