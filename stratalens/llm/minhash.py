@@ -12,9 +12,10 @@ from stratalens.operators.components import connected_components
 from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, stored
 
 #: Words of a shingle; bands and rows of the signature (BANDS * ROWS bins).
-SHINGLE, BANDS, ROWS = 5, 36, 7
-#: Centres that an open bucket takes in one round after the first, each from another component, small ones first.
-STARS = 16
+SHINGLE, BANDS, ROWS = 5, 64, 12
+#: Centres that an open bucket takes in one round after the first, each from another component, small ones first. As
+#: buckets close, those left take more: a round makes at most STARS pairs for each member that there was at first.
+STARS = 8
 #: A-Z lower-cased; space and 09-0D separate words.
 _NORM = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c for c in range(256))
 _EMPTY = U(2**64 - 1)
@@ -119,7 +120,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges whose full sets satisfy 100 * |intersection| >= percent * |union|."""
-    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
 
     def compare(batches):
         for b in batches:
@@ -147,41 +148,44 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts with equal shingle sets are one class, linked without comparing. Class representatives meet in buckets of
     equal bands. A bucket of one isn't kept; in another, each member is compared with one centre: the member that
     shares most buckets, which among near copies is their common source. Links are confirmed on full sets and
-    contracted to components; while a bucket still holds several components, further centres are taken from up to STARS
-    of the smaller ones, compared with the members of other components, and leave the bucket. So pairs inside a component
-    are never made, a round makes at most STARS pairs for each member, and every pair of different components that shares
-    a bucket is confirmed or refuted.
+    contracted to components; while a bucket still holds several components, further centres are taken from some of
+    the smaller ones, compared with the members of other components, and leave the bucket. So pairs inside a component
+    are never made, a round makes at most STARS pairs for each first member, and every pair of different components that
+    shares a bucket is confirmed or refuted.
 
-    A pair at the threshold shares no bucket with probability (1 - 0.85^7)^36, about 1e-6; such a pair is missed only
-    if no chain of others links it. Texts without words have no links: component_id is their own id. Repeated ids are
+    A pair at the threshold shares no bucket with probability (1 - 0.85^12)^64, about 5e-5, one at 0.9 with 6e-10; such
+    a pair is missed only if no chain of others links it. Pairs whose sizes alone rule the threshold out aren't made. Texts without words have no links: component_id is their own id. Repeated ids are
     one document. Null ids stay rows of their own: they join groups by their sets, but never name one unless all its
     ids are null.
     """
     all_docs = stored(sketches(docs, doc_id, text, shingle, bands, rows), "sketch")
     classes = all_docs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", F.col("id").alias("doc_id")), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    # tables here grow with the corpus, so joins are merge joins at every size: skew is split, nothing is broadcast
+    reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", F.col("id").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
     full = reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = stored(reps.join(full.select("bucket", "n"), "bucket").distinct(), "buckets")
+    members = stored(reps.join(full.select("bucket", "n").hint("merge"), "bucket").distinct(), "buckets")
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
-    members = stored(members.select("bucket", "id").join(fame, "id"), "members")
+    members = stored(members.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id"), "members")
     wanted = members.select("id").distinct()
     texts = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text"))
-    sets = stored(_sets(texts.join(wanted, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    sets = stored(_sets(texts.join(wanted.hint("merge"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
     comp = wanted.select("id", F.col("id").alias("comp"))
+    at_first = rows = members.count()
     links = None
     while True:
-        here = members.join(comp, "id")
+        here = members.join(comp.hint("merge"), "id")
         if links is None:
-            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"))
+            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"))
         else:
-            sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by("id", F.struct("fame", "id")).alias("c"))
+            sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles"), F.struct("fame", "id")).alias("x"))
             by_size = Window.partitionBy("bucket").orderBy("n", "comp")
             ranked = sizes.withColumn("rank", F.row_number().over(by_size)).withColumn("more", F.lead("n").over(by_size))
-            centre = ranked.where((F.col("rank") <= STARS) & F.col("more").isNotNull()).select("bucket", "c", F.col("comp").alias("c_comp"))
+            centre = ranked.where((F.col("rank") <= STARS * at_first // max(rows, 1)) & F.col("more").isNotNull()).select("bucket", F.col("x.id").alias("c"), F.col("comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"))
         centre = stored(centre, "centres")
         if centre.isEmpty():
             break
-        met = here.join(centre, "bucket").where("comp <> c_comp").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        near = 100 * F.least("n_shingles", "c_size") >= percent * F.greatest("n_shingles", "c_size")
+        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         fresh = stored(_confirmed(met, sets, percent), "links")
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
@@ -191,9 +195,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = fresh
         # only buckets with several components stay, without the centres that have met all others in them
         left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
-        open_ = left.join(comp, "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = left.join(comp.hint("merge"), "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         members = stored(left.join(open_, "bucket", "left_semi"), "members")
-        if members.isEmpty():
+        rows = members.count()
+        if not rows:
             break
     of_class = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
     out = all_docs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
