@@ -16,6 +16,8 @@ SHINGLE, BANDS, ROWS = 5, 64, 12
 #: Centres that an open bucket takes in one round after the first, each from another component, small ones first. As
 #: buckets close, those left take more: a round makes at most STARS pairs for each member that there was at first.
 STARS = 8
+#: Cells of the shingle counts by which pairs are ruled out before their sets are compared.
+CELLS = 128
 #: A-Z lower-cased; space and 09-0D separate words.
 _NORM = bytes(c + 32 if 0x41 <= c <= 0x5A else 0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c for c in range(256))
 _EMPTY = U(2**64 - 1)
@@ -86,8 +88,24 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
+def cell_counts(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each set by hash cell, and which sets have at most 127 in every cell."""
+    n = len(off) - 1
+    cells = np.bincount(np.repeat(np.arange(n), np.diff(off)) * CELLS + (mix(h ^ U(0xA24BAED4)) % U(CELLS)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS)
+    return cells, (cells <= 127).all(1)
+
+
+def _may_be_near(percent: int):
+    """Whether two members can reach the threshold: by their sizes, and by their cells. Exact, since an intersection has
+    no more shingles in a cell than either set; sets with an overfull cell have no cells and aren't ruled out by them."""
+    a, b = F.col("n_shingles"), F.col("c_size")
+    both = F.aggregate(F.zip_with("cells", "c_cells", lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    known = (F.size("cells") > 0) & (F.size("c_cells") > 0)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (~known | (100 * both >= percent * (a + b - both)))
+
+
 def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes that stand for the whole set; null if it is empty), bands."""
+    """doc_id, n_shingles, set_key (16 bytes that stand for the whole set; null if it is empty), bands, cells."""
 
     def sketch(batches):
         for batch in batches:
@@ -98,13 +116,15 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int,
                 key = np.stack([one[off[1:]] - one[off[:-1]], two[off[1:]] - two[off[:-1]]], 1)
                 keys = band_keys(signatures(h, off, bands * rows), rows)
                 at = np.where(size > 0, bands, 0)
+                cells, fits = cell_counts(h, off)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), pa.array(size), pa.array([k.tobytes() if s else None for k, s in zip(key, size, strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), as_long(keys[size > 0].ravel())),
-                ], names=["doc_id", "n_shingles", "set_key", "bands"])
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(fits, CELLS, 0))]).astype(np.int32)), pa.array(cells[fits].ravel().astype(np.int8))),
+                ], names=["doc_id", "n_shingles", "set_key", "bands", "cells"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return arrow_map(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>")
+    return arrow_map(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), sketch, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, cells array<tinyint>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -154,7 +174,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shares a bucket is confirmed or refuted.
 
     A pair at the threshold shares no bucket with probability (1 - 0.85^12)^64, about 5e-5, one at 0.9 with 6e-10; such
-    a pair is missed only if no chain of others links it. Pairs whose sizes alone rule the threshold out aren't made. Texts without words have no links: component_id is their own id. Repeated ids are
+    a pair is missed only if no chain of others links it. Pairs that their sizes or their
+    shingle counts by hash cell rule out aren't made. Texts without words have no links: component_id is their own id. Repeated ids are
     one document. Null ids stay rows of their own: they join groups by their sets, but never name one unless all its
     ids are null.
     """
@@ -164,8 +185,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", F.col("id").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
     full = reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     members = stored(reps.join(full.select("bucket", "n").hint("merge"), "bucket").distinct(), "buckets")
+    cells = all_docs.where("set_key IS NOT NULL").select(F.col("doc_id").alias("id"), "cells").join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
-    members = stored(members.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id"), "members")
+    members = stored(members.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
     wanted = members.select("id").distinct()
     texts = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text"))
     sets = stored(_sets(texts.join(wanted.hint("merge"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
@@ -175,17 +197,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     while True:
         here = members.join(comp.hint("merge"), "id")
         if links is None:
-            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"))
+            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles", "cells"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
         else:
-            sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles"), F.struct("fame", "id")).alias("x"))
+            sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles", "cells"), F.struct("fame", "id")).alias("x"))
             by_size = Window.partitionBy("bucket").orderBy("n", "comp")
             ranked = sizes.withColumn("rank", F.row_number().over(by_size)).withColumn("more", F.lead("n").over(by_size))
-            centre = ranked.where((F.col("rank") <= STARS * at_first // max(rows, 1)) & F.col("more").isNotNull()).select("bucket", F.col("x.id").alias("c"), F.col("comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"))
+            centre = ranked.where((F.col("rank") <= STARS * at_first // max(rows, 1)) & F.col("more").isNotNull()).select("bucket", F.col("x.id").alias("c"), F.col("comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
         centre = stored(centre, "centres")
         if centre.isEmpty():
             break
-        near = 100 * F.least("n_shingles", "c_size") >= percent * F.greatest("n_shingles", "c_size")
-        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & near).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
         fresh = stored(_confirmed(met, sets, percent), "links")
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
