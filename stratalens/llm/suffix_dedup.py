@@ -28,9 +28,9 @@ from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, st
 #: Bytes of a string whose repetition counts; grams that anchor windows and how many of them a window chooses from.
 LENGTH, GRAM, SPAN = 200, 16, 128
 #: Bytes of text hashed at a time, and window starts of a huge text handled at a time.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Bytes of class texts that one suffix array spans; a core's group beyond it is settled by counting.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
 #: Bits of the two filters that tell which anchors the second scan reports: 8 MB each, whatever the corpus.
 FILTER_BITS = 1 << 26
 
