@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, stored
+from .common import Rolling, U, arrow_map, as_long, col, delete, joined, mix, new_path, slices, stored
 
 #: Bytes of a string whose repetition counts; grams that anchor windows and how many of them a window chooses from.
 LENGTH, GRAM, SPAN = 200, 16, 128
@@ -194,12 +194,16 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return _scan(batches, of)
 
     found = arrow_map(source, classes, "core bigint, cls bigint, n bigint, rep bigint")
-    counted = found.groupBy("core", "cls").agg(F.sum("n").alias("n"), F.min("rep").alias("rep"))
+    spark = docs.sparkSession
+    # both sides of the join below need the counts: written once, or the texts would be hashed for each side
+    path = new_path(spark, "counted")
+    found.groupBy("core", "cls").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")).write.option("compression", "zstd").parquet(path)
+    counted = spark.read.parquet(path)
     kinds = counted.groupBy("core").agg(F.sum("n").alias("all_n"), F.count("*").alias("kinds")).where("all_n > 1")
     # a class: repeated (n > 1), or alone in a core with other classes; open: its core has several classes
     known = stored(counted.join(kinds, "core").select("core", "cls", "n", "rep", "kinds"), "classes")
+    delete(spark, path)
     open_ = known.where("kinds > 1")
-    spark = docs.sparkSession
 
     def keyed(df, with_rep):
         def key(batches):
