@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, delete, free_name, mix, new_path, slices
+from .common import arrow_map, col, delete, free_name, mix, new_path, slices, stored
 from .pieces import pieces
 
 #: Chunk sizes in ids: least, most, and the mean distance between content-defined cuts.
@@ -67,6 +67,28 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_ids, root of each part of the recipes, as a manifest states them."""
+
+    def manifest(batches):
+        part, roots, n_ids, some = None, [], 0, False
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([merkle(roots)], pa.binary())], names=["part", "n_docs", "n_ids", "root"])
+
+        for b in batches:
+            for p, n, r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if some and p != part:
+                    yield row()
+                    roots, n_ids = [], 0
+                part, n_ids, some = p, n_ids + (n or 0), True
+                roots.append(r or b"")
+        if some:
+            yield row()
+
+    return arrow_map(recipes.repartition("part").sortWithinPartitions("part", "doc_id", "row").select("part", "n_ids", "root"), manifest, "part int, n_docs bigint, n_ids bigint, root binary")
+
+
 def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 1) -> None:
     """Encode whole texts (null: empty) and write the store under ``path``.
 
@@ -126,20 +148,7 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     flat = arrow_map(recipes, rooted, "doc_id bigint, row bigint, n_ids bigint, digests array<binary>, root binary")
     flat.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select(F.spark_partition_id().alias("part"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    def manifest(batches):
-        part, roots, n_ids = None, [], 0
-        for b in batches:
-            for p, n, r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if p != part and part is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([merkle(roots)], pa.binary())], names=["part", "n_docs", "n_ids", "root"])
-                    roots, n_ids = [], 0
-                part, n_ids = p, n_ids + n
-                roots.append(r)
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(roots)], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([merkle(roots)], pa.binary())], names=["part", "n_docs", "n_ids", "root"])
-
-    read = spark.read.parquet(f"{path}/recipes")
-    arrow_map(read.repartition("part").sortWithinPartitions("part", "doc_id", "row").select("part", "n_ids", "root"), manifest, "part int, n_docs bigint, n_ids bigint, root binary").write.parquet(f"{path}/manifest")
+    _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     delete(spark, raw)
 
 
@@ -175,8 +184,11 @@ def read_store(spark: SparkSession, path: str, tokenizer: str = "word_bpe_49k.js
 
     Each chunk's data is hashed against its digest and its ids summed up as a CRC-32 over ``width``-byte little-endian
     ids, so no stream needs to be joined together in one place: the parts' sums combine by the ids that follow them.
-    verified: all chunks are there, match their digests, and the recipe's Merkle root is theirs.
-    start counts the ids of all documents before, in the order of the recipes.
+    verified: all chunks are there and match their digests, the recipe's Merkle root is that of its digests and its n_ids
+    is the number of ids in them, and the root, documents and ids of its part are those of the manifest. A part of which
+    the manifest tells but that has no recipes makes every document unverified, since no row of its own can say so.
+    n_tokens and start count the ids of the chunks that were read; start counts those of all documents before, in the
+    order of the recipes.
     """
 
     def check(batches):
@@ -192,22 +204,38 @@ def read_store(spark: SparkSession, path: str, tokenizer: str = "word_bpe_49k.js
 
     chunks = arrow_map(spark.read.parquet(f"{path}/chunks").select("digest", "data"), check, "digest binary, crc bigint, n bigint, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
-    found = recipes.select("part", "doc_id", "row", "n_ids", "root", F.posexplode_outer("digests").alias("pos", "digest")).join(chunks, "digest", "left")
+
+    def rooted(batches):
+        for b in batches:
+            whole = [d is not None and None not in d and merkle(d) == r for d, r in zip(b.column(5).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(whole, pa.bool_()), b.column(5)], names=["part", "doc_id", "row", "n_ids", "whole", "digests"])
+
+    held = arrow_map(recipes.select("part", "doc_id", "row", "n_ids", "root", "digests"), rooted, "part int, doc_id bigint, row bigint, n_ids bigint, whole boolean, digests array<binary>")
+    found = held.select("part", "doc_id", "row", "n_ids", "whole", F.posexplode_outer("digests").alias("pos", "digest")).join(chunks, "digest", "left")
     after = Window.partitionBy("part", "doc_id", "row").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
     moved = found.withColumn("zeros", F.coalesce(F.sum("n").over(after), F.lit(0)) * width)
 
     def shift(batches):
         for b in batches:
             crc = np.asarray(b.column(5).fill_null(0), np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(crc_shifted(crc, np.asarray(b.column(6), np.int64)).astype(np.int64)), b.column(7), b.column(8), b.column(9)], names=["part", "doc_id", "row", "n_ids", "root", "crc", "good", "pos", "digest"])
-
-    shifted = arrow_map(moved.select("part", "doc_id", "row", "n_ids", "root", "crc", "zeros", F.coalesce("good", F.col("digest").isNull()).alias("good"), "pos", "digest"), shift, "part int, doc_id bigint, row bigint, n_ids bigint, root binary, crc bigint, good boolean, pos int, digest binary")
-    docs = shifted.groupBy("part", "doc_id", "row", "n_ids").agg(F.bit_xor("crc").alias("ids_crc32"), F.every("good").alias("verified"))
-    # running totals: within a part by a window, before a part by the manifest (one row for each file's worth of recipes)
-    before = spark.read.parquet(f"{path}/manifest").select("part", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(crc_shifted(crc, np.asarray(b.column(6), np.int64)).astype(np.int64)), b.column(7), b.column(8)], names=["part", "doc_id", "row", "n_ids", "whole", "crc", "n", "good"])
+
+    shifted = arrow_map(moved.select("part", "doc_id", "row", "n_ids", "whole", "crc", "zeros", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.col("pos").isNull()).alias("good")), shift, "part int, doc_id bigint, row bigint, n_ids bigint, whole boolean, crc bigint, n bigint, good boolean")
+    # repeated recipe rows count their chunks together, so the number of ids gives them away
+    docs = shifted.groupBy("part", "doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"), (F.every("good") & F.every("whole") & F.every(F.col("n_ids").isNotNull()) & (F.min("n_ids") == F.max("n_ids")) & (F.sum("n") == F.max("n_ids"))).alias("good"))
+    docs = stored(docs, "read")
+    # parts as they are against the manifest; running totals within a part by a window, before a part by its rows (one
+    # row for each file's worth of recipes)
+    told = spark.read.parquet(f"{path}/manifest").groupBy("part").agg(F.count("*").alias("times"), F.max(F.struct("n_docs", "n_ids", "root")).alias("told"))
+    ids = docs.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    parts = _part_roots(recipes).select("part", F.struct("n_docs", "n_ids", "root").alias("seen")).join(told, "part", "full").join(ids, "part", "left")
+    parts = parts.select(
+        "part", (F.coalesce(F.col("seen") == F.col("told"), F.lit(False)) & (F.coalesce("times", F.lit(0)) == 1) & (F.count_if(F.col("seen").isNull()).over(Window.partitionBy()) == 0)).alias("as_told"),
+        F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
     within = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        docs.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
-        .join(F.broadcast(before), "part")
-        .select("doc_id", (F.col("before") + F.col("inside")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32", "verified")
+        docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+        .join(F.broadcast(parts), "part", "left")
+        .select("doc_id", (F.coalesce("before", F.lit(0)) + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", F.coalesce(F.col("good") & F.col("as_told"), F.lit(False)).alias("verified"))
     )

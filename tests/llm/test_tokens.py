@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from stratalens.llm import token_counts as C
 from stratalens.llm import token_store as T
@@ -65,6 +67,40 @@ def test_store_round_trip(spark, docs):
     assert T.read_store(spark, empty).count() == 0
 
 
+def test_store_altered(spark, docs):
+    """Recipes and manifests that were changed are noticed, and counts are those of the ids read."""
+    path = new_path(spark, "w")
+    T.write_store(docs.where("doc_id IS NOT NULL").repartition(3), path)
+    true = {(r.doc_id, r.start): r.n_tokens for r in T.read_store(spark, path).where("verified").collect()}
+    assert len(true) == len(TEXTS) + 1
+    long_id = spark.read.parquet(f"{path}/recipes").orderBy(F.size("digests").desc()).first().doc_id
+    other = F.first("digests").over(Window.orderBy(F.col("doc_id").desc()))
+
+    def altered(recipes=lambda x: x, manifest=lambda x: x):
+        bad = new_path(spark, "x")
+        spark.read.parquet(f"{path}/chunks").write.parquet(f"{bad}/chunks")
+        recipes(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{bad}/recipes")
+        manifest(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{bad}/manifest")
+        return T.read_store(spark, bad).collect()
+
+    def here(value):
+        return F.when(F.col("doc_id") == long_id, value)
+
+    for d in (F.reverse("digests"), F.slice("digests", 1, F.size("digests") - 1), F.concat("digests", "digests"), other):
+        rows = altered(lambda x, d=d: x.withColumn("digests", here(d).otherwise(F.col("digests"))))
+        assert len(rows) == len(true) and not any(r.verified for r in rows if r.doc_id == long_id)
+        assert sum(r.verified for r in rows) == len(true) - 1
+    rows = altered(lambda x: x.withColumn("n_ids", F.col("n_ids") + 1))
+    assert not any(r.verified for r in rows) and {(r.doc_id, r.start): r.n_tokens for r in rows} == true
+    assert not any(r.verified for r in altered(lambda x: x.withColumn("root", F.unhex(F.md5("root")))))
+    rows = altered(lambda x: x.where(F.col("doc_id") != long_id))
+    part = {r.doc_id: r.part for r in spark.read.parquet(f"{path}/recipes").collect()}
+    assert len(rows) < len(true) and not any(r.verified for r in rows if part[r.doc_id] == part[long_id])
+    for change in (lambda x: x.withColumn("root", F.unhex(F.md5("root"))), lambda x: x.withColumn("n_docs", F.col("n_docs") + 1), lambda x: x.withColumn("n_ids", F.col("n_ids") + 1), lambda x: x.limit(0), lambda x: x.union(x.selectExpr("part + 100", "n_docs", "n_ids", "root"))):
+        rows = altered(manifest=change)
+        assert not any(r.verified for r in rows) and {(r.doc_id, r.start): r.n_tokens for r in rows} == true
+
+
 def test_chunks_follow_content():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 49000, 20000).astype("<u2")
