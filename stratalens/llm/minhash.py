@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,8 +13,10 @@ from stratalens.operators.components import connected_components
 
 from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, stored
 
-#: Words of a shingle; bands and rows of the signature (BANDS * ROWS bins).
-SHINGLE, BANDS, ROWS = 5, 64, 12
+#: Words of a shingle.
+SHINGLE = 5
+#: Chance at most with which a pair at the threshold shares no band, and bands that a signature has where they suffice.
+MISS, BANDS = 1e-6, 64
 #: Centres that an open bucket takes in one round after the first, each from another component, small ones first. As
 #: buckets close, those left take more: a round makes at most STARS pairs for each member that there was at first.
 STARS = 8
@@ -80,6 +84,21 @@ def signatures(h: np.ndarray, off: np.ndarray, bins: int) -> np.ndarray:
     return sig
 
 
+def banding(percent: int, miss: float = MISS, most: int = BANDS) -> tuple[int, int]:
+    """Bands and rows for a threshold: as many rows as ``most`` bands allow with (1 - threshold^rows)^bands <= miss.
+
+    Where even one row a band needs more, there are more bands.
+    """
+    share = min(percent, 100) / 100
+    if share >= 1:
+        return 1, 16
+    need = lambda rows: math.ceil(math.log(miss) / math.log1p(-(share**rows)))
+    rows = 1
+    while need(rows + 1) <= most:
+        rows += 1
+    return need(rows), rows
+
+
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     n, bins = sig.shape
     key = np.tile(np.arange(bins // rows, dtype=U), (n, 1))
@@ -162,7 +181,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.select("a", "b", "x", "y"), compare, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (doc_id = component_id).
 
     Texts with equal shingle sets are one class, linked without comparing. Class representatives meet in buckets of
@@ -173,12 +192,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are never made, a round makes at most STARS pairs for each first member, and every pair of different components that
     shares a bucket is confirmed or refuted.
 
-    A pair at the threshold shares no bucket with probability (1 - 0.85^12)^64, about 5e-5, one at 0.9 with 6e-10; such
-    a pair is missed only if no chain of others links it. Pairs that their sizes or their
+    Bands and rows follow ``percent`` so that a pair at the threshold shares no bucket with probability ``miss`` at most
+    (at 85: 64 bands of 10, 8e-7); such a pair is missed only if no chain of others links it. Pairs that their sizes or their
     shingle counts by hash cell rule out aren't made. Texts without words have no links: component_id is their own id. Repeated ids are
     one document. Null ids stay rows of their own: they join groups by their sets, but never name one unless all its
     ids are null.
     """
+    bands, rows = banding(percent, miss)
     all_docs = stored(sketches(docs, doc_id, text, shingle, bands, rows), "sketch")
     classes = all_docs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     # tables here grow with the corpus, so joins are merge joins at every size: skew is split, nothing is broadcast

@@ -138,6 +138,32 @@ def test_near_duplicates_match_brute_force(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [i for i, _, c, kept in want if kept]
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_bands_follow_threshold(spark, percent):
+    """Single pairs just above a threshold below the usual one are linked, and no band count misses more than 1e-6."""
+    rng, rows = random.Random(percent), []
+    for k in range(60):
+        a = [f"{k}x{i}" for i in range(104)]
+        b = list(a)
+        for i in range(34 if percent == 50 else 14):  # a changed tail: one shingle a word and four more
+            b[103 - i] = f"{k}y{rng.random()}"
+        while True:  # lengthen what is shared until the pair is just near
+            w = len(a)
+            same = sum(x == y for x, y in zip(a, b, strict=True)) - 4
+            if 100 * same >= percent * (2 * (w - 4) - same):
+                break
+            a, b = [f"{k}z{w}", *a], [f"{k}z{w}", *b]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    want = brute_groups(rows, percent)
+    assert all(c == i - i % 2 for i, _, c in want)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(df, percent=percent).collect()) == want
+    for p in (10, 50, 80, 85, 95):
+        bands, n = M.banding(p)
+        assert (1 - (p / 100) ** n) ** bands <= 1e-6
+    assert M.banding(85) == (64, 10)
+
+
 def test_near_duplicate_edges(spark):
     schema = "doc_id bigint, text string"
     assert M.near_duplicates(spark.createDataFrame([], schema)).count() == 0
