@@ -13,18 +13,19 @@ from stratalens.llm.token_store import read_store, write_store
 from stratalens.llm.toxicity import toxicity_scores
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Per cent of their shingles that near-duplicates share at least.
+SIMILAR = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models don't reject."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scores.where("predicted = 1").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("bad_id")), "left_anti").select(COLUMNS)
+    """Documents that the toxicity models don't reject; each row is judged by its own text, whatever its id."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=tuple(c for c in COLUMNS if c != "doc_id"))
+    return scores.where("predicted = 0").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return without_near_duplicates(docs).select(COLUMNS)
+    """One document of each near-duplicate group: five-word shingles, a similarity of 0.8 or more."""
+    return without_near_duplicates(docs, percent=SIMILAR).select(COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

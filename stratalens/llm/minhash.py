@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
 
-from .common import Rolling, U, arrow_map, as_long, col, joined, mix, slices, stored
+from .common import Rolling, U, arrow_map, as_long, col, free_name, joined, mix, slices, stored
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -247,6 +247,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id. Columns stay those of docs."""
-    kept = near_duplicates(docs, doc_id, text, **more).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group of near-duplicates: the one with the smallest id. Columns stay those of docs.
+
+    Rows with a repeated or a null id are judged by their own text: where there are any, all rows get a key of their id
+    (nulls last) and their place, and the smallest key of a group stays.
+    """
+    if docs.groupBy(col(doc_id).alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
+        kept = near_duplicates(docs, doc_id, text, **more).where("kept").select(F.col("doc_id").alias("_kept_id"))
+        return docs.join(kept, col(doc_id) == F.col("_kept_id"), "left_semi")
+    row, key = free_name(docs, "_row", "_key")
+    placed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = placed.withColumn(key, F.struct(col(doc_id).isNull().alias("missing"), col(doc_id).alias("id"), F.col(row).alias("row")))
+    kept = near_duplicates(keyed, key, text, **more).where("kept").select(F.col("doc_id.row").alias("_kept_row"))
+    return keyed.join(kept, F.col(row) == F.col("_kept_row"), "left_semi").select(*[col(c) for c in docs.columns])

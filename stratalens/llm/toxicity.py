@@ -171,17 +171,20 @@ def _logistic(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[fl
     return a, b
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, calibrate: int = 4, passage: int = PASSAGE, order: int = ORDER, buckets: int = BUCKETS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, calibrate: int = 4, passage: int = PASSAGE, order: int = ORDER, buckets: int = BUCKETS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: toxic likelier), predicted (1 if score >= 0.5): one row for each of docs.
 
     Labelled rows are dealt to folds by crc32 of doc_id as text. Fold ``held`` is never learnt from; ``calibrate`` fits
     the logistic curve over the passages' ratios; all others give the word counts of either class, over their whole
     texts and whatever their number, so the statistics grow with the corpus. Every whole text is scored.
     Null and empty texts have no passage: ratio 0, a low score. A null doc_id counts as held out. Null labels are left
-    out; without labels every ratio is 0. Repeated rows get equal rows.
+    out; without labels every ratio is 0. Repeated rows get equal rows. Columns of docs named in ``keep`` stay beside
+    their row's score.
     """
     fold = F.pmod(F.coalesce(F.crc32(col(doc_id).cast("string").cast("binary")), F.lit(0)), F.lit(folds))
     ids = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
+    held_back = [f"_keep_{k}" for k in range(len(keep))]
+    rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), *[col(c).alias(x) for c, x in zip(keep, held_back, strict=True)])
     gold = labels.where(col(label).isNotNull()).select(col(doc_id).alias("gold_id"), col(label).alias("label")).dropDuplicates(["gold_id"])
     fold_of = F.pmod(F.crc32(F.col("gold_id").cast("string").cast("binary")), F.lit(folds))
     # labels grow with the corpus, so they are never broadcast: one plan at every size
@@ -193,12 +196,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         for batch in batches:
             for b in slices(batch, 1):
                 raw, n = m.passages(b.column(1).to_pylist(), passage)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw), pa.array(n)], names=["doc_id", "raw", "n_words"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw), pa.array(n), *(b.column(i) for i in range(2, 2 + len(keep)))], names=["doc_id", "raw", "n_words", *held_back])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    raw = stored(arrow_map(ids, score, f"doc_id {kind}, raw double, n_words bigint"), "toxic")
+    raw = stored(arrow_map(rows, score, ", ".join([f"doc_id {kind}, raw double, n_words bigint", *[f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(keep, held_back, strict=True)]])), "toxic")
     known = raw.where(fold == calibrate).join(gold.hint("merge"), F.col("doc_id") == F.col("gold_id"))
     bins = known.groupBy(F.round(F.greatest(F.least("raw", F.lit(40.0)), F.lit(-40.0)), 2).alias("x")).agg(F.count_if(F.col("label") == 1).alias("one"), F.count_if(F.col("label") != 1).alias("zero"))
     a, b = _logistic([(r.x, r.one, r.zero) for r in bins.collect()])  # at most 8,001 bins
     p = 1 / (1 + F.exp(-(F.lit(a) * F.col("raw") + F.lit(b))))
-    return raw.select("doc_id", (F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(folds)) == held).alias("held_out"), p.alias("score"), "n_words").withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted", "n_words")
+    return raw.select("doc_id", (F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(folds)) == held).alias("held_out"), p.alias("score"), "n_words", *held_back).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select("doc_id", "held_out", "score", "predicted", "n_words", *[F.col(x).alias(c) for c, x in zip(keep, held_back, strict=True)])

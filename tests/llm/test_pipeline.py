@@ -67,3 +67,22 @@ def test_pipeline(spark, tmp_path):
         want += [(i, len(ids), zlib.crc32(ids.tobytes()), True)] * copies(i, math.sqrt(counts[s]) / total * len(clean) / counts[s])
     assert got == sorted(want)
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
+
+
+def test_filters_take_rows(spark, tmp_path):
+    """Near copies from 0.8 on go, and rows with a repeated or null id are judged one by one in both filters."""
+    rng = random.Random(9)
+    a, b, c, bad = (prose(rng, 60) for _ in range(4))
+    near = " ".join([*a.split()[:54], *"q w e r t y".split()])  # 50 of 62 shingles: 0.806
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    left = P.drop_near_duplicates(spark, frame([(1, a), (2, near), (3, b)]), "")
+    assert left.columns == P.COLUMNS and [(r.doc_id, r.text) for r in left.orderBy("doc_id").collect()] == [(1, a), (3, b)]
+    left = P.drop_near_duplicates(spark, frame([(5, a), (5, a), (5, b), (None, b), (None, c), (None, c), (4, near), (None, "")]), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == sorted([(4, near), (5, b), (0, c), (0, "")])
+
+    docs = [(k, prose(rng, 40) if k % 4 else prose(rng, 20) + " zorgface " + prose(rng, 20)) for k in range(240)]
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in docs], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad = " ".join(["zorgface"] * 5)
+    left = P.drop_toxic(spark, frame([*docs, (None, c), (None, bad), (999, b), (999, bad)]), str(tmp_path))
+    assert left.columns == P.COLUMNS and sorted(r.text for r in left.where("doc_id = 999 OR doc_id IS NULL").collect()) == sorted([b, c])
