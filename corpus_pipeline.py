@@ -15,6 +15,8 @@ from stratalens.llm.toxicity import toxicity_scores
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Per cent of their shingles that near-duplicates share at least.
 SIMILAR = 80
+#: Seed of the mixing and of the order of the corpus.
+SEED = "mix"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +38,13 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated towards the target weights, in globally shuffled order."""
-    return mixed(docs).select(COLUMNS)
+    return mixed(docs, seed=SEED).select(COLUMNS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus as a verified store of token ids: a row for each document and copy."""
+    """The mixed corpus as a verified store of token ids in the mixing's global order: a row for each document and copy."""
     path = new_path(spark, "corpus")
-    write_store(docs, path)
+    write_store(docs, path, seed=SEED)
     return read_store(spark, path)
 
 

@@ -18,6 +18,11 @@ def uniform(*keys: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def order_key(doc_id: Column, copy: Column, seed: str) -> Column:
+    """The place of a document's copy in the global shuffle: 16 hex digits of an MD5 of seed, doc_id and copy."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("\x00")), copy.cast("string"), F.lit("order"))), 1, 16)
+
+
 def poisson(rate: Column, u: Column) -> Column:
     """The count k at which a Poisson distribution of this mean first reaches beyond u."""
     start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
@@ -67,7 +72,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
     total = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda s, i: s + poisson(one, uniform(col(doc_id), i, seed=seed)))
     out = rated.withColumn(draws, n).withColumn(count, total).where(F.col(count) > 0)
     out = out.select(*[col(c) for c in keep], F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("copy"))
-    out = out.withColumn("mix_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(col(doc_id).cast("string"), F.lit("\x00")), F.col("copy").cast("string"), F.lit("order"))), 1, 16))
+    out = out.withColumn("mix_key", order_key(col(doc_id), F.col("copy"), seed))
     return out.repartitionByRange("mix_key", col(doc_id), "copy").sortWithinPartitions("mix_key", col(doc_id), "copy")
 
 

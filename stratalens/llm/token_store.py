@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, col, delete, free_name, mix, new_path, slices, stored
+from .mixing import order_key
 from .pieces import pieces
 
 #: Chunk sizes in ids: least, most, and the mean distance between content-defined cuts.
@@ -86,17 +87,21 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
         if some:
             yield row()
 
-    return arrow_map(recipes.repartition("part").sortWithinPartitions("part", "doc_id", "row").select("part", "n_ids", "root"), manifest, "part int, n_docs bigint, n_ids bigint, root binary")
+    return arrow_map(recipes.repartition("part").sortWithinPartitions("part", "row").select("part", "n_ids", "root"), manifest, "part int, n_docs bigint, n_ids bigint, root binary")
 
 
-def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 1) -> None:
+def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 1, seed: str | None = None) -> None:
     """Encode whole texts (null: empty) and write the store under ``path``.
 
     chunks/    digest, n, data (little-endian ids, 2 bytes each if the vocabulary fits, else 4): each content once
-    recipes/   part, doc_id, row, n_ids, digests, root: one for each document, ascending doc_id (nulls first, repeated
-               ids by row) within and across parts; root is the Merkle root of its chunks
+    recipes/   part, doc_id, row, n_ids, digests, root: one for each document, ascending row within and across parts;
+               root is the Merkle root of its chunks
     manifest/  part, n_docs, n_ids, root: the Merkle root over the recipes' roots of a part
 
+    Rows are numbered by ascending doc_id (nulls first, repeated ids in the order they were read). With a ``seed`` they
+    are numbered in the order of the mixing's global shuffle instead: by the MD5 of seed, doc_id and copy, where the
+    copies of a document are its rows with equal ids and are counted from 0.
+
     Rows with a repeated doc_id are documents of their own. An empty table gives an empty store.
     """
     spark = docs.sparkSession
@@ -146,7 +151,12 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([[x["digest"] for x in c] for c in b.column(3).to_pylist()], pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=["doc_id", "row", "n_ids", "digests", "root"])
 
     flat = arrow_map(recipes, rooted, "doc_id bigint, row bigint, n_ids bigint, digests array<binary>, root binary")
-    flat.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select(F.spark_partition_id().alias("part"), "*").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    order = ["doc_id", "row"]
+    if seed is not None:
+        copy = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("row")) - 1
+        flat, order = flat.withColumn("key", order_key(F.col("doc_id"), copy, seed)), ["key", "doc_id", "row"]
+    flat = flat.repartitionByRange(*order).sortWithinPartitions(*order)
+    flat.select(F.spark_partition_id().alias("part"), "doc_id", F.monotonically_increasing_id().alias("row"), "n_ids", "digests", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     delete(spark, raw)
@@ -233,7 +243,7 @@ def read_store(spark: SparkSession, path: str, tokenizer: str = "word_bpe_49k.js
         "part", (F.coalesce(F.col("seen") == F.col("told"), F.lit(False)) & (F.coalesce("times", F.lit(0)) == 1) & (F.count_if(F.col("seen").isNull()).over(Window.partitionBy()) == 0)).alias("as_told"),
         F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
-    within = Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         docs.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
         .join(F.broadcast(parts), "part", "left")

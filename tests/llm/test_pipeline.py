@@ -86,3 +86,17 @@ def test_filters_take_rows(spark, tmp_path):
     bad = " ".join(["zorgface"] * 5)
     left = P.drop_toxic(spark, frame([*docs, (None, c), (None, bad), (999, b), (999, bad)]), str(tmp_path))
     assert left.columns == P.COLUMNS and sorted(r.text for r in left.where("doc_id = 999 OR doc_id IS NULL").collect()) == sorted([b, c])
+
+
+def test_store_keeps_the_shuffle(spark):
+    """start follows the MD5 of seed, doc_id and copy rather than doc_id."""
+    rng = random.Random(4)
+    rows = [(k, prose(rng, rng.randint(5, 30)), "en", "s0" if k % 5 else "s1", 1) for k in range(60)]
+    out = P.mix_sources(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "")
+    n = {}
+    for r in out.collect():
+        n[r.doc_id] = n.get(r.doc_id, 0) + 1
+    want = sorted((hashlib.md5(f"mix|{i}|{c}|order".encode()).hexdigest()[:16], i) for i, k in n.items() for c in range(k))
+    got = sorted(P.write_tokens(spark, out, "").collect(), key=lambda r: r.start)
+    assert max(n.values()) > 1 and [r.doc_id for r in got] == [i for _, i in want] and all(r.verified for r in got)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
