@@ -19,13 +19,16 @@ _made: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and set as the checkpoint folder.
+    Only where that is unset and Spark runs on this machine alone (tests, a laptop) a temporary folder is made and set as
+    the checkpoint folder; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         where = sc.getCheckpointDir()
         if not where:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="stratalens-")
             sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -101,9 +104,7 @@ def joined(texts: list[bytes], gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 U = np.uint64
-#: Odd multiplier and 256 random words of the rolling hash; any other odd number and words do as well.
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64)
+_ODD = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,30 +116,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def eights(data: np.ndarray, n: int) -> np.ndarray:
+    """The little-endian number in the 8 bytes from each of the first n places; data must reach 7 bytes further."""
+    return np.ndarray((n,), "<u8", data, 0, (1,))
+
+
+#: Which bytes of a last lane count, by how many there are.
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U)
+#: Bytes beyond which a word is hashed by the library instead of lane by lane.
+_LONG = 256
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each data[begin:end]: 8 bytes at a time go through a mixing function, so no words that are made to
+    cancel out (as they can under a polynomial modulo 2^64) collide more often than others."""
+    size = end - begin
+    w = eights(np.concatenate([data, np.zeros(8, np.uint8)]), len(data) + 1)
+    h = mix(size.astype(U) * _ODD + U(1))
+    live = np.flatnonzero(size <= _LONG)
+    at = 0
+    while len(live := live[size[live] > at]):
+        lane = w[begin[live] + at] & _TAIL[np.minimum(size[live] - at, 8)]
+        h[live] = mix(h[live] * _ODD + lane)
+        at += 8
+    if len(huge := np.flatnonzero(size > _LONG)):
+        import xxhash
+
+        h[huge] = [xxhash.xxh3_64_intdigest(data[a:z].tobytes(), 1) for a, z in zip(begin[huge].tolist(), end[huge].tolist(), strict=True)]
+    return h
+
+
+def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each 16 bytes that start at the first n places."""
+    w = eights(data, n + 8)
+    return mix(mix(w[:n] * _ODD + U(16)) * _ODD + w[8 : n + 8])
+
+
+#: Primes under 2^31 of the rolling hash and its bases; any numbers in their range do as well. Fixed, so hashes agree.
+_PRIMES = (U(2**31 - 1), U(2**31 - 19))
+_BASES = (1_390_208_809, 1_902_567_403)
+_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _power(k: int, inverse: bool, n: int) -> np.ndarray:
+    """Powers 0..n of a base (or of its inverse) modulo its prime; made by doubling, kept by the worker."""
+    have = _powers.get((k, inverse))
+    if have is None or len(have) <= n:
+        p = int(_PRIMES[k])
+        base = pow(_BASES[k], -1, p) if inverse else _BASES[k]
+        have = np.ones(1, np.uint32)
+        while len(have) <= n:
+            have = np.concatenate([have, (have.astype(U) * U(pow(base, len(have), p)) % U(p)).astype(np.uint32)])
+        _powers[k, inverse] = have
+    return have[: n + 1]
+
+
 class Rolling:
-    """Polynomial hashes modulo 2^64 of any substring of one byte array, by prefix sums."""
+    """Hashes of any substring of one byte array, by prefix sums: polynomials modulo two primes, 62 bits together.
+
+    Modulo a prime two different strings of n bytes collide for at most n of its bases, whatever the strings are.
+    """
 
-    def __init__(self, data: np.ndarray, table: np.ndarray = _TABLE):
+    def __init__(self, data: np.ndarray):
         n = len(data)
-        self.up = np.full(n + 1, U(_BASE))
-        self.up[:1] = 1
-        np.multiply.accumulate(self.up, out=self.up)
-        down = np.full(n + 1, U(pow(_BASE, -1, 2**64)))
-        down[:1] = 1
-        np.multiply.accumulate(down, out=down)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(table[data] * down[:n], out=self.sums[1:])
+        self.up, self.sums = [], []
+        for k, p in enumerate(_PRIMES):
+            self.up.append(_power(k, False, n))
+            sums = np.zeros(n + 1, U)
+            np.cumsum((data.astype(U) + U(1)) * _power(k, True, n)[:n] % p, out=sums[1:])  # under 2^31 each: no overflow
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end], elementwise. The power at ``start`` takes the place out, so equal bytes hash alike."""
-        return mix((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(U))
-
-    def every(self, k: int) -> np.ndarray:
-        """Hash of each k bytes."""
-        n = len(self.sums) - 1
-        if n < k:
-            return np.zeros(0, U)
-        return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.up[: n - k + 1] + U(k))
+        one, two = ((sums[end] - sums[start]) % p * up[start] % p for p, up, sums in zip(_PRIMES, self.up, self.sums, strict=True))
+        return mix(mix((one << U(32)) | two) + (end - start).astype(U))
 
 
 def as_long(x: np.ndarray) -> pa.Array:

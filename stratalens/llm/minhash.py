@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
 
-from .common import Rolling, U, arrow_map, as_long, col, free_name, joined, mix, slices, stored
+from .common import U, arrow_map, as_long, col, free_name, joined, mix, slices, stored, word_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -43,7 +43,7 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.nd
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    w = Rolling(data).of(begin, end)
+    w = word_hashes(data, begin, end)
     count = np.bincount(np.searchsorted(off, begin, "right") - 1, minlength=n)
     at = np.concatenate([[0], np.cumsum(count)])
     # shingles start at each word that has enough after it; short texts give one from their first word
@@ -63,6 +63,13 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> tuple[np.nd
     return h, np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]).astype(np.int64)
 
 
+def set_keys(h: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+    """16 bytes that stand for each whole set; None for an empty one."""
+    sums = [np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(x)))]) for x in (0, 0x5BF03635)]
+    key = np.stack([x[off[1:]] - x[off[:-1]] for x in sums], 1)
+    return [k.tobytes() if n else None for k, n in zip(key, np.diff(off), strict=True)]
+
+
 def signatures(h: np.ndarray, off: np.ndarray, bins: int) -> np.ndarray:
     """One-permutation MinHash of each set: the least hash in each bin; an empty bin borrows from the first non-empty bin
     of a sequence drawn by hashing (bin, attempt), which makes all bins' collisions independent given the set."""
@@ -131,13 +138,11 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int,
             for b in slices(batch, 1):
                 h, off = shingle_sets(b.column(1).to_pylist(), shingle)
                 size = np.diff(off)
-                one, two = np.concatenate([np.zeros(1, U), np.cumsum(mix(h))]), np.concatenate([np.zeros(1, U), np.cumsum(mix(h ^ U(0x5BF03635)))])
-                key = np.stack([one[off[1:]] - one[off[:-1]], two[off[1:]] - two[off[:-1]]], 1)
                 keys = band_keys(signatures(h, off, bands * rows), rows)
                 at = np.where(size > 0, bands, 0)
                 cells, fits = cell_counts(h, off)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array(size), pa.array([k.tobytes() if s else None for k, s in zip(key, size, strict=True)], pa.binary()),
+                    b.column(0), pa.array(size), pa.array(set_keys(h, off), pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at)]).astype(np.int32)), as_long(keys[size > 0].ravel())),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(fits, CELLS, 0))]).astype(np.int32)), pa.array(cells[fits].ravel().astype(np.int8))),
                 ], names=["doc_id", "n_shingles", "set_key", "bands", "cells"])
@@ -147,14 +152,18 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int,
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id, shingles of the rows whose text has the set that stands for their id."""
+
     def make(batches):
         for batch in batches:
             for b in slices(batch, 1):
                 h, off = shingle_sets(b.column(1).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["id", "shingles"])
+                right = pa.array([a == z for a, z in zip(set_keys(h, off), b.column(2).to_pylist(), strict=True)], pa.bool_())
+                sets = pa.array([h[a:z].tobytes() for a, z in zip(off[:-1], off[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(right), sets.filter(right)], names=["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return arrow_map(docs.select("id", "text"), make, f"id {kind}, shingles binary")
+    return arrow_map(docs.select("id", "text", "set_key"), make, f"id {kind}, shingles binary")
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,25 +201,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are never made, a round makes at most STARS pairs for each first member, and every pair of different components that
     shares a bucket is confirmed or refuted.
 
+    Where K components of one bucket stay apart for good, all K * (K - 1) / 2 pairs of them are refuted one by one; rounds
+    are that many pairs over STARS times the first members, so a round's size never follows the bucket.
+
     Bands and rows follow ``percent`` so that a pair at the threshold shares no bucket with probability ``miss`` at most
     (at 85: 64 bands of 10, 8e-7); such a pair is missed only if no chain of others links it. Pairs that their sizes or their
     shingle counts by hash cell rule out aren't made. Texts without words have no links: component_id is their own id. Repeated ids are
-    one document. Null ids stay rows of their own: they join groups by their sets, but never name one unless all its
+    one document; if their texts differ, the text of the least set key is compared for it. Null ids stay rows of their own: they join groups by their sets, but never name one unless all its
     ids are null.
     """
     bands, rows = banding(percent, miss)
     all_docs = stored(sketches(docs, doc_id, text, shingle, bands, rows), "sketch")
     classes = all_docs.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     # tables here grow with the corpus, so joins are merge joins at every size: skew is split, nothing is broadcast
-    reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(classes.select("set_key", F.col("id").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
+    standing = classes.where("id IS NOT NULL").groupBy("id").agg(F.min("set_key").alias("set_key"))
+    reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(standing.select("set_key", F.col("id").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
     full = reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     members = stored(reps.join(full.select("bucket", "n").hint("merge"), "bucket").distinct(), "buckets")
-    cells = all_docs.where("set_key IS NOT NULL").select(F.col("doc_id").alias("id"), "cells").join(members.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    named = standing.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    cells = all_docs.select(F.col("doc_id").alias("id"), "set_key", "cells").join(named.hint("merge"), ["id", "set_key"], "left_semi").select("id", "cells").dropDuplicates(["id"])
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
     members = stored(members.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
     wanted = members.select("id").distinct()
     texts = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text"))
-    sets = stored(_sets(texts.join(wanted.hint("merge"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+    sets = stored(_sets(texts.join(named.hint("merge"), "id"), shingle).dropDuplicates(["id"]), "sets")
     comp = wanted.select("id", F.col("id").alias("comp"))
     at_first = rows = members.count()
     links = None

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, arrow_map, col, joined, slices
+from .common import arrow_map, col, joined, slices, word_hashes
 from .toxicity import _logistic
 
 #: Labelled documents of each class that the field is fitted on: the stated bound of the training sample.
@@ -49,7 +49,7 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     last = word.copy()
     last[:-1] &= space[1:]
     stop = np.flatnonzero(last) + 1
-    of = Rolling(data).of(begin, stop)
+    of = word_hashes(data, begin, stop)
     same = np.zeros(len(begin), bool)
     line = np.searchsorted(end, begin)
     same[1:] = (of[1:] == of[:-1]) & (line[1:] == line[:-1])

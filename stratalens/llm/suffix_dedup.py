@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, U, arrow_map, as_long, col, delete, joined, mix, new_path, slices, stored
+from .common import Rolling, U, arrow_map, as_long, col, delete, gram_hashes, joined, mix, new_path, slices, stored
 
 #: Bytes of a string whose repetition counts; grams that anchor windows and how many of them a window chooses from.
 LENGTH, GRAM, SPAN = 200, 16, 128
@@ -41,7 +41,7 @@ def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     Returns the text's number, a, b (places in data), the core's and the context's hash.
     """
     roll = Rolling(data)
-    grams = roll.every(GRAM)
+    grams = gram_hashes(np.concatenate([data, np.zeros(8, np.uint8)]), max(len(data) - GRAM + 1, 0))
     low = U((1 << 24) - 1)
     best = (grams & ~low) | np.arange(len(grams), dtype=U)  # ties: the leftmost
     wide = 1
