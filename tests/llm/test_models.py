@@ -86,6 +86,44 @@ def test_kneser_ney_matches_brute_force(spark):
         assert math.isclose(got[g], math.log(p(counts[1], g)) - math.log(p(counts[0], g)), abs_tol=1e-9), g
 
 
+def test_scores_match_brute_force(spark):
+    """Cells of the broadcast table, passages and whole texts against a walk over n-grams, huge texts in pieces."""
+    rng = random.Random(12)
+    words = [("".join(rng.choices("abcz0", k=rng.randint(1, 6))), rng.randint(0, 5), rng.randint(1, 9)) for _ in range(80)]
+    table = X.ngram_ratios(spark.createDataFrame(words, "word string, toxic bigint, ordinary bigint"))
+    ratio = {r.gram: r.ratio for r in table.collect()}
+    model, n = X.Ratios(table, X.ORDER), X.ORDER
+
+    def word(w):
+        s = "\x02" * (n - 1) + w + "\x03"
+        grams = [s[i : i + n] for i in range(len(w) + 1)]
+        return sum(ratio.get(g, ratio.get(g[:-1], 0.0)) for g in grams)
+
+    def brute(t):
+        w = X.folded(t).decode().split()
+        r = [0.0] * 5 + [word(x) for x in w] + [0.0] * 5
+        return max(sum(r[i : i + 5]) for i in range(len(r) - 4)) / 5, sum(r) / max(sum(len(x) + 1 for x in w), 1), len(w)
+
+    texts = [" ".join(w for w, *_ in rng.choices(words, k=k)) for k in (1, 3, 5, 6, 40, 200)] + [None, "", "--", "É zà 12 abc", "unseen words only", "日本 кот"]
+    for piece in (X.PIECE, 150):
+        old, X.PIECE = X.PIECE, piece
+        got = list(zip(*model.scores(texts, 5), strict=True))
+        X.PIECE = old
+        for t, g in zip(texts, got, strict=True):
+            want = brute(t)
+            assert abs(g[0] - want[0]) < 0.02 and abs(g[1] - want[1]) < 0.02 and g[2] == want[2], t
+    assert X.folded("Été, STRAẞE №7 x²!") == b"ete  strasse no0 x0 " or X.folded("Été").decode() == "ete"
+    assert X.folded("кот").isalpha() and len(X.folded("кот")) == 6
+
+
+def test_conflicting_labels(spark):
+    docs = spark.createDataFrame([(k, f"plain words {k}" if k % 2 else "zorgface words") for k in range(200)], "doc_id bigint, text string")
+    labels = [(k, int(k % 2 == 0)) for k in range(200)]
+    a = X.toxicity_scores(docs, spark.createDataFrame([*labels, *[(k, 0) for k in range(0, 200, 2)]], "doc_id bigint, toxic int")).orderBy("doc_id").collect()
+    b = X.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).orderBy("doc_id").collect()
+    assert [r.predicted for r in a] == [r.predicted for r in b] == [int(k % 2 == 0) for k in range(200)]
+
+
 def test_quality(corpus, spark):
     docs, labels = corpus
     gold = {r.doc_id: r.quality for r in labels.collect()}
