@@ -83,32 +83,40 @@ def votes() -> list[Column]:
     return out
 
 
+def _odds(prior: float, rates: list[dict[int, tuple[float, float]]]) -> tuple[float, list[dict[int, float]]]:
+    """Log odds of good before any vote, and what each rule adds for what it says."""
+    return math.log(prior / (1 - prior)), [{v: math.log(r[v][1] / r[v][0]) for v in (-1, 0, 1)} for r in rates]
+
+
 def _posterior(vote: list[Column], prior: float, rates: list[dict[int, tuple[float, float]]]) -> Column:
     """P(good | votes): prior odds times each rule's odds for what it said."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for v, r in zip(vote, rates, strict=True):
-        odds = odds + F.when(v == -1, math.log(r[-1][1] / r[-1][0])).when(v == 1, math.log(r[1][1] / r[1][0])).otherwise(math.log(r[0][1] / r[0][0]))
+    start, says = _odds(prior, rates)
+    odds = F.lit(start)
+    for v, r in zip(vote, says, strict=True):
+        odds = odds + F.when(v == -1, r[-1]).when(v == 1, r[1]).otherwise(r[0])
     return 1 / (1 + F.exp(-odds))
 
 
 def fit_rules(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Prior of good, and for each rule how often it says -1, 0, 1 over (bad, good) texts.
 
-    patterns: a row for each combination of votes that occurs, with n; 3^rules at most, so each round of
-    expectation-maximisation is one aggregate over a small table. It starts from rules that mostly vote right.
+    patterns: a row for each combination of votes that occurs, with n; at most 3^rules rows, so they are fetched once and
+    expectation-maximisation runs over them on the driver. It starts from rules that mostly vote right.
     """
     prior, rates = 0.8, [{-1: (0.6, 0.05), 0: (0.2, 0.15), 1: (0.2, 0.8)} for _ in names]
-    for _ in range(rounds):
-        p = _posterior([F.col(c) for c in names], prior, rates)
-        sums = patterns.withColumn("p", p * F.col("n")).agg(
-            F.sum("n").alias("n"), F.sum("p").alias("p"),
-            *[F.coalesce(F.sum(F.when(F.col(c) == v, F.col(x))), F.lit(0)).alias(f"{c}_{v}_{x}") for c in names for v in (-1, 0, 1) for x in ("n", "p")],
-        ).first()
-        if not sums.n:
-            break
-        good, bad = float(sums.p), float(sums.n - sums.p)
-        new = (good + 4) / (good + bad + 5)
-        rates = [{v: ((float(sums[f"{c}_{v}_n"]) - sums[f"{c}_{v}_p"] + 1) / (bad + 3), (sums[f"{c}_{v}_p"] + 1) / (good + 3)) for v in (-1, 0, 1)} for c in names]
+    rows = sorted((tuple(r[c] for c in names), r.n) for r in patterns.select(*names, "n").collect())
+    for _ in range(rounds if rows else 0):
+        start, says = _odds(prior, rates)
+        total, good = 0.0, 0.0
+        sums = [{v: [0.0, 0.0] for v in (-1, 0, 1)} for _ in names]
+        for said, n in rows:
+            p = n / (1 + math.exp(-start - sum(s[v] for s, v in zip(says, said, strict=True))))
+            total, good = total + n, good + p
+            for s, v in zip(sums, said, strict=True):
+                s[v][0] += n - p
+                s[v][1] += p
+        new = (good + 4) / (total + 5)
+        rates = [{v: ((s[v][0] + 1) / (total - good + 3), (s[v][1] + 1) / (good + 3)) for v in (-1, 0, 1)} for s in sums]
         done, prior = abs(new - prior) < CLOSE, new
         if done:
             break
@@ -123,10 +131,10 @@ def rule_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5) ->
     posterior probability of good under those rates. kept: not base_failed, and quality >= threshold. Null and empty
     texts fail. Repeated rows count as often as they occur and get equal results. An empty table gives an empty one.
     """
-    names = [f"_vote_{name}" for name, *_ in RULES]
+    names = free_name(docs, *(f"_vote_{name}" for name, *_ in RULES))
     measured = stored(text_measures(docs.select(*[col(c) for c in docs.columns if c.lower() not in ("base_failed", "quality", "kept")]), text).drop(text), "measures")
     voted = measured.select("*", *[v.alias(n) for v, n in zip(votes(), names, strict=True)])
-    patterns = stored(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "votes")  # 3^rules rows at most
+    patterns = voted.groupBy(*names).agg(F.count("*").alias("n"))  # 3^rules rows at most
     prior, rates = fit_rules(patterns, names)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     out = voted.withColumn("base_failed", failed).withColumn("quality", _posterior([F.col(n) for n in names], prior, rates)).drop(*names)
