@@ -28,6 +28,19 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The split that pieces take themselves (a fixed value of the file): contractions, words, single digits, runs of marks.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _known_steps(spec: dict) -> bool:
+    """Whether the steps before the model are those that pieces rely on: NFC, white space made one space, lower-casing,
+    the split above, then bytes. Any other file goes to the library as whole texts."""
+    norm = (spec.get("normalizer") or {}).get("normalizers") or []
+    replaced = [x for x in norm if x["type"] == "Replace"]
+    split, *after = spec["pre_tokenizer"]["pretokenizers"]
+    return sorted(x["type"] for x in norm) == ["Lowercase", "NFC", "Replace"] and replaced[0]["pattern"] == {"Regex": r"\s+"} and replaced[0]["content"] == " " and split["pattern"] == {"Regex": _SPLIT} and [x["type"] for x in after] == ["ByteLevel"] and not after[0].get("add_prefix_space")
+
+
 class Pieces:
     """Ids of texts under one tokenizer file, as little-endian unsigned words.
 
@@ -55,7 +68,7 @@ class Pieces:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
             steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-            self.dropping = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and spec.get("post_processor") is None and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
+            self.dropping = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and spec.get("post_processor") is None and _known_steps(spec) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.model = None if self.is_model or not self.dropping else self.lib.model
         self.known: dict[str, bytes] = {}

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, free_name, slices
+from .common import arrow_map, col, free_name, slices, stored
 from .pieces import Pieces, pieces
 
 #: Texts over this many characters are cut into chunks of about this size.
@@ -75,8 +75,9 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe
     base = docs.select(*[col(c) for c in kept], F.octet_length(F.coalesce(col(text), F.lit(""))).cast("bigint").alias(n_byt))
     long_one = F.coalesce(F.length(col(text)), F.lit(0)) > chunk_chars
     short = _counted(base.where(~long_one), text, n_tok, tokenizer)
-    # rows of huge texts get a number, so repeated rows stay apart; it depends on the partition and place only
-    huge = base.where(long_one).withColumn(row, F.monotonically_increasing_id())
+    # rows of huge texts get a number, so repeated rows stay apart; they are written with it, since both the parts and the
+    # join below refer to it and a second reading may number rows anew
+    huge = stored(base.where(long_one).withColumn(row, F.monotonically_increasing_id()), "huge")
 
     def cut(batches):
         enc = pieces(tokenizer)
