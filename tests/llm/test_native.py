@@ -17,6 +17,8 @@ TEXTS = [
     None, "", " \n\t", "token=abcdefgh", 'api_key: "abc.def/123" and APIKEY = \'Zz9-_=+/.\'', "token=short secret:abcdefghij", "password == abcdefgh passwd:token=abcdefgh",
     "AKIAABCDEFGHIJKL AKIASHORT AKIAAKIA12345678901", "x" * 50 + "deadbeef" * 4 + "g" + "0123456789abcdef" * 3, "é😀 Secret='p4ssw0rd99' \x01\x02 tail token=12345678",
     "key kJ8s0Qm2Zp5Vx1Rt7Yw3Lc9Nb4Hd6Fg and 550e8400-e29b-41d4-a716-446655440000", "ExampleToken1234567890abcdefghijABCDEFGHIJ", "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5p6Q7r8" + "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "0F3A9C7E1B5D8F2A6C4E" * 2,
+    "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACBTkq3VYx7Lw0PzRmJ8Gh",
+    "path/Qz7Lw0PzRmJ8GhTkq3VYx/example/Xw9Kd2Nf5Bv8Cm1Zs4Tq7", "kJ8s0Qm2Zp5Vx1Rt7Yw3" + "ab" * 30 + "Lc9Nb4Hd6FgW2eS5dR8t", "Zq8Lw0PzRmJ8GhTkq3VYx token=Qz7Lw0PzRmJ8GhTkq3VYx",
 ]
 
 
@@ -27,20 +29,37 @@ def brute_base(t):
     return sorted(out)
 
 
+ALLOW = re.compile(r"(?i:example|sample|dummy|placeholder|changeme|your[_-])|(.)\1{7,}|(?i:0123456789|abcdefghij)")
+
+
+def outside(a, z, cuts):
+    out = []
+    for s, e in sorted(cuts):
+        if e > a and s < z:
+            if s - a >= 20:
+                out.append((a, s))
+            a = max(a, e)
+    return [*out, (a, z)] if z - a >= 20 else out
+
+
 def brute_entropy(t, base):
     out, names = [], [b[0] for b in S.BASE] + [c[0] for c in S.CLASSES]
     for m in re.finditer(S.CANDIDATE, t or ""):
         s = m[0]
-        if any(re.search(a, s) for a in S.ALLOW):
+        if any(re.search(a, s) for a in S.ALLOW_WHOLE):
             continue
         for kind, only, must, bits in S.CLASSES:
             if re.search(only, s) and all(re.search(x, s) for x in must):
                 h = [-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)]
-                hit = [i for i, x in enumerate(h) if x >= bits - 1e-7]
-                if hit:
-                    a, z = m.start() + hit[0], m.start() + hit[-1] + 20
-                    if not any(b[0] < z and a < b[2] for b in base):
-                        out.append((a, names.index(kind), z, kind))
+                runs = []
+                for i in (i for i, x in enumerate(h) if x >= bits - 1e-7):
+                    if runs and i <= runs[-1][1]:
+                        runs[-1][1] = i + 20
+                    else:
+                        runs.append([i, i + 20])
+                for a, z in runs:
+                    for x, y in outside(a, z, [(a + c.start(), a + c.end()) for c in ALLOW.finditer(s[a:z])]):
+                        out += [(x, names.index(kind), y, kind) for x, y in outside(x + m.start(), y + m.start(), [(b[0], b[2]) for b in base])]
                 break
     return out
 
@@ -67,6 +86,27 @@ def test_secrets_match_brute_force(docs):
     assert some > 5
 
 
+def test_long_strings_in_parts(spark, monkeypatch):
+    """Parts of candidates and groups of matches give what whole ones do; a long string takes time in proportion."""
+    import time
+
+    rng = random.Random(7)
+    mixed = "".join("".join(rng.choices("ABCDEFabcdef0123456789XYZxyz+/", k=rng.randint(20, 50))) + "ab" * rng.randint(0, 20) for _ in range(12))
+    texts = [mixed, " ".join(f"token={k:08d}" for k in range(40)), "deadbeef01" * 5 + " " + mixed[:90]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    monkeypatch.setattr(S, "PART", 32)
+    monkeypatch.setattr(S, "GROUP", 3)
+    for r in S.scan_secrets(df).collect():
+        base = brute_base(r.text)
+        assert [(x.s, x.rank, x.e, x.kind) for x in r.secrets] == sorted(base + brute_entropy(r.text, base)), r.text
+    monkeypatch.undo()
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = spark.createDataFrame([(1, "x " + "".join(rng.choices(alphabet, k=1_000_000)))], "doc_id int, text string")
+    began = time.time()
+    got = S.scan_secrets(long).first().secrets
+    assert sum(x.e - x.s for x in got) > 990_000 and time.time() - began < 30
+
+
 def test_secrets_edges(docs, spark):
     assert S.scan_secrets(docs.limit(0)).count() == 0
     got = S.redacted(spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None), (3, "clean")], "doc_id int, text string")).collect()
