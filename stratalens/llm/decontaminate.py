@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, free_name, slices
+from .common import arrow_map, col, free_name, slices, stored
 
 #: Consecutive words of an item that make a window; shorter items are one window each.
 WINDOW = 10
-#: Words of the items in one broadcast automaton; more items are dealt to several automata, one pass each.
+#: Words of the items in one automaton; more items are dealt to several automata, one pass each.
 BLOCK_WORDS = 200_000
 
 #: A word is a run of bytes other than 00-2F, 3A-60 and 7B-7F, once A-Z are lower-cased.
@@ -134,16 +134,38 @@ class Automaton:
         return spans, items, longest
 
 
-def automata(spark, bench: DataFrame, item_id: str, text: str, window: int, block_words: int) -> list:
-    """Broadcast automata, each over at most about ``block_words`` item words; items are dealt to them by hash."""
+def _blocks(bench: DataFrame, item_id: str, text: str, block_words: int) -> tuple[DataFrame, int]:
+    """i, t, block of the items, dealt by hash to blocks of about ``block_words`` words, and how many blocks there are."""
     words = F.size(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " "), lambda w: w != ""))
     total = bench.agg(F.sum(words).alias("n")).first().n or 0
     blocks = max(1, -(-int(total) // block_words))
-    out = []
+    return bench.select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("i"), col(text).alias("t"), F.pmod(F.xxhash64(col(item_id), col(text)), F.lit(blocks)).alias("block")), blocks
+
+
+def _automaton(items: DataFrame, block: int, window: int):
+    """One block's automaton, broadcast: the driver and each worker hold that of the block which is being matched."""
+    rows = items.where(F.col("block") == block).select("i", "t").collect()  # a block: its size is a parameter
+    return items.sparkSession.sparkContext.broadcast(Automaton(sorted((r.i, [w for w in normal_words(r.t) if w]) for r in rows), window))
+
+
+def _found_in_blocks(source: DataFrame, row: str, body: str, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """row, spans, items, longest of the rows that any block's items touch; block after block, each pass written."""
+    at = [source.columns.index(c) for c in (row, body)]
+    found = None
     for k in range(blocks):
-        rows = bench.where(F.pmod(F.xxhash64(col(item_id), col(text)), F.lit(blocks)) == k).select(F.coalesce(col(item_id).cast("string"), F.lit("")).alias("i"), col(text).alias("t")).collect()  # a block: its size is bounded
-        out.append(spark.sparkContext.broadcast(Automaton(sorted((r.i, [w for w in normal_words(r.t) if w]) for r in rows), window)))
-    return out
+        model = _automaton(items, k, window)
+
+        def match(batches, model=model):
+            for batch in batches:
+                for b in slices(batch, at[1]):
+                    out = [(r, s, sorted(i), n) for r, (s, i, n) in zip(b.column(at[0]).to_pylist(), (model.value.hits([w for w in normal_words(t) if w]) for t in b.column(at[1]).to_pylist()), strict=True) if n]
+                    rows, spans, names, longest = zip(*out, strict=True) if out else ((), (), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([[list(x) for x in s] for s in spans], pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=["row", "spans", "items", "longest"])
+
+        part = stored(arrow_map(source, match, "row bigint, spans array<array<bigint>>, items array<string>, longest bigint"), "hits")
+        model.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"), F.max("longest").alias("most"))  # a row for each block at most
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -153,32 +175,38 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
     consecutive words of an item, or a whole shorter item that has words; a word is hit if it lies in an occurrence of
     one. longest is the longest match in words, up to a window. clean drops each hit run from its first word's first to
     its last word's last character. Null text has no words and stays null. Repeated rows get equal results, an empty
-    benchmark hits nothing. Columns of docs named like a result are replaced. The automata's size is set by
-    ``block_words``, never by the benchmark: larger benchmarks are matched block by block in the same pass.
+    benchmark hits nothing. Columns of docs named like a result are replaced; null item ids count as an empty name.
+
+    One automaton holds about ``block_words`` item words, an item whole. A benchmark of one block is matched in the pass
+    that returns the rows. A larger one is matched block by block over docs written with row numbers, one automaton in
+    memory at a time, and what was found is joined to the rows: a scan for each block, memory of one.
     """
-    spark = docs.sparkSession
-    models = automata(spark, bench, item_id, item_text, window, block_words)
     new = ("n_words", "n_hit", "longest", "items", "clean")
     keep = [c for c in docs.columns if c.lower() not in new]
-    source = docs.select(*[col(c) for c in keep], col(text).alias(free_name(docs, "body")[0]))
+    row, body, spans, found, most = free_name(docs, "row", "body", "spans", "found", "most")
+    source = docs.select(*[col(c) for c in keep], col(text).alias(body))
     at = len(keep)
     schema = ", ".join(f"`{c.replace('`', '``')}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_words bigint, n_hit bigint, longest bigint, items array<string>, clean string"
+    items, blocks = _blocks(bench, item_id, item_text, block_words)
+    if blocks == 1:
+        model = _automaton(items, 0, window)
+    else:
+        source = stored(source.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        hits = _found_in_blocks(source, row, body, items, blocks, window)
+        source = source.join(hits.select(F.col("row").alias(row), F.col("spans").alias(spans), F.col("found").alias(found), F.col("most").alias(most)), row, "left").select(*[col(c) for c in keep], body, spans, found, most)
 
     def match(batches):
         for batch in batches:
             for b in slices(batch, at):
                 texts = b.column(at).to_pylist()
                 split = [[w for w in normal_words(t) if w] for t in texts]
-                found = [([], set(), 0)] * len(texts)
-                for m in models:
-                    for k, words in enumerate(split):
-                        s, i, n = m.value.hits(words)
-                        if i or n:
-                            a, c, o = found[k]
-                            found[k] = (_merged([*a, *s]) if a else s, c | i, max(n, o))
-                hit = [sum(z - a for a, z in s) for s, _, _ in found]
-                clean = [_without(t, s) if s else t for t, (s, _, _) in zip(texts, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array([len(w) for w in split], pa.int64()), pa.array(hit, pa.int64()), pa.array([n for _, _, n in found], pa.int64()), pa.array([sorted(i) for _, i, _ in found], pa.list_(pa.string())), pa.array(clean, pa.string())], names=[*keep, *new])
+                if blocks == 1:
+                    got = [model.value.hits(w) for w in split]
+                else:
+                    got = [(_merged(s or ()), i or (), n or 0) for s, i, n in zip(*(b.column(at + k).to_pylist() for k in (1, 2, 3)), strict=True)]
+                hit = [sum(z - a for a, z in s) for s, _, _ in got]
+                clean = [_without(t, s) if s else t for t, (s, _, _) in zip(texts, got, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array([len(w) for w in split], pa.int64()), pa.array(hit, pa.int64()), pa.array([n for _, _, n in got], pa.int64()), pa.array([sorted(i) for _, i, _ in got], pa.list_(pa.string())), pa.array(clean, pa.string())], names=[*keep, *new])
 
     return arrow_map(source, match, schema)
 
