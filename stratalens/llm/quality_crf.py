@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, col, joined, slices, word_hashes
 from .toxicity import _logistic
 
-#: Labelled documents of each class that the field is fitted on: the stated bound of the training sample.
-SAMPLE = 2_000
-#: Penalty on squared weights and steps of the fit.
-PENALTY, STEPS = 1e-3, 200
+#: The stated bound of the training sample: labelled documents of each class, and lines of each (a run from a hashed place).
+SAMPLE, SAMPLE_LINES = 2_000, 200
+#: Of so many sampled documents one fits the logistic curve and none of the field.
+CURVE = 4
+#: Penalty on squared weights, steps of the first fit, and rounds of fitting and labelling hidden lines.
+PENALTY, STEPS, ROUNDS = 1e-3, 150, 3
 _SYMBOLS = b"#*$%&|<>{}[]^~=+@_\\"
 
 
@@ -107,33 +109,62 @@ def marginals(scores: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60))), pairs, total
 
 
+def _fitted(x: np.ndarray, lines: np.ndarray, gold: np.ndarray, par: np.ndarray, steps: int) -> np.ndarray:
+    """Weights and transitions by Adam on the penalised log-likelihood of labelled lines, from ``par`` on."""
+    m, v = np.zeros_like(par), np.zeros_like(par)
+    inner = np.ones(len(gold), bool)
+    inner[lines[:-1][np.diff(lines) > 0]] = False
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (gold[np.flatnonzero(inner) - 1].astype(int), gold[inner].astype(int)), 1)
+    for t in range(1, steps + 1):
+        s = np.zeros((len(x), 2))
+        s[:, 1] = x @ par[:-4]
+        p, pairs, _ = marginals(s, par[-4:].reshape(2, 2), lines)
+        grad = np.concatenate([x.T @ (gold - p), (seen - pairs).ravel()]) / max(len(x), 1) - PENALTY * par
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
+        par = par + 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return par
+
+
+def _hidden(look: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels of lines by how they look: good ones in good documents; in bad ones the lines that look bad, and the worst
+    lines up to half of the bytes."""
+    text = np.repeat(np.arange(len(y)), np.diff(lines))
+    order = np.lexsort((look, text))
+    sums = np.concatenate([[0], np.cumsum(size[order])])
+    before = sums[:-1] - sums[lines[:-1]][text[order]]
+    total = (sums[lines[1:]] - sums[lines[:-1]])[text[order]]
+    bad = np.zeros(len(look), bool)
+    bad[order] = before < total / 2
+    return np.where(y[text] == 1, 1.0, np.where(bad | (look < 0), 0.0, 1.0))
+
+
 class LineField:
     """A fitted field: weights of good against bad, transitions, and the logistic curve over document quality."""
 
-    def __init__(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, prior: float):
-        """Fit on documents' lines, each line labelled as its document, by Adam on the penalised log-likelihood."""
+    def __init__(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray, y: np.ndarray, prior: float, curve: np.ndarray):
+        """Fit on documents' lines; the documents that ``curve`` marks are left out of that and fit the logistic curve.
+
+        Lines of good documents are good. Those of bad documents are hidden: they begin as bad, and after each fit those
+        that look good become so, as long as at least half of a document's bytes stay bad (the lines that look worst).
+        So labels change within documents, and transitions say how often they do.
+        """
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
         self.mean[-1], self.scale[-1] = 0, 1
         x = (x - self.mean) / self.scale
-        gold = np.repeat(y, np.diff(lines)).astype(float)
+        at = np.repeat(~curve, np.diff(lines))
+        own, own_size, counts, own_y = x[at], size[at], np.diff(lines)[~curve], y[~curve]
+        own_lines = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         par = np.zeros(x.shape[1] + 4)
-        m, v = np.zeros_like(par), np.zeros_like(par)
-        inner = np.ones(len(gold), bool)
-        inner[lines[:-1][np.diff(lines) > 0]] = False
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (gold[np.flatnonzero(inner) - 1].astype(int), gold[inner].astype(int)), 1)
-        for t in range(1, STEPS + 1):
-            s = np.zeros((len(x), 2))
-            s[:, 1] = x @ par[:-4]
-            p, pairs, _ = marginals(s, par[-4:].reshape(2, 2), lines)
-            grad = np.concatenate([x.T @ (gold - p), (seen - pairs).ravel()]) / max(len(x), 1) - PENALTY * par
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-            par += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        gold = np.repeat(own_y, counts).astype(float)
+        for k in range(ROUNDS):
+            par = _fitted(own, own_lines, gold, par, STEPS if k == 0 else STEPS // 3)
+            gold = _hidden(own @ par[:-4], own_size, own_lines, own_y)
         self.weights, self.trans = par[:-4], par[-4:].reshape(2, 2)
         self.curve = (1.0, 0.0)
-        q = self.quality(x, size, lines, scaled=True)
-        share = np.array([1 - prior, prior]) / np.maximum(np.bincount(y, minlength=2) / max(len(y), 1), 1e-9)
-        self.curve = _logistic([(float(a), float(b * share[1]), float((1 - b) * share[0])) for a, b in zip(q, y, strict=True)])
+        q, known = self.quality(x, size, lines, scaled=True)[curve], y[curve]
+        share = np.array([1 - prior, prior]) / np.maximum(np.bincount(known, minlength=2) / max(len(known), 1), 1e-9)
+        self.curve = _logistic([(float(a), float(b * share[1]), float((1 - b) * share[0])) for a, b in zip(q, known, strict=True)])
 
     def quality(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray, scaled: bool = False) -> np.ndarray:
         """Length-weighted mean of P(good) over each text's lines; 0 for a text without any."""
@@ -156,7 +187,7 @@ def _fold(c, folds: int):
 
 def fit_field(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, held: int, sample: int) -> LineField | None:
     """Fit on at most ``sample`` labelled documents of each class outside the held-out fold, taken in hash order."""
-    gold = labels.where(col(label).isin(0, 1) & (_fold(col(doc_id), folds) != held)).select(col(doc_id).alias("gold_id"), col(label).cast("int").alias("label"))
+    gold = labels.where(col(label).isin(0, 1) & col(doc_id).isNotNull() & (_fold(col(doc_id), folds) != held)).groupBy(col(doc_id).alias("gold_id")).agg(F.min(col(label)).cast("int").alias("label"))
     shares = {r.label: r.n for r in gold.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     if not shares.get(0) or not shares.get(1):
         return None
@@ -170,27 +201,34 @@ def fit_field(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
         for batch in batches:
             for b in slices(batch, 0):
                 x, size, lines = line_features(b.column(0).to_pylist())
-                keep = [x[lo:hi] for lo, hi in zip(lines[:-1], lines[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([k.astype(np.float32).tobytes() for k in keep], pa.binary()), pa.array([size[lo:hi].astype(np.float64).tobytes() for lo, hi in zip(lines[:-1], lines[1:], strict=True)], pa.binary()), b.column(2)], names=["label", "x", "size", "doc_id"])
+                runs = [(lo + h % max(hi - lo - SAMPLE_LINES + 1, 1), hi) for lo, hi, h in zip(lines[:-1].tolist(), lines[1:].tolist(), b.column(3).to_pylist(), strict=True)]
+                runs = [(lo, min(hi, lo + SAMPLE_LINES)) for lo, hi in runs]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[lo:hi].astype(np.float32).tobytes() for lo, hi in runs], pa.binary()), pa.array([size[lo:hi].astype(np.float64).tobytes() for lo, hi in runs], pa.binary()), b.column(2), b.column(3)], names=["label", "x", "size", "doc_id", "place"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    got = arrow_map(rows.select("text", "label", "doc_id"), features, f"label int, x binary, size binary, doc_id {kind}").toArrow().sort_by("doc_id")  # bounded by the sample
+    place = F.xxhash64("doc_id", F.lit("place")) % (1 << 30) + (1 << 30)
+    got = arrow_map(rows.select("text", "label", "doc_id", place.alias("place")), features, f"label int, x binary, size binary, doc_id {kind}, place bigint").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])  # bounded by the sample
     wide = 31
     xs = [np.frombuffer(v, np.float32).reshape(-1, wide) for v in got.column("x").to_pylist()]
     lines = np.concatenate([[0], np.cumsum([len(v) for v in xs])]).astype(np.int64)
     if not lines[-1]:
         return None
     size = np.concatenate([np.frombuffer(v, np.float64) for v in got.column("size").to_pylist()])
-    return LineField(np.concatenate(xs).astype(np.float64), size, lines, np.asarray(got.column("label"), np.int64), shares[1] / (shares[0] + shares[1]))
+    y, curve = np.asarray(got.column("label"), np.int64), np.asarray(got.column("place"), np.int64) % CURVE == 0
+    if min(len(set(y[curve])), len(set(y[~curve]))) < 2:  # too few for both: the same documents serve twice
+        return LineField(np.concatenate([*xs, *xs]).astype(np.float64), np.concatenate([size, size]), np.concatenate([lines, lines[1:] + lines[-1]]), np.concatenate([y, y]), shares[1] / (shares[0] + shares[1]), np.repeat([False, True], len(y)))
+    return LineField(np.concatenate(xs).astype(np.float64), size, lines, y, shares[1] / (shares[0] + shares[1]), curve)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: good likelier), predicted (1 if score >= threshold), n_lines.
 
-    The field is fitted on a bounded sample (``sample`` documents of each class) of labelled rows outside the held-out
-    fold of crc32(doc_id as text); it labels every line of every whole text, and a document's quality is the mean
+    The field is fitted on a bounded sample (``sample`` documents of each class, SAMPLE_LINES lines of each) of labelled
+    rows outside the held-out fold of crc32(doc_id as text), the curve from quality to score on a part of it that the
+    field hasn't seen; of conflicting labels of a document the lowest counts. It labels every line of every whole text, and a document's quality is the mean
     marginal of its lines, weighted by their bytes. Null, empty and blank texts have no lines: quality 0. Without labels
-    of both classes every score is 0.5. Null ids aren't held out. Repeated rows get equal rows.
+    of both classes every score is 0.5. Null ids aren't held out. Repeated rows get equal rows. Other
+    columns of docs play no part, whatever their names; very long texts are scored whole.
     """
     field = fit_field(docs, labels, doc_id, text, label, folds, held, sample)
 

@@ -230,21 +230,29 @@ class Ratios:
         return best / length, total / max(chars, 1), n
 
 
-def _logistic(points: list[tuple[float, int, int]], steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept from a histogram (x, ones, zeros), by Newton's method with a light ridge."""
+def _logistic(points: list[tuple[float, float, float]], steps: int = 100, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and intercept from a histogram (x, ones, zeros): Newton's method on the likelihood with a light ridge, each
+    step halved until it gains."""
     x, one, zero = (np.array(v, float) for v in zip(*points, strict=True)) if points else (np.zeros(1), np.zeros(1), np.ones(1))
-    a, b = 1.0, -2.0
+
+    def gain(v):
+        z = v[0] * x + v[1]
+        return float((one * -np.logaddexp(0, -z) + zero * -np.logaddexp(0, z)).sum() - ridge * (v * v).sum() / 2)
+
+    at = np.array([1.0, -2.0])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -35, 35)))
-        g = one - (one + zero) * p
-        w = (one + zero) * p * (1 - p) + 1e-9
-        grad = np.array([(g * x).sum() - 1e-3 * a, g.sum() - 1e-3 * b])
-        hess = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-3]])
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -35, 35)))
+        g, w = one - (one + zero) * p, (one + zero) * p * (1 - p)
+        grad = np.array([(g * x).sum(), g.sum()]) - ridge * at
+        hess = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
         step = np.linalg.solve(hess, grad)
-        a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -4, 4))
+        now = gain(at)
+        while gain(at + step) < now and abs(step).max() > 1e-9:
+            step = step / 2
+        at = at + step
         if abs(step).max() < 1e-8:
             break
-    return a, b
+    return float(at[0]), float(at[1])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held: int = 0, calibrate: int = 4, passage: int = PASSAGE, order: int = ORDER, keep: tuple[str, ...] = ()) -> DataFrame:

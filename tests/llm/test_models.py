@@ -188,3 +188,60 @@ def test_decontamination(spark, block):
     kept = D.decontaminated(df, bench)
     assert kept.columns == df.columns and {r.text for r in kept.where("doc_id = 103").collect()} == {"plain"}
     assert D.benchmark_hits(df.limit(0), bench).count() == 0
+
+
+def test_line_labels_change_within_documents():
+    """Bad documents of which half the lines are fine: those become good, and transitions don't weld a document together."""
+    rng = np.random.default_rng(3)
+    good, bad = lambda: prose(random.Random(int(rng.integers(1 << 30))), 12), lambda: "@@@ ### %%% BUY " * 4
+    texts = ["\n".join(good() for _ in range(6)) for _ in range(80)] + ["\n".join(bad() if i < 6 else good() for i in range(12)) for _ in range(80)]
+    y = np.array([1] * 80 + [0] * 80)
+    x, size, lines = Q.line_features(texts)
+    field = Q.LineField(x.astype(float), size, lines, y, 0.5, np.arange(160) % 4 == 0)
+    assert np.abs(field.trans - field.trans.mean()).max() < 3, field.trans
+    q = field.quality(x.astype(float), size, lines)
+    assert ((q > 0.5) == (y == 1)).mean() > 0.95
+    gold = Q._hidden(((x - field.mean) / field.scale) @ field.weights, size, lines, y)
+    inside = gold[lines[80] :].reshape(80, 12)
+    assert inside[:, 8:].mean() > 0.9 and inside[:, :6].mean() < 0.1 and gold[: lines[80]].all()
+
+
+def brute_features(text):
+    """A line's ten shares, spelled out; neighbours' are the same of the lines before and after."""
+    out = []
+    for line in (text or "").split("\n"):
+        raw = line.encode()
+        w = re.findall(rb"[^ \t\r\v\f\0]+", raw)
+        if not w:
+            continue
+        n = len(raw)
+        up = sum(65 <= c <= 90 for c in raw) + sum(raw[i - 1] == 0xC3 and 0x80 <= c <= 0x9E for i, c in enumerate(raw) if i)
+        low = sum(97 <= c <= 122 for c in raw) + sum(raw[i - 1] == 0xC3 and c >= 0x9F for i, c in enumerate(raw) if i)
+        share = lambda chars: sum(c in chars for c in raw) / n  # noqa: B023, E731
+        again = sum(a == b for a, b in zip(w, w[1:], strict=False))
+        letters = (up + low) / n
+        out.append([up / n / max(letters, 1e-6), share(Q._SYMBOLS), share(b"!?"), share(b".,;:"), share(b"0123456789"), again / len(w), len(w) / n, letters, math.log1p(n) / 8, float(len(w) > 3)])
+    zero = [0.0] * 10
+    return [a + b + c + [1.0] for a, b, c in zip(out, [zero, *out[:-1]], [*out[1:], zero], strict=True)] if out else []
+
+
+def test_features_and_scores_match_brute_force():
+    texts = [None, "", "One two two, THREE!\n\n  \nÉté à 12%\nx", "same same same\t.\r\n@@ ## ab", "end"]
+    x, size, lines = Q.line_features(texts)
+    want = [brute_features(t) for t in texts]
+    assert np.diff(lines).tolist() == [len(w) for w in want]
+    assert np.allclose(x, np.array([r for w in want for r in w]), atol=1e-5)
+    field = Q.LineField.__new__(Q.LineField)
+    rng = np.random.default_rng(1)
+    field.mean, field.scale, field.weights, field.trans, field.curve = np.zeros(31), np.ones(31), rng.normal(size=31), rng.normal(size=(2, 2)), (2.0, -1.0)
+    import itertools
+
+    q = field.quality(x.astype(float), size, lines)
+    for k, w in enumerate(want):
+        z = good = 0.0
+        weight = size[lines[k] : lines[k + 1]]
+        for y in itertools.product((0, 1), repeat=len(w)):
+            p = math.exp(sum(np.dot(r, field.weights) * v for r, v in zip(w, y, strict=True)) + sum(field.trans[a, b] for a, b in itertools.pairwise(y)))
+            z += p
+            good += p * float(np.dot(weight, y))
+        assert abs(q[k] - (good / z / weight.sum() if len(w) else 0)) < 1e-5
