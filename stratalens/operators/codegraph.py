@@ -10,25 +10,40 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 
 
+def _with_imports(refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """refs (file, name, ...) with _imported: whether the file imports that name."""
+    imported = imports.select(F.col("importer").alias("file"), F.explode("names").alias("name")).distinct().withColumn("_imported", F.lit(True))
+    return refs.join(imported, ["file", "name"], "left").withColumn("_imported", F.coalesce("_imported", F.lit(False)))
+
+
+def _elsewhere(refs: DataFrame, own: DataFrame, symbols: DataFrame) -> DataFrame:
+    """refs joined with symbols of other files: by name where the file imports it, else with names that occur once.
+
+    A name that many files define meets only the references that import it; all others join a table of single names.
+    """
+    single = symbols.groupBy("name").agg(F.count("*").alias("_n")).where("_n = 1").select("name")
+    known = refs.where("_imported").join(own, "name")
+    lone = refs.where("NOT _imported").join(own.join(single, "name", "left_semi"), "name")
+    return known.unionByName(lone).where(F.col("file") != F.col("_file"))
+
+
 def callers(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """qualified, caller, caller_file, line: who calls a symbol, by name, in one of three tiers.
 
-    The call is in the symbol's file, or its file imports that name, or no other symbol has the name. Three equi-joins
-    and one filter; names are counted once.
+    The call is in the symbol's file, or its file imports that name, or no other symbol has the name: three equi-joins
+    that don't overlap, on (file, name), on imported names and on names that occur once.
     """
-    unique = symbols.groupBy("name").agg(F.count("*").alias("_same_name"))
-    imported = imports.select(F.col("importer").alias("caller_file"), F.explode("names").alias("name")).distinct().withColumn("_imported", F.lit(True))
-    found = calls.withColumnRenamed("callee_short", "name").join(symbols.select("qualified", "name", F.col("file").alias("_file")), "name").join(unique, "name").join(imported, ["caller_file", "name"], "left")
-    return found.where((F.col("caller_file") == F.col("_file")) | F.coalesce("_imported", F.lit(False)) | (F.col("_same_name") == 1)).select("qualified", "caller", "caller_file", "line")
+    refs = _with_imports(calls.select("caller", "line", F.col("caller_file").alias("file"), F.col("callee_short").alias("name")), imports)
+    own = symbols.select("qualified", "name", F.col("file").alias("_file"))
+    same = refs.join(own.withColumn("file", F.col("_file")), ["file", "name"])
+    return same.unionByName(_elsewhere(refs, own, symbols)).select("qualified", "caller", F.col("file").alias("caller_file"), "line")
 
 
 def jsx_callers(jsx_refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """qualified, file, line: where other files render a component that they import or that has a name of its own."""
-    unique = symbols.groupBy("name").agg(F.count("*").alias("_same_name"))
-    imported = imports.select(F.col("importer").alias("file"), F.explode("names").alias("name")).distinct().withColumn("_imported", F.lit(True))
+    refs = _with_imports(jsx_refs.select("file", "line", F.col("component").alias("name")), imports)
     own = symbols.where("kind = 'component'").select("qualified", "name", F.col("file").alias("_file"))
-    found = jsx_refs.withColumnRenamed("component", "name").join(own, "name").join(unique, "name").join(imported, ["file", "name"], "left")
-    return found.where((F.col("file") != F.col("_file")) & (F.coalesce("_imported", F.lit(False)) | (F.col("_same_name") == 1))).select("qualified", "file", "line")
+    return _elsewhere(refs, own, symbols).select("qualified", "file", "line")
 
 
 def callees(calls: DataFrame, qualified: str) -> DataFrame:
@@ -84,15 +99,31 @@ def importers(imports: DataFrame, tests_only: bool = False) -> DataFrame:
     return out.where(F.col("importer").rlike("test|spec|__tests__")) if tests_only else out
 
 
+def app_roles(files: DataFrame) -> DataFrame:
+    """file, role (api, page or layout), route_path: what the files under an app folder are to its router."""
+    parts = F.split("path", "/")
+    app = F.array_position(F.slice(parts, F.lit(1), F.size(parts) - 1), "app")
+    names = F.create_map(*[F.lit(x) for kv in fixed.APP_ROLES.items() for x in kv])
+    role = F.try_element_at(names, F.element_at(parts, -1))
+    route = F.concat(F.lit("/"), F.array_join(F.slice(parts, (app + 1).cast("int"), F.greatest((F.size(parts) - app - 1).cast("int"), F.lit(0))), "/"))
+    return files.where((app > 0) & role.isNotNull()).select(F.col("path").alias("file"), role.alias("role"), route.alias("route_path"))
+
+
 def api_endpoints(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """file, route_path, methods: route files under an app folder, and the HTTP verbs they define."""
-    parts = F.split("path", "/")
-    app = F.array_position(parts, "app")
-    routes = files.where((app > 0) & F.col("path").rlike(r"(^|/)route\.ts$")).select(F.col("path").alias("file"), F.concat(F.lit("/"), F.array_join(F.slice(parts, (app + 1).cast("int"), F.greatest((F.size(parts) - app - 1).cast("int"), F.lit(0))), "/")).alias("route_path"))
+    routes = app_roles(files).where("role = 'api'").drop("role")
     verbs = symbols.where(F.col("name").isin(fixed.HTTP_HANDLERS)).groupBy("file").agg(F.array_sort(F.collect_set("name")).alias("methods"))
     return routes.join(verbs, "file", "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
 
 
+def app_views(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """file, role, qualified: the first component of each page, and the functions and components of each layout."""
+    held = symbols.where("kind IN ('component', 'function')").join(app_roles(files).where("role <> 'api'"), "file")
+    first = F.row_number().over(Window.partitionBy("file").orderBy("line_start", "qualified"))
+    pages = held.where("role = 'page' AND kind = 'component'").withColumn("_k", first).where("_k = 1")
+    return pages.select("file", "role", "qualified").union(held.where("role = 'layout'").select("file", "role", "qualified"))
+
+
 def routes_reaching(endpoints: DataFrame, symbols: DataFrame, chains: DataFrame) -> DataFrame:
     """start, route_path: endpoints one of whose handlers is the start or calls it within the chains' depth."""
     handlers = symbols.where(F.col("name").isin(fixed.HTTP_HANDLERS)).join(endpoints.select("file", "route_path"), "file").select("qualified", "name", "route_path")

@@ -70,3 +70,40 @@ def precedents(decisions: DataFrame, category: str, target: str, query: str) ->
     q = topic_tokens(F.lit(query))
     blob = F.concat_ws(" ", "target", "statement")
     return decisions.where((F.col("category") == category) & (F.contains("target", F.lit(target)) | F.arrays_overlap(q, topic_tokens(blob))))
+
+
+def open_conflicts(found: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """Conflicts (a, b, topic) without a decision (a, b)."""
+    return found if decisions is None else found.join(decisions.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def conflicts_involving(found: DataFrame, findings: DataFrame) -> DataFrame:
+    """finding_id, a, b, topic: conflicts on either side of which one of some findings (finding_id) stands."""
+    sides = found.select(F.explode(F.array("a", "b")).alias("finding_id"), "a", "b", "topic")
+    return sides.join(findings.select("finding_id").distinct(), "finding_id", "left_semi")
+
+
+def conflict_decisions(found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """A decision row (category, target, statement, risk, related, reason) for each decided conflict."""
+    d = found.join(decisions, ["a", "b"])
+    return d.select(F.lit("conflict_resolution").alias("category"), F.col("topic").alias("target"), F.col("decision_id").cast("string").alias("statement"), F.lit("medium").alias("risk"), F.array("a", "b").alias("related"), F.concat(F.lit("winner="), F.coalesce(F.col("winner").cast("string"), F.lit("none"))).alias("reason"))
+
+
+def transition_findings(findings: DataFrame, requests: DataFrame, evidence: DataFrame, open_: DataFrame, strict: bool = False) -> DataFrame:
+    """finding_id, status, error for requested states (finding_id, status) of findings (finding_id, evidence_ids, status).
+
+    A state must be one of the known ones and the finding registered. verified needs evidence, all of it registered, and no
+    open conflict (a, b). A refused request keeps the old state and says why; with ``strict`` it fails the job instead.
+    """
+    asked = requests.select("finding_id", F.col("status").alias("wanted"))
+    missing = findings.select("finding_id", F.explode("evidence_ids").alias("id")).join(evidence.select("id"), "id", "left_anti").groupBy("finding_id").agg(F.count("*").alias("n_missing"))
+    hot = open_.select(F.explode(F.array("a", "b")).alias("finding_id")).groupBy("finding_id").agg(F.count("*").alias("n_open"))
+    j = asked.join(findings.select("finding_id", "evidence_ids", F.col("status").alias("old"), F.lit(True).alias("known")), "finding_id", "left").join(missing, "finding_id", "left").join(hot, "finding_id", "left")
+    verifying = F.col("wanted") == "verified"
+    error = (
+        F.when(F.col("known").isNull(), "unknown finding").when(~F.col("wanted").isin(fixed.FINDING_STATES), "invalid status")
+        .when(verifying & (F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0), "no evidence cited").when(verifying & F.col("n_missing").isNotNull(), "unregistered evidence").when(verifying & F.col("n_open").isNotNull(), "unresolved conflict")
+    )
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(F.concat_ws(": ", error, F.col("finding_id").cast("string"))))
+    return j.select("finding_id", F.when(error.isNull(), F.col("wanted")).otherwise(F.col("old")).alias("status"), error.cast("string").alias("error"))

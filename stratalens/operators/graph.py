@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import _persisted
@@ -23,12 +23,18 @@ def fold_nodes(raw: DataFrame) -> DataFrame:
 
 
 def fold_edges(raw: DataFrame) -> DataFrame:
-    """src, dst, type, salt, cnt, props: repeated edges counted, each property from the lowest ord that has it."""
+    """src, dst, type, salt, cnt, props: repeated edges counted, each property from the lowest ord that has it.
+
+    Rows are folded by edge and property first, then by edge: the second grouping is on a part of the first one's key, over
+    as many rows as there are properties, and the edge's own count and layer come with the rows that hold no property.
+    """
     key = ["src", "dst", "type", "salt"]
-    counts = raw.groupBy(*key).agg(F.count("*").alias("cnt"), F.min_by("layer", "ord").alias("layer"))
-    kv = raw.select(*key, "ord", F.explode("props").alias("k", "v")).groupBy(*key, "k").agg(F.min_by("v", "ord").alias("v"))
-    props = kv.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
-    return counts.join(props, key, "left")
+    own = F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("v"))
+    each = raw.select(*key, "ord", "layer", F.explode(F.array_append(F.transform(F.map_entries(F.coalesce("props", F.expr("CAST(map() AS map<string,string>)"))), lambda e: F.struct(e.key.cast("string").alias("k"), e.value.cast("string").alias("v"))), own)).alias("p"))
+    kv = each.groupBy(*key, "p.k").agg(F.min_by("p.v", "ord").alias("v"), F.count("*").alias("n"), F.min_by("layer", "ord").alias("layer"))
+    mine = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
+    props = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
+    return kv.groupBy(*key).agg(mine("n").alias("cnt"), mine("layer").alias("layer"), props.alias("_p")).withColumn("props", F.when(F.size("_p") > 0, F.map_from_entries("_p"))).drop("_p")
 
 
 def prune_layers(nodes: DataFrame, edges: DataFrame, layers: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +122,15 @@ def expand_view(view_nodes: DataFrame, view_edges: DataFrame, edges: DataFrame,
 
 
 def dump_view(view_edges: DataFrame, most: int = 4000) -> DataFrame:
-    """task_id, text: the view's edges as lines, cut to a number of characters."""
-    lines = view_edges.groupBy("task_id").agg(F.array_sort(F.collect_set(F.concat_ws(" ", "src", F.concat(F.lit("-"), F.col("type"), F.lit("->")), "dst"))).alias("l"))
-    return lines.select("task_id", F.left(F.array_join("l", "\n"), F.lit(most)).alias("text"))
+    """task_id, text: the view's edges as sorted lines, cut to a number of characters.
+
+    Only lines that begin within the cut are brought together: a running length over each task's sorted lines tells which.
+    """
+    line = F.concat_ws(" ", "src", F.concat(F.lit("-"), F.col("type"), F.lit("->")), "dst")
+    w = Window.partitionBy("task_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = view_edges.select("task_id", line.alias("line")).distinct().withColumn("at", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)))
+    begun = lines.where(F.col("at") < most).groupBy("task_id").agg(F.array_sort(F.collect_list("line")).alias("l"))
+    return begun.select("task_id", F.left(F.array_join("l", "\n"), F.lit(most)).alias("text"))
 
 
 def subtree(events: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:

@@ -92,6 +92,94 @@ def expected_face(rolled_back: DataFrame, actual: DataFrame) -> DataFrame:
     return added.join(gone, ["sha", "file", "text"], "left").groupBy("sha").agg(F.bool_and(F.coalesce("got", F.lit(0)) >= F.col("want")).alias("expected"))
 
 
+def preservation_face(kept: DataFrame, rolled_back: DataFrame, actual: DataFrame) -> DataFrame:
+    """sha, preservation: the actual patch touches no file that only kept hunks change, and removes no line that a kept hunk
+    added in a file that both sides change.
+
+    kept, rolled_back, actual: hunks (sha, file, lines). A commit without kept hunks is preserved.
+    """
+    ours = rolled_back.select("sha", "file").distinct().withColumn("_shared", F.lit(True))
+    keep_files = kept.select("sha", "file").distinct().join(ours, ["sha", "file"], "left")
+    touched = keep_files.where("_shared IS NULL").join(actual.select("sha", "file").distinct(), ["sha", "file"], "left_semi").select("sha")
+    added = kept.join(ours, ["sha", "file"], "left_semi").select("sha", "file", F.explode("lines").alias("l")).where("l.tag = '+'").select("sha", "file", F.col("l.text").alias("text")).distinct()
+    gone = actual.select("sha", "file", F.explode("lines").alias("l")).where("l.tag = '-'").select("sha", "file", F.col("l.text").alias("text")).distinct()
+    broken = touched.union(added.join(gone, ["sha", "file", "text"], "left_semi").select("sha")).distinct().withColumn("_broken", F.lit(True))
+    return actual.select("sha").distinct().join(broken, "sha", "left").select("sha", F.col("_broken").isNull().alias("preservation"))
+
+
+def scope_face(actual: DataFrame, planned: DataFrame, drift: DataFrame | None = None) -> DataFrame:
+    """sha, scope, outside: whether the actual patch's files (sha, file) are among the planned ones, and which aren't; drift
+    (sha, path, problem) fails it as well."""
+    beyond = actual.select("sha", "file").distinct().join(planned.select("sha", "file").distinct(), ["sha", "file"], "left_anti")
+    listed = beyond.groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("outside"))
+    out = actual.select("sha").distinct().join(listed, "sha", "left")
+    if drift is not None:
+        out = out.join(drift.select("sha").distinct().withColumn("_drift", F.lit(True)), "sha", "left")
+    else:
+        out = out.withColumn("_drift", F.lit(None).cast("boolean"))
+    return out.select("sha", (F.col("outside").isNull() & F.col("_drift").isNull()).alias("scope"), F.coalesce("outside", F.array().cast("array<string>")).alias("outside"))
+
+
+def evidence_face(attempts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """key columns with evidence: an attempt (sha, evidence_ids, has_patches, has_snapshot) cites evidence, all of it
+    registered (id), and has both patches and a snapshot."""
+    cited = attempts.select("sha", F.explode("evidence_ids").alias("id"))
+    lost = cited.join(evidence.select("id"), "id", "left_anti").select("sha").distinct().withColumn("_lost", F.lit(True))
+    whole = (F.coalesce(F.size("evidence_ids"), F.lit(0)) > 0) & F.col("_lost").isNull() & F.col("has_patches") & F.col("has_snapshot")
+    return attempts.join(lost, "sha", "left").select("sha", F.coalesce(whole, F.lit(False)).alias("evidence"))
+
+
+def apply_hunks(lines: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A line table (path, line_no, text) after hunks (file, idx, old_start, old_lines, lines), and path, status of each file.
+
+    A hunk's context and removed lines must be what the table holds from old_start on, else its file is in CONFLICT and
+    keeps its lines; other files are APPLIED_SANDBOX. A hunk without old lines inserts after old_start.
+    """
+    of = lambda tags: F.filter("lines", lambda x: x.tag.isin(*tags))
+    olds = hunks.select(F.col("file").alias("path"), "old_start", F.posexplode(of(" -")).alias("pos", "l")).select("path", (F.col("old_start") + F.col("pos")).alias("line_no"), F.col("l.text").alias("want"))
+    wrong = olds.join(lines, ["path", "line_no"], "left").where(~F.col("want").eqNullSafe(F.col("text"))).select("path").distinct().withColumn("_wrong", F.lit(True))
+    status = hunks.select(F.col("file").alias("path")).distinct().join(wrong, "path", "left").select("path", F.when(F.col("_wrong"), "CONFLICT").otherwise("APPLIED_SANDBOX").alias("status"))
+    good = hunks.join(status.where("status = 'APPLIED_SANDBOX'").select(F.col("path").alias("file")), "file", "left_semi")
+    covered = olds.join(status.where("status = 'APPLIED_SANDBOX'"), "path", "left_semi").select("path", "line_no").distinct()
+    rest = lines.join(covered, ["path", "line_no"], "left_anti").select("path", F.col("line_no").alias("at"), F.lit(0).alias("part"), F.lit(0).alias("pos"), "text")
+    news = good.select(F.col("file").alias("path"), F.col("old_start").alias("at"), F.lit(1).alias("part"), F.posexplode(of(" +")).alias("pos", "l")).select("path", "at", "part", "pos", F.col("l.text").alias("text"))
+    w = Window.partitionBy("path").orderBy("at", "part", "pos")
+    return rest.unionByName(news).withColumn("line_no", F.row_number().over(w)).select("path", "line_no", "text"), status
+
+
+def prepare(plans: DataFrame, expected: DataFrame, current: DataFrame) -> DataFrame:
+    """execution_id, status: PREPARED, or STALE_PLAN where a file of the plan (execution_id, path) is no longer what the
+    snapshot it was made on says (path, hash on both sides)."""
+    moved = plans.select("execution_id", "path").join(snapshot_diff(expected, current), "path").select("execution_id").distinct().withColumn("_moved", F.lit(True))
+    return plans.select("execution_id").distinct().join(moved, "execution_id", "left").select("execution_id", F.when(F.col("_moved"), "STALE_PLAN").otherwise("PREPARED").alias("status"))
+
+
+def patch_status(refs: DataFrame, hunks: DataFrame) -> DataFrame:
+    """sha, status: PATCH_BUILT where all referenced hunks exist, else CONFLICT."""
+    lost = missing_hunks(refs, hunks).select("sha").distinct().withColumn("_lost", F.lit(True))
+    return refs.select("sha").distinct().join(lost, "sha", "left").select("sha", F.when(F.col("_lost"), "CONFLICT").otherwise("PATCH_BUILT").alias("status"))
+
+
+def unchanged(expected: DataFrame, current: DataFrame) -> DataFrame:
+    """current, checked: reading it fails if a file differs from the expected snapshot (path, hash)."""
+    bad = snapshot_diff(expected, current).agg(F.count("*").alias("_n"))
+    held = F.when(F.col("_n") > 0, F.raise_error(F.concat(F.col("_n").cast("string"), F.lit(" files changed since the snapshot"))).cast("string")).otherwise(F.col("path"))
+    return current.crossJoin(F.broadcast(bad)).withColumn("path", held).drop("_n")  # one row
+
+
+def attempt_ids(requests: DataFrame) -> DataFrame:
+    """requests (seq, sha, ...) with execution_id: the number, the commit's first eight characters and a hash of both."""
+    from stratalens.functions.text import stable_id
+
+    return requests.withColumn("execution_id", F.concat_ws("-", F.lpad(F.col("seq").cast("string"), 4, "0"), F.left("sha", F.lit(8)), stable_id("seq", "sha")))
+
+
+def load_attempts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of each attempt in a log of JSON lines (execution_id, ord, status, plan, snapshot, patch_sha)."""
+    schema = "execution_id string, ord bigint, status string, plan string, snapshot map<string,string>, patch_sha string"
+    return latest(spark.read.schema(schema).json(path).where("execution_id IS NOT NULL"))
+
+
 def validation_status(results: DataFrame) -> DataFrame:
     """execution_id, status, tests: VALIDATED unless a command didn't pass; tests holds only if there was one."""
     bad = F.count_if(F.coalesce("result", F.lit("PASSED")) != "PASSED")

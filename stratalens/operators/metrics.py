@@ -54,12 +54,26 @@ def preservation(rollback: DataFrame, pred_keep: DataFrame, gold_keep: DataFrame
 
 
 def tolerant_hits(gold: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
-    """by, gold: gold symbols that contain, or are contained in, a predicted one, and commits equal in eight characters."""
+    """by, gold: gold symbols that contain, or are contained in, a predicted one or have its short name, and commits equal in
+    eight characters."""
     j = gold.join(pred, by)
-    ok = F.contains("gold", F.col("pred")) | F.contains("pred", F.col("gold")) | (F.col("gold").rlike("^[0-9a-f]{8,}$") & F.startswith("pred", F.left("gold", F.lit(8))))
+    short = lambda c: F.element_at(F.split(c, "::"), -1)
+    ok = (short("gold") == short("pred")) | F.contains("gold", F.col("pred")) | F.contains("pred", F.col("gold")) | (F.col("gold").rlike("^[0-9a-f]{8,}$") & F.startswith("pred", F.left("gold", F.lit(8))))
     return j.where(ok).select(*by, "gold").distinct()
 
 
+def exact_hits(gold: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
+    """by, gold: gold files that are predicted under just that path."""
+    return gold.select(*by, "gold").distinct().join(pred.select(*by, F.col("pred").alias("gold")), [*by, "gold"], "left_semi")
+
+
+def label_accuracy(rows: DataFrame, arm: str = "arm") -> DataFrame:
+    """arm, units, label_accuracy, mapping_accuracy (over the units that have a mapping), coverage: rows of label, gold and
+    mapped (null without a mapping), rounded to three places."""
+    share = lambda c: F.round(F.coalesce(F.avg(c.cast("double")), F.lit(0.0)), 3)
+    return rows.groupBy(arm).agg(F.count("*").alias("units"), share(F.coalesce(F.col("label") == F.col("gold"), F.lit(False))).alias("label_accuracy"), share(F.col("mapped")).alias("mapping_accuracy"), share(F.col("mapped").isNotNull()).alias("coverage"))
+
+
 def macro_means(scores: DataFrame, by: list[str], metrics: list[str], places: int = 4) -> DataFrame:
     """Mean of each named metric over the rows that have it."""
     return scores.groupBy(*by).agg(*[F.round(F.avg(F.col(m).cast("double")), places).alias(m) for m in metrics])

@@ -88,3 +88,24 @@ def allowed_command(argv: Column, executables: list[str]) -> Column:
     """Whether a command's executable is on the white list and no shell is asked for."""
     first = F.element_at(F.split(F.get(argv, 0), "/"), -1)
     return F.coalesce(first.isin(executables) & ~F.exists(argv, lambda a: a.rlike(r"[;&|`$<>\n]")), F.lit(False))
+
+
+def allowed_git(argv: Column, sandbox: bool = False) -> Column:
+    """Whether a git command (its arguments, without ``git``) may run: one that only reads; in a sandbox one of those that
+    sandboxes take, with no other flags than theirs, worktrees only added detached, indexes never written in place."""
+    head = F.get(argv, 0)
+    if not sandbox:
+        return F.coalesce(head.isin(fixed.GIT_READS), F.lit(False))
+    flags = F.create_map(*[x for k, v in fixed.GIT_SANDBOX_FLAGS.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]).cast("array<string>"))])
+    known = F.try_element_at(flags, head)
+    rest = F.slice(argv, F.lit(2), F.size(argv))
+    fits = F.forall(rest, lambda a: ~F.startswith(a, F.lit("-")) | F.array_contains(known, a))
+    tree = (head != "worktree") | (F.coalesce(F.get(argv, 1).isin("add", "remove", "prune", "list"), F.lit(False)) & ((F.get(argv, 1) != "add") | F.array_contains(argv, "--detach")))
+    index = (head != "read-tree") & ~((head == "apply") & F.array_contains(argv, "--cached"))
+    return F.coalesce(known.isNotNull() & fits & tree & index, F.lit(False))
+
+
+def gate_decisions(gated: DataFrame, key: str) -> DataFrame:
+    """A decision row (category, target, statement, risk, policy_version, triggered) for each gated row, as a register keeps it."""
+    said = F.concat_ws(": ", F.coalesce("rule", F.lit("no rule")), "action")
+    return gated.select(F.lit("policy_gate").alias("category"), F.col(key).cast("string").alias("target"), said.alias("statement"), "risk", "policy_version", "triggered")

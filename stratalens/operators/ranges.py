@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def containing(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
+#: Width of the buckets that intervals and points are dealt to.
+BUCKET = 256
+
+
+def containing(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, end: str, bucket: int | None = BUCKET) -> DataFrame:
     """points joined with the intervals of the same key that hold them (both ends included).
 
-    With a bucket width, each interval is dealt to the buckets it spans and the join is on (key, bucket), so a key with
-    many intervals isn't compared as a whole.
+    Each interval is dealt to the buckets it spans and the join is on (key, bucket), so a key with many intervals isn't
+    compared as a whole. Without a bucket width (None) the join is on the key alone.
     """
     if bucket is None:
         return points.join(intervals, on).where(F.col(point).between(F.col(start), F.col(end)))
@@ -18,7 +22,7 @@ def containing(points: DataFrame, intervals: DataFrame, on: list[str], point: st
     return points.withColumn("_bucket", F.floor(F.col(point) / bucket)).join(dealt, [*on, "_bucket"]).where(F.col(point).between(F.col(start), F.col(end))).drop("_bucket")
 
 
-def innermost(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, end: str, tie: list[str], point_key: list[str], bucket: int | None = None) -> DataFrame:
+def innermost(points: DataFrame, intervals: DataFrame, on: list[str], point: str, start: str, end: str, tie: list[str], point_key: list[str], bucket: int | None = BUCKET) -> DataFrame:
     """For each point the narrowest interval that holds it; the first by ``tie`` of equally narrow ones."""
     w = Window.partitionBy(*point_key).orderBy((F.col(end) - F.col(start)).asc(), *tie)
     return containing(points, intervals, on, point, start, end, bucket).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
