@@ -23,14 +23,20 @@ def order_key(doc_id: Column, copy: Column, seed: str) -> Column:
     return F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("\x00")), copy.cast("string"), F.lit("order"))), 1, 16)
 
 
+def range_of(key: str, parts: int) -> Column:
+    """Which of so many equal ranges a uniform key of hex digits falls into, from its first 7."""
+    return F.floor(F.conv(F.substring(key, 1, 7), 16, 10).cast("bigint") * parts / (1 << 28)).cast("int")
+
+
 def poisson(rate: Column, u: Column) -> Column:
     """The count k at which a Poisson distribution of this mean first reaches beyond u."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
+    # u is carried along, since an expression inside the steps would be hashed anew in each of them
+    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), u.alias("u"))
 
     def step(x, i):
-        on = x.cdf <= u
+        on = x.cdf <= x.u
         p = x.p * rate / i
-        return F.struct(F.when(on, i.cast("int")).otherwise(x.k).alias("k"), p.alias("p"), F.when(on, x.cdf + p).otherwise(x.cdf).alias("cdf"))
+        return F.struct(F.when(on, i.cast("int")).otherwise(x.k).alias("k"), p.alias("p"), F.when(on, x.cdf + p).otherwise(x.cdf).alias("cdf"), x.u.alias("u"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda x: x.k)
 
@@ -59,21 +65,22 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
 
     The count inverts the Poisson distribution at a number hashed from seed and doc_id, so it doesn't depend on
     partitions or lost executors and its mean is the rate. Rates over MOST_RATE are split into a whole number of equal
-    draws. Rows are sorted by mix_key, a hash of (seed, doc_id, copy), over range partitions: a global shuffle whose
-    order is (mix_key, doc_id, copy). Null ids hash as one id; repeated rows get equal counts. Columns of docs named
-    copy or mix_key are replaced. An empty table gives an empty one.
+    draws. Rows are sorted by mix_key, a hash of (seed, doc_id, copy), over partitions that are its ranges: a global
+    shuffle whose order is (mix_key, doc_id, copy). The key is uniform, so ranges follow from its leading digits and
+    nothing is sampled; there are ``spark.sql.shuffle.partitions`` of them. Null ids hash as one id; repeated rows get equal
+    counts. Columns of docs named copy or mix_key are replaced. An empty table gives an empty one.
     """
-    rates = source_rates(docs, source, weights, temperature, size).select(F.col("source_key").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    draws, count = free_name(docs, "_draws", "_count")
+    origin, rate, draws, count = free_name(docs, "_source", "_rate", "_draws", "_count")
+    rates = source_rates(docs, source, weights, temperature, size).select(F.col("source_key").alias(origin), F.col("rate").alias(rate))
     keep = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    rated = docs.join(F.broadcast(rates), col(source).eqNullSafe(F.col("_mix_source"))) if _few(rates) else docs.join(rates, col(source).eqNullSafe(F.col("_mix_source")))
-    n = F.greatest(F.ceil(F.col("_mix_rate") / MOST_RATE), F.lit(1)).cast("int")
-    one = F.col("_mix_rate") / n
+    rated = docs.join(F.broadcast(rates), col(source).eqNullSafe(F.col(origin))) if _few(rates) else docs.join(rates, col(source).eqNullSafe(F.col(origin)))
+    n = F.greatest(F.ceil(F.col(rate) / MOST_RATE), F.lit(1)).cast("int")
+    one = F.col(rate) / n
     total = F.aggregate(F.sequence(F.lit(1), F.col(draws)), F.lit(0), lambda s, i: s + poisson(one, uniform(col(doc_id), i, seed=seed)))
     out = rated.withColumn(draws, n).withColumn(count, total).where(F.col(count) > 0)
     out = out.select(*[col(c) for c in keep], F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("copy"))
     out = out.withColumn("mix_key", order_key(col(doc_id), F.col("copy"), seed))
-    return out.repartitionByRange("mix_key", col(doc_id), "copy").sortWithinPartitions("mix_key", col(doc_id), "copy")
+    return out.repartitionById(parts := int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), range_of("mix_key", parts)).sortWithinPartitions("mix_key", col(doc_id), "copy")
 
 
 def _few(rates: DataFrame, most: int = 100_000) -> bool:
