@@ -9,16 +9,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder all executors share (spark.checkpoint.dir; a temporary one where unset)."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in the folder that all executors share (``spark.checkpoint.dir``), which cuts its lineage, and its path.
+
+    Only where Spark runs on this machine alone a temporary folder stands in for an unset one.
+    """
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="stratalens-")
         spark.sparkContext.setCheckpointDir(where)
     path = f"{where.rstrip('/')}/stratalens/labels-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _persisted(df: DataFrame) -> DataFrame:
+    return _written(df)[0]
+
+
+def _deleted(df: DataFrame, path: str) -> None:
+    """Delete a table that nothing reads any more, through Hadoop's file system."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -27,17 +43,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Alternates two steps until nothing changes: every node hands its neighbours the smallest label around it, then every
     label is replaced by its own label. Labels only fall, and long chains halve with each round. Hub nodes are safe:
     minima are combined before the shuffle and skewed joins are split at run time. Null ends are left out; a self-loop
-    is a node of its own; repeated edges count once.
+    is a node of its own; repeated edges count once. A round's labels are deleted once the next ones are written.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     e = _persisted(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels = _persisted(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
+    labels, old = _written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
     while True:
         near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
         low = labels.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "n").alias("l"))
         jump = low.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new = _persisted(low.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        new, path = _written(low.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
+        _deleted(edges, old)
+        old = path
         if new.where("old <> l").isEmpty():
             return new.select(F.col("u").alias("node"), F.col("l").alias("component"))
         labels = new.select("u", "l")

@@ -17,10 +17,12 @@ from stratalens.functions import fixed
 FACT_SCHEMA = "fact string, file string, name string, kind string, line_start int, line_end int, exported boolean, detail string, names array<string>, caller string"
 _CJK = re.compile("[一-鿿]")
 _TOKEN = re.compile(r"""//[^\n]*|/\*.*?\*/|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.S)
+#: Parentheses with others within, destructured parameters included.
+_PARENS = r"\((?:[^()]|\([^()]*\))*\)"
 _DECL = re.compile(
-    r"(?P<exp>export\s+)?(?:default\s+)?(?:async\s+)?(?:(?P<fn>function)\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*)\s*(?P<params>\([^{;]*?\))"
+    r"(?P<exp>export\s+)?(?:default\s+)?(?:async\s+)?(?:(?P<fn>function)\s*\*?\s*(?P<fname>[A-Za-z_$][\w$]*)\s*(?P<params>" + _PARENS + r")"
     r"|(?P<cls>class)\s+(?P<cname>[A-Za-z_$][\w$]*)"
-    r"|(?:const|let|var)\s+(?P<vname>[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?P<wrap>(?:[\w$]+\.)?(?:" + "|".join(fixed.WRAPPERS) + r")\s*(?:<[^>]*>)?\s*\(\s*)?(?:async\s*)?(?:function\b[^{]*|(?:\([^;{}]*?\)|[A-Za-z_$][\w$]*)\s*(?::[^=;{]+)?=>))"
+    r"|(?:const|let|var)\s+(?P<vname>[A-Za-z_$][\w$]*)\s*(?::[^=;]+)?=\s*(?P<wrap>(?:[\w$]+\.)?(?:" + "|".join(fixed.WRAPPERS) + r")\s*(?:<[^>]*>)?\s*\(\s*)?(?:async\s*)?(?:function\b[^{]*|(?:" + _PARENS + r"|[A-Za-z_$][\w$]*)\s*(?::[^=;{]+)?=>))"
 )
 _METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::[^{;]+)?\{", re.M)
 _IMPORT = re.compile(r"import\s+(?:type\s+)?(?P<what>[^'\"`;]*?)\s*(?:from\s*)?(?P<q>['\"`])(?P<from>[^'\"`]*)(?P=q)")

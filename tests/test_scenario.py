@@ -3,20 +3,20 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators import cochange, components, graph, lifecycle, ranges, units
+from stratalens.operators import cochange, codegraph, components, evidence, graph, lifecycle, ranges, units
 from stratalens.plans import tasks
 from stratalens.sources.script_facts import facts_of
 
 FILES = {
-    "src/app/layout.tsx": "import './globals.css'\nexport const metadata = { title: '教学设计系统' }\nexport default function RootLayout({ children }) {\n  return <html><body>{children}</body></html>\n}\n",
+    "src/app/layout.tsx": "import './globals.css'\nexport const metadata = { title: '园艺手册' }\nexport default function RootLayout({ children }) {\n  return <html><body>{children}</body></html>\n}\n",
     "src/app/login/page.tsx": "import { login } from '@/lib/auth'\nexport default function LoginPage() {\n  const submit = useCallback(async () => {\n    await login('a', 'b')\n  }, [])\n  return <Button onClick={submit}>登录</Button>\n}\n",
     "src/components/Button.tsx": "export const Button = (props) => {\n  return <button {...props} />\n}\n",
     "src/lib/auth.ts": "import { request } from './http'\nexport async function login(account: string, password: string) {\n  if (!account) { throw new Error('no account') }\n  return request('/api/auth/login')\n}\nexport class Session {\n  refresh(token) {\n    return request(token)\n  }\n}\n",
     "src/lib/http.ts": "export function request(url) {\n  return fetch(url)\n}\n",
-    "src/lib/ai-helpers.ts": "export async function generateWithRetry(prompt) {\n  return prompt\n}\nexport function generateReview(p) {\n  return generateWithRetry(p)\n}\n",
-    "src/app/api/generate/route.ts": "import { generateReview } from '@/lib/ai-helpers'\nexport async function POST(req) {\n  return generateReview(await req.json())\n}\n",
+    "src/lib/drafts.ts": "export async function draftTwice(seed) {\n  return seed + seed\n}\nexport function reviewDraft(seed) {\n  return draftTwice(seed)\n}\n",
+    "src/app/api/drafts/route.ts": "import { reviewDraft } from '@/lib/drafts'\nexport async function POST(req) {\n  return reviewDraft(await req.json())\n}\n",
     "src/app/api/auth/login/route.ts": "import { login } from '../../../../lib/auth'\nexport async function POST(req) {\n  return login(req.a, req.b)\n}\n",
-    "README.md": "# teaching app\n",
+    "README.md": "# garden notes\n",
 }
 
 
@@ -29,15 +29,15 @@ def hunk(sha, file, idx, start, lines):
 @pytest.fixture(scope="module")
 def repo(spark):
     files = spark.createDataFrame(list(FILES.items()), "path string, content string")
-    touched = {"c1": [f for f in FILES if f != "README.md"], "c2": ["src/lib/ai-helpers.ts"], "c3": ["src/app/layout.tsx", "src/lib/auth.ts", "src/app/login/page.tsx"], "c4": ["README.md"]}
-    messages = ["init: scaffold app", "feat: raise generate retry budget", "chore: reword system title and tighten login account validation", "docs: add readme"]
+    touched = {"c1": [f for f in FILES if f != "README.md"], "c2": ["src/lib/drafts.ts"], "c3": ["src/app/layout.tsx", "src/lib/auth.ts", "src/app/login/page.tsx"], "c4": ["README.md"]}
+    messages = ["begin: garden notes", "feat: a second draft of each note", "mixed: new page title, stricter login account check", "docs: how to plant"]
     commits = spark.createDataFrame([(s, m, k) for k, (s, m) in enumerate(zip(touched, messages, strict=True))], "sha string, subject string, ord int")
     cf = spark.createDataFrame([(s, f) for s, fs in touched.items() for f in fs], "sha string, file string")
     hunks = spark.createDataFrame(
         [
-            hunk("c3", "src/app/layout.tsx", 0, 2, [("-", "export const metadata = { title: '旧标题' }"), ("+", "export const metadata = { title: '教学设计系统' }")]),
+            hunk("c3", "src/app/layout.tsx", 0, 2, [("-", "export const metadata = { title: '旧手册标题' }"), ("+", "export const metadata = { title: '园艺手册' }")]),
             hunk("c3", "src/lib/auth.ts", 0, 2, [(" ", "export async function login(account: string, password: string) {"), ("+", "  if (!account) { throw new Error('no account') }")]),
-            hunk("c3", "src/app/login/page.tsx", 0, 4, [("-", "    await login('a')"), ("+", "    await login('a', 'b') // login password")]),
+            hunk("c3", "src/app/login/page.tsx", 0, 4, [("-", "    await login('a')"), ("+", "    await login('a', 'b')")]),
         ],
         "sha string, file string, idx int, old_start int, old_lines int, new_start int, new_lines int, lines array<struct<tag:string,text:string>>",
     )
@@ -62,24 +62,52 @@ def test_imports_and_endpoints(repo):
     assert got["src/app/login/page.tsx", "@/lib/auth"] == "src/lib/auth.ts"
     assert got["src/app/api/auth/login/route.ts", "../../../../lib/auth"] == "src/lib/auth.ts"
     assert got["src/app/layout.tsx", "./globals.css"] == ""
-    assert {(r.route_path, tuple(r.methods)) for r in repo.endpoints.collect()} == {("/api/generate", ("POST",)), ("/api/auth/login", ("POST",))}
+    assert {(r.route_path, tuple(r.methods)) for r in repo.endpoints.collect()} == {("/api/drafts", ("POST",)), ("/api/auth/login", ("POST",))}
 
 
 def test_locate(repo):
-    lexical = tasks.locate(repo, "系统标题在哪里修改").collect()
+    lexical = tasks.locate(repo, "手册标题在哪里修改").collect()
     assert lexical[0].path == "src/app/layout.tsx"
-    by_graph = tasks.locate(repo, "系统标题在哪里修改", "graph").collect()
+    by_graph = tasks.locate(repo, "手册标题在哪里修改", "graph").collect()
     assert by_graph[0].path == "src/app/layout.tsx" and by_graph[0].score > lexical[0].score
-    exact = tasks.locate(repo, "where is generateWithRetry", "structural").collect()
-    assert exact[0].path == "src/lib/ai-helpers.ts"
+    exact = tasks.locate(repo, "where is draftTwice", "structural").collect()
+    assert exact[0].path == "src/lib/drafts.ts"
     assert tasks.locate(repo, "的").count() == 0
 
 
+def test_graph_adds_places(repo):
+    """A symbol's file that no line names, and a file that only shows a string."""
+    by_graph = {r.path: r.score for r in tasks.locate(repo, "who uses draftTwice in 手册", "graph").collect()}
+    assert by_graph["src/lib/drafts.ts"] > 0
+    few = {r.path for r in tasks.locate(repo, "登录", "lexical").collect()}
+    assert few <= {r.path for r in tasks.locate(repo, "登录", "graph").collect()}
+
+
+def test_impact_history_paths_and_fallback(repo, spark):
+    rows = tasks.impact(repo, "login").collect()
+    buckets = {r.bucket for r in rows}
+    assert {"callers", "importing_files", "routes", "cochanged", "path"} <= buckets
+    path = next(r for r in rows if r.bucket == "path")
+    assert path.file == "src/app/api/auth/login/route.ts" and path.name.endswith("sym:src/lib/auth.ts::login")
+    assert "src/app/login/page.tsx" in {r.file for r in rows if r.bucket == "cochanged"}
+    assert {r.bucket for r in tasks.impact(repo, "login", "structural").collect()}.isdisjoint({"cochanged", "path"})
+    repo.extra["blame"] = spark.createDataFrame([("src/lib/auth.ts", 3, "c3"), ("src/lib/auth.ts", 2, "c1"), ("src/lib/auth.ts", 9, "c9")], "file string, line_no int, sha string")
+    assert {r.name for r in tasks.impact(repo, "login").collect() if r.bucket == "blamed"} == {"c1", "c3"}
+    del repo.extra["blame"]
+    guess = {(r.bucket, r.file) for r in tasks.impact(repo, "useCallback").collect()}
+    assert guess == {("call", "src/app/login/page.tsx")}
+
+
+def test_app_views(repo):
+    got = {(r.role, r.qualified) for r in codegraph.app_views(repo.facts["symbols"], repo.files).collect()}
+    assert got == {("page", "src/app/login/page.tsx::LoginPage"), ("layout", "src/app/layout.tsx::RootLayout")}
+
+
 def test_impact(repo):
-    rows = tasks.impact(repo, "generateWithRetry").collect()
-    assert ("callers", "src/lib/ai-helpers.ts") in {(r.bucket, r.file) for r in rows}
-    assert ("indirectly_affected", "src/app/api/generate/route.ts") in {(r.bucket, r.file) for r in rows}
-    assert ("routes", "/api/generate") in {(r.bucket, r.file) for r in rows}
+    rows = tasks.impact(repo, "draftTwice").collect()
+    assert ("callers", "src/lib/drafts.ts") in {(r.bucket, r.file) for r in rows}
+    assert ("indirectly_affected", "src/app/api/drafts/route.ts") in {(r.bucket, r.file) for r in rows}
+    assert ("routes", "/api/drafts") in {(r.bucket, r.file) for r in rows}
     rows = tasks.impact_of_query(repo, "Button?").collect()
     assert ("callers", "src/app/login/page.tsx") in {(r.bucket, r.file) for r in rows}
 
@@ -90,7 +118,21 @@ def test_rollback_splits_the_mixed_commit(repo):
     assert got == {("auth", ("src/app/login/page.tsx", "src/lib/auth.ts"), "ROLLBACK"), ("title", ("src/app/layout.tsx",), "KEEP")}
     assert out["risk"].first().risk == 0.0
     done = tasks.execute(repo, out["units"], repo.spark.createDataFrame([("e", "PASSED")], "execution_id string, result string"))
-    assert done["missing"].count() == 0 and done["verification"].first().overall == "VERIFIED"
+    assert done["missing"].count() == 0 and done["verification"].first().overall == "VERIFIED" and done["status"].first().status == "PATCH_BUILT"
+    assert {r.path: r.status for r in done["applied"].collect()} == {"src/lib/auth.ts": "APPLIED_SANDBOX", "src/app/login/page.tsx": "APPLIED_SANDBOX"}
+    after = [r.text for r in done["after"].where("path = 'src/app/login/page.tsx'").orderBy("line_no").collect()]
+    assert after[3] == "    await login('a')" and len(after) == len(FILES["src/app/login/page.tsx"].split("\n"))
+    assert out["coupling_check"].first().asDict() == {"rollback_files": 2, "keep_files": 1, "couplings": 0}
+    assert {r.side: r.domains for r in out["hints"].collect()} == {"problem": ["auth"], "keep": ["title"]}
+    # faces that fail: a kept line goes, a kept file is touched, a file is outside the plan, evidence isn't registered
+    judged = out["units"]
+    other = judged.withColumn("files", F.array(F.lit("elsewhere.ts")))
+    bad = tasks.execute(repo, other, None)["verification"].first()
+    assert not bad.scope and bad.overall == "FAILED" and not bad.tests
+    unknown = tasks.execute(repo, judged.withColumn("unit_id", F.lit("nobody")), repo.spark.createDataFrame([("e", "PASSED")], "execution_id string, result string"))["verification"].first()
+    assert not unknown.evidence and unknown.overall == "PARTIAL"
+    moved = tasks.Repository(repo.spark, repo.files.withColumn("content", F.replace("content", F.lit("no account"), F.lit("none"))), repo.commits, repo.commit_files, repo.hunks)
+    assert {r.path: r.status for r in tasks.execute(moved, judged)["applied"].collect()}["src/lib/auth.ts"] == "CONFLICT"
     assert any("-  if (!account)" in r.patch for r in done["patch"].collect())
     assert {r.file for r in out["contract"].where("contract = 'REVERT'").collect()} == {"src/app/login/page.tsx", "src/lib/auth.ts"}
 
@@ -100,7 +142,18 @@ def test_history_and_orchestrate(repo):
     out = tasks.orchestrate(repo, "登录 login 坏了", "标题")
     sides = {r.unit_id: r.side for r in out["sides"].collect()}
     assert sorted(sides.values()) == ["keep", "problem"]
-    assert out["gate"].first().recommendation in ("PASS", "HUMAN_REVIEW", "BLOCK")
+    gate = out["gate"].first()
+    assert gate.recommendation in ("PASS", "HUMAN_REVIEW", "BLOCK") and gate.invalid_graph_paths >= 0 and out["decisions"].first().category == "policy_gate"
+    assert out["view_nodes"].count() > 0
+    f = repo.spark.createDataFrame([("f1", ["nowhere"], "login broke"), ("f2", ["x"], "title stays")], "finding_id string, evidence_ids array<string>, statement string")
+    rows = repo.spark.createDataFrame([("ast", "t", "l", 0)], "type string, target string, location string, ord int")
+    known = evidence.register_evidence(rows).first().id
+    f = f.withColumn("evidence_ids", F.when(F.col("finding_id") == "f2", F.array(F.lit(known))).otherwise(F.col("evidence_ids")))
+    failed = repo.spark.createDataFrame([("e", "FAILED"), ("e", None)], "execution_id string, result string")
+    gate = tasks.orchestrate(repo, "登录 login 坏了", "标题", f, rows, failed)["gate"].first()
+    assert gate.unsupported_findings == 1 and gate.unresolved_test_failures == 1 and gate.action != "PASS"
+    all_ = tasks.compound(repo, "登录 login 坏了", "标题", f, rows)
+    assert all_["commits"].first().sha == "c3" and all_["verified_fraction"].first()[0] in (0.0, 0.5)
 
 
 def test_graph(repo):
@@ -125,6 +178,9 @@ def test_evaluate(spark):
     gold = spark.createDataFrame([("t", "a"), ("u", "y")], "task_id string, item string")
     got = {r.mode: (r.precision, r.recall) for r in tasks.evaluate(pred, gold, spark.createDataFrame([("t", "locate"), ("u", "locate")], "task_id string, task_type string")).collect()}
     assert got == {"lexical": (0.5, 1.0), "graph": (0.0, 0.0)}
+    runs = spark.createDataFrame([("t", "lexical", None), ("u", "lexical", "broke"), ("u", "graph", None)], "task_id string, mode string, error string")
+    all_ = {r.mode: (r.precision, r.runs, r.errors) for r in tasks.evaluate(pred, gold, spark.createDataFrame([("t", "locate"), ("u", "locate")], "task_id string, task_type string"), runs).collect()}
+    assert all_ == {"lexical": (0.25, 2, 1), "graph": (0.0, 1, 0)}
 
 
 def test_components_match_union_find(spark):
