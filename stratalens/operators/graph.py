@@ -79,19 +79,20 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, types: list[
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6, types: list[str] | None = None) -> DataFrame:
     """start, end, path, hops: a shortest path over edges taken both ways, the least of equal ones; none beyond max_hops.
 
-    Breadth-first level by level; a start stops when its end is found, and nodes seen before aren't entered again.
+    Breadth-first level by level from each start, once for all its ends; a start stops when all of them are found, and
+    nodes seen before aren't entered again.
     """
     step = _persisted(_steps(edges, types, "both"))
     todo = _persisted(pairs.select("start", "end").distinct())
-    seen = _persisted(todo.select("start", "end", F.col("start").alias("id"), F.array("start").alias("path")))
-    frontier, found = seen, seen.where("id = end")
-    for d in range(1, max_hops + 1):
-        frontier = frontier.join(found.select("start", "end"), ["start", "end"], "left_anti")
-        new = frontier.join(step, F.col("id") == F.col("u")).groupBy("start", "end", F.col("v").alias("id")).agg(F.min("path").alias("path"))
-        new = _persisted(new.join(seen.select("start", "end", "id"), ["start", "end", "id"], "left_anti").select("start", "end", "id", F.concat("path", F.array("id")).alias("path")))
+    seen = _persisted(todo.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct())
+    frontier, found = seen, todo.where("start = end").select("start", "end", F.array("start").alias("path"))
+    for _ in range(max_hops):
+        open_ = todo.join(found.select("start", "end"), ["start", "end"], "left_anti").select("start").distinct()
+        new = frontier.join(open_, "start", "left_semi").join(step, F.col("id") == F.col("u")).groupBy("start", F.col("v").alias("id")).agg(F.min("path").alias("path"))
+        new = _persisted(new.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.concat("path", F.array("id")).alias("path")))
         if new.isEmpty():
             break
-        found = found.unionByName(new.where("id = end"))
+        found = found.unionByName(new.join(todo.withColumnRenamed("end", "id"), ["start", "id"]).select("start", F.col("id").alias("end"), "path"))
         seen, frontier = seen.unionByName(new), new
     return found.select("start", "end", "path", (F.size("path") - 1).alias("hops"))
 

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.operators import codegraph, evidence, graph, lifecycle, metrics, policy, search, semantic
 
-from .fact_queries import fk_edges, text
+from .fact_queries import _FK, fk_edges, text
 from .registry import query
 from .search_queries import _LINES, doc_matches, table
 
 
-@query("gold_tolerant", "WITH g AS (SELECT p_size AS k, p_brand || '::' || p_type AS gold FROM part), p AS (SELECT DISTINCT p_size AS k, p_type AS pred FROM part WHERE p_partkey % 3 = 0) SELECT DISTINCT k, gold FROM g WHERE EXISTS (SELECT 1 FROM p WHERE p.k = g.k AND (contains(gold, pred) OR contains(pred, gold)))")
+@query("gold_tolerant", "WITH g AS (SELECT p_size AS k, p_brand || '::' || p_type AS gold FROM part), p AS (SELECT DISTINCT p_size AS k, p_type AS pred FROM part) SELECT DISTINCT k, gold FROM g WHERE EXISTS (SELECT 1 FROM p WHERE p.k = g.k AND (contains(gold, pred) OR contains(pred, gold)))")
 def gold_tolerant(spark, d):
     part = table(spark, d, "part")
     gold = part.select(F.col("p_size").alias("k"), F.concat_ws("::", "p_brand", "p_type").alias("gold"))
-    return metrics.tolerant_hits(gold, part.where("p_partkey % 3 = 0").select(F.col("p_size").alias("k"), F.col("p_type").alias("pred")).distinct(), ["k"])
+    return metrics.tolerant_hits(gold, part.select(F.col("p_size").alias("k"), F.col("p_type").alias("pred")).distinct(), ["k"])
 
 
 @query("plan_contract", "SELECT o_orderkey AS unit_id, f AS file, CASE WHEN o_orderkey % 2 = 0 THEN 'f1::a' ELSE '' END AS s, CASE WHEN o_orderstatus = 'F' THEN 'REVERT' ELSE 'UNCHANGED' END AS contract FROM orders, (VALUES ('f1')) t(f) UNION ALL SELECT o_orderkey, 'f2', 'f2::b', CASE WHEN o_orderstatus = 'F' THEN 'REVERT' ELSE 'UNCHANGED' END FROM orders")
@@ -116,9 +116,8 @@ def layer_ladder(spark, d):
     return out
 
 
-@query("view_dump", "SELECT 'n1' AS task_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT 1 FROM nation)")
+@query("view_dump", f"WITH {_FK}, l AS (SELECT DISTINCT src || ' -' || type || '-> ' || dst AS line FROM e WHERE src = 'n1' OR dst = 'n1') SELECT 'n1' AS task_id, sha256(left(string_agg(line, chr(10) ORDER BY line), 4000)) AS digest FROM l")
 def view_dump(spark, d):
     targets = spark.range(1).select(F.lit("n1").alias("task_id"), F.lit("n1").alias("target"))
     nodes = fk_edges(spark, d).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    dump = graph.dump_view(graph.task_view(nodes, fk_edges(spark, d), targets)[1])
-    return dump.where(F.length("text") <= 4000).groupBy("task_id").agg(F.count("*").alias("n"))
+    return graph.dump_view(graph.task_view(nodes, fk_edges(spark, d), targets)[1]).select("task_id", F.sha2("text", 256).alias("digest"))

@@ -20,7 +20,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def doc_files(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return table(spark, d, "documents").where("lang = 'en'").select(path.alias("path"), F.col("text").alias("content"))
+    return table(spark, d, "documents").select(path.alias("path"), F.col("text").alias("content"))
 
 
 def doc_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def doc_matches(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = r"""
-f AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS path, text FROM documents WHERE lang = 'en'),
+f AS (SELECT 'docs/' || source || '/' || doc_id || '.md' AS path, text FROM documents),
 l AS (SELECT path, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS text, unnest(range(1, len(regexp_split_to_array(text, '\r\n|\r|\n')) + 1)) AS line_no FROM f),
 t(ord, term) AS (VALUES (0, 'that'), (1, 'with'), (2, 'heat'), (3, 'from'), (4, 'this'), (5, 'loser')),
 a AS (SELECT path, line_no, text, term, row_number() OVER (PARTITION BY path, line_no ORDER BY ord) AS r FROM l JOIN t ON regexp_matches(l.text, '(?i)\b' || term || '\b')),
