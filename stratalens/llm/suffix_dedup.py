@@ -11,7 +11,8 @@ a corpus moves many times its size, so only suffixes that can repeat are sorted:
 3. Open classes are dealt by core, one text for each class, and a suffix array over their windows is built by the
    difference cover {1, 2} modulo 3: triples at sampled positions are sorted and named, names of triples of names are
    named in turn until they span the window, remaining positions are merged through the names that follow them, and
-   neighbours in sorted order are compared. Groups too large for a task are settled by counting window hashes instead.
+   neighbours in sorted order are compared. A group that is too large for one task goes the same way with each sort spread
+   over tasks.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from .common import Rolling, U, arrow_map, as_long, col, delete, gram_hashes, jo
 LENGTH, GRAM, SPAN = 200, 16, 128
 #: Bytes of text hashed at a time, and window starts of a huge text handled at a time.
 PIECE = 1 << 20
-#: Bytes of class texts that one suffix array spans; a core's group beyond it is settled by counting.
+#: Bytes of class texts that one task's suffix array spans; that of a larger group is sorted across tasks.
 GROUP_BYTES = 2 << 20
-#: Bits of the two filters that tell which anchors the second scan reports: 8 MB each, whatever the corpus.
-FILTER_BITS = 1 << 26
+#: Least and most bits of the two filters that tell which anchors the second scan reports: 16 for each key, 64 MB at most.
+#: Over more than some 30 million keys they let more rows through than they need, which costs traffic and changes no result.
+FILTER_BITS = (1 << 23, 1 << 29)
 
 
 def anchors(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -138,28 +140,116 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    """core, cls, at and the name of each row's key: its place among the distinct keys, which are sorted over ranges."""
+    ordered = rows.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    names = stored(ordered.select("key", F.monotonically_increasing_id().alias("name")), name)
+    return rows.join(names, "key").select("core", "cls", "at", "name")
+
+
+def windows_sorted_across_tasks(texts: DataFrame) -> DataFrame:
+    """core, cls, from, to: windows of some texts (core, cls, body) whose bytes occur at two starts or more.
+
+    The difference cover of repeated_windows with every sort spread over tasks: triples at sampled places are sorted and
+    named, triples of names are named again, each window gets keys of three such names and two bytes, one for each
+    of the two ways in which a window of its residue meets others, and neighbours in each sorted list are compared. A text is
+    a context (under 400 bytes), so what is brought together for one is bounded; keys of a hot passage are many rows, but
+    distinct ones are found before they are named.
+    """
+    texts = stored(texts, "open")
+
+    def triples(batches):
+        for b in batches:
+            core, cls, at, key = [], [], [], []
+            for c, k, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                places = [i for i in range(len(t) - 23) if i % 3]
+                core += [c] * len(places)
+                cls += [k] * len(places)
+                at += places
+                key += [t[i : i + 24] for i in places]
+            yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cls, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["core", "cls", "at", "key"])
+
+    def of_names(step):
+        """Rows of keys made of a text's bytes and the names at its places."""
+
+        def make(batches):
+            for b in batches:
+                core, cls, at, key = [], [], [], []
+                for c, k, t, named in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                    for place, x in step(t, {r["at"]: r["name"].to_bytes(8, "big") for r in named}):
+                        core.append(c)
+                        cls.append(k)
+                        at.append(place)
+                        key.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(core, pa.int64()), pa.array(cls, pa.int64()), pa.array(at, pa.int32()), pa.array(key, pa.binary())], names=["core", "cls", "at", "key"])
+
+        return make
+
+    def spans(t, names):
+        return ((i, names[i] + names[i + 24] + names[i + 48]) for i in range(len(t) - 71) if i % 3)
+
+    def windows(t, names):
+        for s in range(len(t) - LENGTH + 1):
+            for d, residues in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
+                if s % 3 in residues:
+                    edge = t[s + 198 : s + 200] if d == 0 else t[s : s + 1] + t[s + 199 : s + 200] if d == 1 else t[s : s + 2]
+                    yield s, bytes([d]) + names[s + d] + names[s + d + 72] + names[s + d + 126] + edge
+
+    def per_text(named):
+        return texts.join(named.groupBy("core", "cls").agg(F.collect_list(F.struct("at", "name")).alias("named")), ["core", "cls"]).select("core", "cls", "body", "named")
+
+    rows = "core bigint, cls bigint, at int, key binary"
+    keys = stored(arrow_map(texts.select("core", "cls", "body"), triples, rows), "triples")
+    keys = stored(arrow_map(per_text(_named(keys, "names")), of_names(spans), rows), "spans")
+    keys = arrow_map(per_text(_named(keys, "names")), of_names(windows), rows)
+
+    def neighbours(batches):
+        before = None  # the last row so far: key, core, cls, at, and whether it was told
+
+        for b in batches:
+            out = []
+            for core, cls, at, key in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                same = before is not None and before[0] == key
+                if same and not before[4]:
+                    out.append(before[1:4])
+                if same:
+                    out.append((core, cls, at))
+                before = (key, core, cls, at, same)
+            c, k, s = zip(*out, strict=True) if out else ((), (), ())
+            place = pa.array([int(x) for x in s], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(k, pa.int64()), place, place], names=["core", "cls", "from", "to"])
+
+    # equal keys share a range, so no pair of equal neighbours is split between tasks
+    return arrow_map(keys.repartitionByRange("key").sortWithinPartitions("key").select("core", "cls", "at", "key"), neighbours, "core bigint, cls bigint, from bigint, to bigint")
+
+
+def _bits(key: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(key)
-    return (h % U(FILTER_BITS)).astype(np.int64), ((h >> U(32)) % U(FILTER_BITS)).astype(np.int64)
+    return (h % U(size)).astype(np.int64), ((h >> U(32)) % U(size)).astype(np.int64)
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bloom filter of a table's keys as bytes of bits; at most FILTER_BITS / 64 rows reach the driver."""
+def _filter(keys: DataFrame, size: int) -> np.ndarray:
+    """Bloom filter of a table's keys as bytes of bits; at most size / 64 rows reach the driver."""
 
     def places(batches):
         for b in batches:
-            one, two = _bits(np.asarray(b.column(0), np.int64).view(U))
+            one, two = _bits(np.asarray(b.column(0), np.int64).view(U), size)
             at = np.unique(np.concatenate([one, two]))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((U(1) << (at & 63).astype(U)).view(np.int64))], names=["word", "bit"])
 
     words = arrow_map(keys, places, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, U)
+    out = np.zeros(size // 64, U)
     out[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64).view(U)
     return out
 
 
+def _filter_size(n: int) -> int:
+    """Bits for so many keys: 16 for each, a power of two within FILTER_BITS."""
+    return min(max(1 << (16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+
+
 def _in(words: np.ndarray, key: np.ndarray) -> np.ndarray:
-    one, two = _bits(key)
+    one, two = _bits(key, len(words) * 64)
     return ((words[one >> 6] >> (one & 63).astype(U)) & (words[two >> 6] >> (two & 63).astype(U)) & U(1)).astype(bool)
 
 
@@ -213,8 +303,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
         return arrow_map(df.select("core", "cls", "rep"), key, "key bigint")
 
-    any_filter = spark.sparkContext.broadcast(_filter(keyed(known, False)))
-    text_filter = spark.sparkContext.broadcast(_filter(keyed(open_, True)))
+    any_filter = spark.sparkContext.broadcast(_filter(keyed(known, False), _filter_size(known.count())))
+    text_filter = spark.sparkContext.broadcast(_filter(keyed(open_, True), _filter_size(open_.count())))
 
     def report(batches):
         maybe, reps = any_filter.value, text_filter.value
@@ -271,23 +361,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     sorted_ = arrow_map(small, sort_suffixes, "core bigint, cls bigint, from bigint, to bigint")
 
-    def windows(batches):
-        for b in batches:
-            for one in slices(b, 2):
-                bodies = one.column(2).to_pylist()
-                data, off = joined(bodies)
-                count = np.diff(off) - (LENGTH - 1)
-                k = np.repeat(np.arange(len(bodies)), count)
-                inner = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                s = off[:-1][k] + inner
-                roll = Rolling(data)
-                at = pa.array(k)
-                yield pa.RecordBatch.from_arrays([one.column(0).take(at), one.column(1).take(at), as_long(roll.of(s, s + LENGTH)), as_long(roll.of(s, s + 100)), pa.array(inner)], names=["core", "cls", "w1", "w2", "at"])
-
-    large = arrow_map(texts.where(F.col("kinds") > most).select("core", "cls", "body"), windows, "core bigint, cls bigint, w1 bigint, w2 bigint, at bigint")
-    twice = large.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    counted_ = large.join(twice, ["w1", "w2"]).select("core", "cls", F.col("at").alias("from"), F.col("at").alias("to"))
-    hits = sorted_.unionByName(counted_) if not open_.where(F.col("kinds") > most).isEmpty() else sorted_
+    large = texts.where(F.col("kinds") > most).select("core", "cls", "body")
+    hits = sorted_.unionByName(windows_sorted_across_tasks(large)) if not open_.where(F.col("kinds") > most).isEmpty() else sorted_
     part = again.where("n = 1").join(hits, ["core", "cls"]).select("doc_id", "h", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     return whole.unionByName(part)
 

@@ -180,3 +180,68 @@ def test_signatures_estimate_jaccard():
     assert abs((sig[0] == sig[1]).mean() - 360 / 440) < 0.05
     small = M.signatures(np.sort(a[:3]), np.array([0, 3]), 252)
     assert set(small[0].tolist()) <= set(M.mix(a[:3]).tolist()) and len(set(small[0].tolist())) == 3
+
+
+def test_hashes_do_not_cancel_out():
+    """Words and strings built so that a polynomial modulo 2^64 gives them one hash whatever its base."""
+    from stratalens.llm import common as C
+
+    w = [0]
+    for _ in range(12):
+        w += [1 - x for x in w]
+    one, two = bytes(97 + x for x in w), bytes(98 - x for x in w)
+    for n in (4, 8, 9, 64, 256, 257, 1024, 4096):
+        a, b = one[:n], two[:n]
+        data, off = C.joined([a, b])
+        h, r = C.word_hashes(data, off[:-1], off[1:]), C.Rolling(data).of(off[:-1], off[1:])
+        assert h[0] != h[1] and r[0] != r[1], n
+    # equal bytes hash alike wherever they lie, long words included
+    data = np.frombuffer(b"xx" + one[:700] + b"yyy" + one[:700] + b"z", np.uint8)
+    for n in (1, 7, 8, 9, 16, 255, 256, 257, 700):
+        at = np.array([2, 705])
+        h, r = C.word_hashes(data, at, at + n), C.Rolling(data).of(at, at + n)
+        assert h[0] == h[1] and r[0] == r[1], n
+    assert C.gram_hashes(data, 700)[2] == C.gram_hashes(data, 710)[705]
+
+
+def test_built_words_are_not_linked(spark):
+    w = [0]
+    for _ in range(10):
+        w += [1 - x for x in w]
+    one, two = "".join("ab"[x] for x in w), "".join("ba"[x] for x in w)
+    rows = M.near_duplicates(spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of exactly the threshold, short sets included: how many share no bucket. None of 20,000."""
+    rng = np.random.default_rng(17)
+    bands, n_rows = M.banding(85)
+    missed = total = 0
+    for union in (20, 40, 100, 400):
+        same = union * 85 // 100
+        for _ in range(10):
+            sets, off = [], [0]
+            for _ in range(500):
+                h = rng.integers(0, 2**63, union).astype(np.uint64)
+                half = (union - same) // 2
+                for s in (h[: same + half], np.concatenate([h[:same], h[same + half :]])):
+                    sets.append(np.sort(s))
+                    off.append(off[-1] + len(s))
+            keys = M.band_keys(M.signatures(np.concatenate(sets), np.array(off), bands * n_rows), n_rows)
+            missed += int((~(keys[::2] == keys[1::2]).any(1)).sum())
+            total += 500
+    assert total == 20_000 and missed == 0
+
+
+def test_repeated_ids_do_not_depend_on_partitions(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices("abcdefgh", k=40)) for _ in range(6)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (3, texts[0] + " tail"), (4, texts[2]), (4, texts[3]), (5, texts[3])]
+    want = None
+    for k in range(3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(k + 1)
+        got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in M.near_duplicates(df).collect())
+        want = want or got
+        assert got == want
