@@ -8,15 +8,18 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Latin letters that lower-casing and NFC treat one by one, and what may follow them in one piece.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)")
+_PLAIN = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*)$"
 #: Byte-level vocabularies write each byte as a printable character: those outside these three ranges are counted up from 256.
 _BYTES = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF))}
-#: Distinct pieces that a worker remembers; past it, the memory starts anew (results don't change).
-REMEMBERED = 800_000
+#: Distinct parts of a generation; a worker remembers two, and what is asked for again moves to the newer one. Rare parts
+#: are forgotten, results don't change.
+REMEMBERED = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -41,6 +44,14 @@ def _known_steps(spec: dict) -> bool:
     return sorted(x["type"] for x in norm) == ["Lowercase", "NFC", "Replace"] and replaced[0]["pattern"] == {"Regex": r"\s+"} and replaced[0]["content"] == " " and split["pattern"] == {"Regex": _SPLIT} and [x["type"] for x in after] == ["ByteLevel"] and not after[0].get("add_prefix_space")
 
 
+def _gathered(data: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of data (run k has size[k] entries) in another order, repeats allowed, and where each begins (one entry more)."""
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    count = size[order]
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return data[np.repeat(begin[order] - ends[:-1], count) + np.arange(ends[-1])], ends
+
+
 class Pieces:
     """Ids of texts under one tokenizer file, as little-endian unsigned words.
 
@@ -70,60 +81,63 @@ class Pieces:
             steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
             self.dropping = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert")) and spec.get("post_processor") is None and _known_steps(spec) and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", []))
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.model = None if self.is_model or not self.dropping else self.lib.model
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.code = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)]
+        self.stems: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         if self.is_model:
             return [np.asarray(x, self.kind).tobytes() for x in self.sp.encode(texts, num_threads=1)]
         return [np.asarray(x.ids, self.kind).tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """A word of lower-case Latin letters is one pre-token, so the library's model takes it without the steps before."""
-        plain = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.model.tokenize(plain)], self.kind).tobytes() if word else b""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case Latin letters: each is one pre-token, so the model takes it without the steps before."""
+        tokenize, code = self.lib.model.tokenize, self.code
+        return [b"".join([code[t.id] for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))]) for w in words]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces that this worker hasn't met: letters and what follows them apart, where that is exact."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _stems(self, parts: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of some distinct parts of pieces; those that this worker hasn't met are encoded."""
         if len(self.stems) > REMEMBERED:
-            self.stems.clear()
-        known, stems, parts, asked = self.known, self.stems, [], {}
-        for p in new:
-            m = _PLAIN.fullmatch(p)
-            two = (m[1].lower(), m[2]) if m else ("", p)
-            parts.append(two)
-            if two[0] not in stems:
-                stems[two[0]] = self._word(two[0])
-            if two[1] not in stems:
-                asked[two[1]] = None
-        todo = list(asked)
-        for lo in range(0, len(todo), 4096):
-            some = todo[lo : lo + 4096]
-            stems.update(zip(some, self._library(some), strict=True))
-        for p, (a, b) in zip(new, parts, strict=True):
-            known[p] = stems[a] + stems[b]
+            self.older, self.stems = self.stems, {"": b""}
+        stems, older, new = self.stems, self.older, []
+        for x in parts:
+            if x not in stems:
+                if x in older:
+                    stems[x] = older[x]
+                else:
+                    new.append(x)
+        for lo in range(0, len(new), 4096):
+            some = new[lo : lo + 4096]
+            stems.update(zip(some, encode(some), strict=True))
+        return list(map(stems.__getitem__, parts))
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one text after another, and where each text's begin (one entry more).
+
+        Arrow tells a batch's distinct pieces, and their letters and what follows them where taking these apart is exact;
+        Python sees each distinct part, and numpy puts the ids in order.
+        """
+        texts, width = pc.fill_null(texts, ""), self.kind.itemsize
+        if not self.dropping:
+            each = self._library(texts.to_pylist())
+            return np.frombuffer(b"".join(each), self.kind), np.concatenate([[0], np.cumsum([len(x) // width for x in each])]).astype(np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        two = pc.extract_regex(coded.dictionary, _PLAIN)
+        words = pc.utf8_lower(pc.fill_null(pc.struct_field(two, 0), "")).dictionary_encode()
+        others = pc.if_else(pc.is_null(two), coded.dictionary, pc.fill_null(pc.struct_field(two, 1), "")).dictionary_encode()
+        known = self._stems(words.dictionary.to_pylist(), self._words)
+        known += self._stems(others.dictionary.to_pylist(), self._library)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // width
+        parts = np.stack([np.asarray(words.indices, np.int64), len(words.dictionary) + np.asarray(others.indices, np.int64)], 1)
+        data, ends = _gathered(np.frombuffer(b"".join(known), self.kind), size, parts.ravel())
+        ids, ends = _gathered(data, np.diff(ends[::2]), np.asarray(coded.indices, np.int64))
+        return ids, ends[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, joined bytes of ``kind``."""
-        if not self.dropping:
-            return self._library(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known) if split else set()
-        if new:
-            if len(known) > REMEMBERED:
-                known.clear()
-                new = set().union(*split)
-            self._learn(list(new))
-        get: Callable[[str], bytes] = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def count(self, texts: list[str]) -> list[int]:
-        width = self.kind.itemsize
-        return [len(x) // width for x in self.ids(texts)]
+        ids, off = self.flat(pa.array(texts, pa.string()))
+        return [ids[a:z].tobytes() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
     def starts(self, text: str) -> list[tuple[int, int]]:
         """(character offset, id) of each token, as the library gives them."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,7 +104,6 @@ def _counted(df: DataFrame, text: str, name: str, tokenizer: str, keep: list[str
         enc = pieces(tokenizer)
         for batch in batches:
             for b in slices(batch, at):
-                texts = [x or "" for x in b.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in fields), pa.array(enc.count(texts), pa.int64())], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in fields), pa.array(np.diff(enc.flat(b.column(at))[1]), pa.int64())], names=[*keep, name])
 
     return arrow_map(df, count, schema)

@@ -6,11 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, col, delete, free_name, mix, new_path, slices, stored
-from .mixing import order_key
+from .mixing import order_key, range_of
 from .pieces import pieces
 
 #: Chunk sizes in ids: least, most, and the mean distance between content-defined cuts.
@@ -68,6 +69,12 @@ def merkle(leaves: list[bytes]) -> bytes:
     return leaves[0]
 
 
+def _lists(a: pa.Array) -> list[list[bytes] | None]:
+    """A list column in Python, its values converted all at once."""
+    flat, off, known = a.flatten().to_pylist(), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(a), 0)))]).tolist(), a.is_valid().to_pylist()
+    return [flat[lo:hi] if ok else None for lo, hi, ok in zip(off, off[1:], known, strict=False)]
+
+
 def _part_roots(recipes: DataFrame) -> DataFrame:
     """part, n_docs, n_ids, root of each part of the recipes, as a manifest states them."""
 
@@ -102,27 +109,25 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     are numbered in the order of the mixing's global shuffle instead: by the MD5 of seed, doc_id and copy, where the
     copies of a document are its rows with equal ids and are counted from 0.
 
-    Rows with a repeated doc_id are documents of their own. An empty table gives an empty store.
+    doc_id must be an integer. Rows with a repeated doc_id are documents of their own. Other columns of docs play no part,
+    whatever their names. A very long text is one stream of many chunks. An empty table gives an empty store.
     """
     spark = docs.sparkSession
     row, = free_name(docs, "row")
     source = docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")).withColumn(row, F.monotonically_increasing_id())
-    tail = b"" if end_id is None else None
 
     def encode(batches):
-        enc = pieces(tokenizer)
-        end = tail if tail is not None else np.array([end_id], enc.kind).tobytes()
-        width, seen = enc.kind.itemsize, set()
+        enc, seen = pieces(tokenizer), set()
+        width = enc.kind.itemsize
         for batch in batches:
             for b in slices(batch, 1):
-                streams = [x + end for x in enc.ids([t or "" for t in b.column(1).to_pylist()])]
-                off = np.zeros(len(streams) + 1, np.int64)
-                np.cumsum([len(s) // width for s in streams], out=off[1:])
-                data = b"".join(streams)
-                ends = chunk_ends(np.frombuffer(data, enc.kind), off)
-                starts = np.concatenate([ends[:0], [0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-                starts = np.maximum(starts, off[np.searchsorted(off, ends, "left") - 1]) if len(ends) else starts
+                ids, off = enc.flat(b.column(1))
+                if end_id is not None:
+                    ids, off = np.insert(ids, off[1:], end_id), off + np.arange(len(off))
+                ends = chunk_ends(ids, off)
                 of = np.searchsorted(off, ends, "left") - 1
+                starts = np.maximum(np.concatenate([ends[:0], [0], ends[:-1]]), off[of]) if len(ends) else ends
+                data = ids.tobytes()
                 parts = [data[a * width : z * width] for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 digests = [_digest(x) for x in parts]
                 fresh = []
@@ -132,7 +137,7 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 if len(seen) > 1_000_000:
                     seen.clear()
                 # a document without ids (empty text, no end id) still has a recipe
-                none = np.setdiff1d(np.arange(len(streams)), of)
+                none = np.setdiff1d(np.arange(b.num_rows), of)
                 at = pa.array(np.concatenate([of, none]).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(at), b.column(2).take(at), pa.array(np.concatenate([starts, np.zeros(len(none), np.int64)])), pa.array([*digests, *[None] * len(none)], pa.binary()), pa.array(np.concatenate([ends - starts, np.zeros(len(none), np.int64)]).astype(np.int32)), pa.array([*fresh, *[None] * len(none)], pa.binary())],
@@ -143,23 +148,31 @@ def write_store(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     arrow_map(source.select("doc_id", "text", col(row).alias("row")), encode, "doc_id bigint, row bigint, place bigint, digest binary, n int, data binary").write.option("compression", "zstd").parquet(raw)
     ids = spark.read.parquet(raw)
     ids.where("data IS NOT NULL").select("digest", "n", "data").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes = ids.groupBy("doc_id", "row").agg(F.sum("n").cast("bigint").alias("n_ids"), F.sort_array(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("place", "digest")))).alias("c"))
+    recipes = ids.groupBy("doc_id", "row").agg(F.sum("n").cast("bigint").alias("n_ids"), F.transform(F.sort_array(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("place", "digest")))), lambda x: x.digest).alias("digests"))
 
     def rooted(batches):
         for b in batches:
-            roots = [merkle([x["digest"] for x in c]) for c in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([[x["digest"] for x in c] for c in b.column(3).to_pylist()], pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=["doc_id", "row", "n_ids", "digests", "root"])
+            roots = [merkle(d) for d in _lists(b.column(3))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(roots, pa.binary())], names=["doc_id", "row", "n_ids", "digests", "root"])
 
-    flat = arrow_map(recipes, rooted, "doc_id bigint, row bigint, n_ids bigint, digests array<binary>, root binary")
+    # written before they are put in order, so that finding the ranges doesn't build them a second time
+    unordered = new_path(spark, "recipes")
+    arrow_map(recipes, rooted, "doc_id bigint, row bigint, n_ids bigint, digests array<binary>, root binary").write.option("compression", "zstd").parquet(unordered)
+    flat = spark.read.parquet(unordered)
     order = ["doc_id", "row"]
     if seed is not None:
         copy = F.row_number().over(Window.partitionBy("doc_id", "root").orderBy("row")) - 1
         flat, order = flat.withColumn("key", order_key(F.col("doc_id"), copy, seed)), ["key", "doc_id", "row"]
-    flat = flat.repartitionByRange(*order).sortWithinPartitions(*order)
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        flat = flat.repartitionById(parts, range_of("key", parts))
+    else:
+        flat = flat.repartitionByRange(*order)
+    flat = flat.sortWithinPartitions(*order)
     flat.select(F.spark_partition_id().alias("part"), "doc_id", F.monotonically_increasing_id().alias("row"), "n_ids", "digests", "root").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     delete(spark, raw)
+    delete(spark, unordered)
 
 
 def _crc_steps() -> np.ndarray:
@@ -217,7 +230,7 @@ def read_store(spark: SparkSession, path: str, tokenizer: str = "word_bpe_49k.js
 
     def rooted(batches):
         for b in batches:
-            whole = [d is not None and None not in d and merkle(d) == r for d, r in zip(b.column(5).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            whole = [d is not None and None not in d and merkle(d) == r for d, r in zip(_lists(b.column(5)), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(whole, pa.bool_()), b.column(5)], names=["part", "doc_id", "row", "n_ids", "whole", "digests"])
 
     held = arrow_map(recipes.select("part", "doc_id", "row", "n_ids", "root", "digests"), rooted, "part int, doc_id bigint, row bigint, n_ids bigint, whole boolean, digests array<binary>")

@@ -138,3 +138,20 @@ def test_mixing(spark):
     assert mixed(df.limit(0)).count() == 0
     only = mixed(df, weights={"small": 1.0}, size=20.0).groupBy("source").count().collect()
     assert [r.source for r in only] == ["small"] and abs(only[0]["count"] - 10000) < 500
+
+
+def test_other_steps_go_to_the_library(tmp_path):
+    """A file with the same split and another normaliser isn't taken apart, so its ids are the library's."""
+    import json
+
+    from stratalens.llm.pieces import Pieces, vocabulary_path
+
+    with open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert Pieces("word_bpe_49k.json").dropping
+    spec["normalizer"]["normalizers"] = [x for x in spec["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    enc = Pieces(str(path))
+    text = "Some MIXED Case, it's 42"
+    assert not enc.dropping and enc.ids([text])[0] == np.asarray(enc.lib.encode(text, add_special_tokens=False).ids, enc.kind).tobytes()
