@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +46,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more, and let the driver see that what made them is done with: Spark
+    removes a shuffle's files once the driver's garbage is collected."""
+    spark = None
+    for df in tables:
+        if df is not None and (path := df.__dict__.pop("_scratch", None)):
+            spark = df.sparkSession
+            delete(spark, path)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -81,17 +97,36 @@ def col(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+#: Bytes of an Arrow batch and rows of a Parquet batch: rows here are whole documents, and batches of Spark's own size (64
+#: MB, 4,096 rows) are held several times over by each task, in large arrays, outside the heap and in its Python worker.
+BATCH_BYTES, SCAN_ROWS = 2 << 20, 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Settings of the session for tables of documents; smaller ones that are set already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)):
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over small batches."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about ``most`` text bytes, so memory doesn't follow the batch."""
+#: Rows of a slice: what a row costs beside its text (signatures, say) is bounded as well.
+SLICE_ROWS = 1_000
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of about ``most`` text bytes and at most SLICE_ROWS rows, so memory doesn't follow the batch."""
     a = batch.column(text)
     if batch.num_rows == 0:
         return
     sizes = np.asarray(pc.fill_null(pc.binary_length(a.cast(pa.binary())), 0), dtype=np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    part = np.cumsum(sizes) // most + (np.arange(len(sizes)) // SLICE_ROWS << 32)
+    cut = np.flatnonzero(np.diff(part)) + 1
     for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
         yield batch.slice(lo, hi - lo)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, free_name
+from .common import col, free_name, small_batches
 
 #: Places of the inverted distribution: P(count > 64) is under 1e-17 up to a mean of 16, which rates are cut to by splitting.
 MOST_RATE = 16.0
@@ -70,6 +70,7 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weigh
     nothing is sampled; there are ``spark.sql.shuffle.partitions`` of them. Null ids hash as one id; repeated rows get equal
     counts. Columns of docs named copy or mix_key are replaced. An empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     origin, rate, draws, count = free_name(docs, "_source", "_rate", "_draws", "_count")
     rates = source_rates(docs, source, weights, temperature, size).select(F.col("source_key").alias(origin), F.col("rate").alias(rate))
     keep = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
