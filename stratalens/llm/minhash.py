@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens.operators.components import connected_components
 
-from .common import U, arrow_map, as_long, col, free_name, joined, mix, slices, stored, word_hashes
+from .common import U, arrow_map, as_long, col, dropped, free_name, joined, mix, slices, stored, word_hashes
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -217,13 +217,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     standing = classes.where("id IS NOT NULL").groupBy("id").agg(F.min("set_key").alias("set_key"))
     reps = all_docs.where("set_key IS NOT NULL AND doc_id IS NOT NULL").join(standing.select("set_key", F.col("id").alias("doc_id")).hint("merge"), ["set_key", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", F.explode("bands").alias("bucket"))
     full = reps.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = stored(reps.join(full.select("bucket", "n").hint("merge"), "bucket").distinct(), "buckets")
-    named = standing.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    first = stored(reps.join(full.select("bucket", "n").hint("merge"), "bucket").distinct(), "buckets")
+    named = standing.join(first.select("id").distinct().hint("merge"), "id", "left_semi")
     cells = all_docs.select(F.col("doc_id").alias("id"), "set_key", "cells").join(named.hint("merge"), ["id", "set_key"], "left_semi").select("id", "cells").dropDuplicates(["id"])
-    fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
-    members = stored(members.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
-    wanted = members.select("id").distinct()
+    fame = first.groupBy("id").agg(F.sum("n").alias("fame"))
+    members = stored(first.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
+    dropped(first)
+    wanted = stored(members.select("id").distinct(), "wanted")
     texts = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text"))
+    named = standing.join(wanted.hint("merge"), "id", "left_semi")
     sets = stored(_sets(texts.join(named.hint("merge"), "id"), shingle).dropDuplicates(["id"]), "sets")
     comp = wanted.select("id", F.col("id").alias("comp"))
     at_first = rows = members.count()
@@ -245,16 +247,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             groups = connected_components(links, "a", "b")
+            before = comp
             comp = stored(wanted.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "comp")
+            dropped(before)
         elif links is None:
             links = fresh
         # only buckets with several components stay, without the centres that have met all others in them
         left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
         open_ = left.join(comp.hint("merge"), "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        before = members
         members = stored(left.join(open_, "bucket", "left_semi"), "members")
+        dropped(before, centre)
         rows = members.count()
         if not rows:
             break
+    dropped(sets, members)
     of_class = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
     out = all_docs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -267,10 +274,11 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     (nulls last) and their place, and the smallest key of a group stays.
     """
     if docs.groupBy(col(doc_id).alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").isEmpty():
-        kept = near_duplicates(docs, doc_id, text, **more).where("kept").select(F.col("doc_id").alias("_kept_id"))
-        return docs.join(kept, col(doc_id) == F.col("_kept_id"), "left_semi")
-    row, key = free_name(docs, "_row", "_key")
+        own, = free_name(docs, "_kept_id")
+        kept = near_duplicates(docs, doc_id, text, **more).where("kept").select(F.col("doc_id").alias(own))
+        return docs.join(kept, col(doc_id) == F.col(own), "left_semi")
+    row, key, own = free_name(docs, "_row", "_key", "_kept_row")
     placed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     keyed = placed.withColumn(key, F.struct(col(doc_id).isNull().alias("missing"), col(doc_id).alias("id"), F.col(row).alias("row")))
-    kept = near_duplicates(keyed, key, text, **more).where("kept").select(F.col("doc_id.row").alias("_kept_row"))
-    return keyed.join(kept, F.col(row) == F.col("_kept_row"), "left_semi").select(*[col(c) for c in docs.columns])
+    kept = near_duplicates(keyed, key, text, **more).where("kept").select(F.col("doc_id.row").alias(own))
+    return keyed.join(kept, F.col(row) == F.col(own), "left_semi").select(*[col(c) for c in docs.columns])
