@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -32,9 +33,12 @@ def _persisted(df: DataFrame) -> DataFrame:
 
 
 def _deleted(df: DataFrame, path: str) -> None:
-    """Delete a table that nothing reads any more, through Hadoop's file system."""
+    """Delete a table that nothing reads any more, through Hadoop's file system; Spark removes the files of shuffles that
+    made it once the driver's garbage is collected."""
     p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
