@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +44,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Spark removes the shuffle files of what runs in here when it has ended, instead of when the driver collects its
+    garbage. For plans that run once."""
+    had = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
+
+
+def stored(df: DataFrame, name: str, max_records: int = 0) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. With
+    max_records no file has more rows."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", max_records).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

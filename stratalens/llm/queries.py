@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .decontaminate import benchmark_hits
+from .hard_negatives import hard_negatives
 from .minhash import near_duplicates
 from .mixing import mixed
+from .passages import without_passages
 from .quality_crf import quality_scores
 from .quality_rules import rule_quality
 from .secrets import scan_secrets
+from .spelling import spelling_variants
 from .suffix_dedup import without_repeats
 from .token_counts import token_counts
 from .token_store import read_store, write_store
@@ -125,9 +128,72 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
+OP11_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a, v b WHERE a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"), one_in=97)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, CAST(i AS UINTEGER) FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+r AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY 1, 2),
+u AS (SELECT w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS b FROM r WHERE len(w) >= 5),
+h AS (SELECT w, n, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UINTEGER), list_transform(b, lambda x: CAST(x AS UINTEGER))), lambda c, x: xor(c >> 8, t[CAST(xor(c, x) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UINTEGER)) AS BIGINT) AS h FROM u, crc),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % len(w)) || substr(w, h % len(w) + 2) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE len(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS MATERIALIZED (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS s FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS k FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS form, b.n AS form_n FROM cut a JOIN cut b ON a.s = b.s AND a.k = b.k AND a.word <> b.word
+  UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN v ON c.s = v.word
+  UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN v ON c.s = v.word),
+best AS (SELECT word, n, form, form_n, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY form_n DESC, form) = 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk(word, here, steps) AS (SELECT word, word, 0 FROM f UNION ALL SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(here, steps) AS root FROM walk GROUP BY 1) USING (word)
+"""
+
+
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
+OP13_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM late),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN hit USING (doc_id, j) GROUP BY 1),
+gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op6_secret_scan": op6_secret_scan, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_quality_crf": op2_quality_crf, "op3_decontaminate": op3_decontaminate, "op4_mix_sources": op4_mix_sources, "op5_token_store": op5_token_store, "op6_secret_scan": op6_secret_scan, "op7_token_counts": op7_token_counts, "op8_quality_rules": op8_quality_rules, "op9_minhash_dedup": op9_minhash_dedup, "op10_toxicity": op10_toxicity, "op11_hard_negatives": op11_hard_negatives, "op12_spelling_variants": op12_spelling_variants, "op13_passage_dedup": op13_passage_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL, "op9_minhash_dedup": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op12_spelling_variants": OP12_SQL, "op13_passage_dedup": OP13_SQL}
