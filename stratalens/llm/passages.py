@@ -4,15 +4,21 @@ A window of WINDOW consecutive words is an edge between two nodes, its first and
 passage repeats, its edges occur together; paths of such edges that never branch are compacted, so a repeated passage is
 a few rows whatever its length:
 
-1. Each window is tied to an anchor, its least-hashed gram of GRAM words; equal windows have equal anchors. Anchors are
-   counted, and only windows whose anchor occurs twice can repeat: only those become edges.
-2. Edges are counted by their two nodes, with the source coordinates (document, place) of the first occurrence and a
-   fingerprint of all coordinates. Edges that occur once are left out.
-3. Two edges that share a node are joined if the second occurs exactly where the first does, one place later: the
+1. Each window is tied to an anchor, its least-hashed gram of GRAM words; equal windows have equal anchors. Neighbouring
+   windows with one anchor are a run. Anchors are counted, and only runs whose anchor occurs twice can repeat.
+2. Runs of equal text are a class, with its count, its first source coordinates (document, place) and a fingerprint of
+   all its coordinates. Only a class's first run is cut into edges, so copies cost a row for each run, not each window.
+3. Edges are counted by their two nodes over the classes that hold them, with first coordinates and fingerprint. Edges
+   that occur once are left out.
+4. Two edges that share a node are joined if the second occurs exactly where the first does, one place later: the
    fingerprints of all their coordinates agree, so no occurrence of either branches off at that node. Then their first
    occurrences are neighbours as well, and a whole path is a run of neighbouring places of one document: what isn't
    joined to a predecessor or to a successor starts or ends a path.
-4. Occurrences of a path's first edge give the occurrences of the whole path. All but the first are removed.
+5. The classes that hold a path's first edge, and their runs, give the coordinates of all its occurrences. All but the
+   first are removed.
+
+The fingerprint of a set of coordinates is the sum of hash(document) * base^place modulo a prime, for two primes: moved
+by a place, a set's fingerprint is multiplied by the base.
 """
 
 from __future__ import annotations
@@ -34,6 +40,8 @@ PIECE, BLOCK = 1 << 20, 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = 0xD6E8FEB86659FD93
+#: Primes under 2^31 of the coordinates' fingerprints, and their bases; any others do as well. Fixed, so they agree.
+_PRIMES, _BASES = (2**31 - 1, 2**31 - 19), (1_103_515_245, 1_566_083_941)
 
 
 def pieces(raw: bytes):
@@ -100,7 +108,8 @@ def run_hashes(z: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchored(z: np.ndarray, off: np.ndarray):
-    """For the texts z[off[k]:off[k+1]]: runs of windows with one anchor, as (text, from, to, anchor), places in the text."""
+    """For the texts z[off[k]:off[k+1]]: runs of windows with one anchor, as (text, from, to, anchor, class), places in the
+    text. The class is a hash of all the run's words; its first and last window overlap and hold them all."""
     text = np.repeat(np.arange(len(off) - 1), np.diff(off))
     low, span = U((1 << 24) - 1), WINDOW - GRAM + 1
     for base in range(0, max(len(z) - WINDOW + 1, 0), BLOCK):
@@ -121,57 +130,99 @@ def anchored(z: np.ndarray, off: np.ndarray):
         new[1:] = (at[1:] != at[:-1]) | (k[1:] != k[:-1])
         a = np.flatnonzero(new)
         last = np.append(a[1:], len(start)) - 1
-        yield k[a], start[a] - off[k[a]], start[last] - off[k[a]], grams[at[a]]
+        whole = run_hashes(z[base : base + BLOCK + WINDOW - 1], WINDOW)
+        one, two = start[a] - base, start[last] - base
+        yield k[a], start[a] - off[k[a]], start[last] - off[k[a]], grams[at[a]], mix(whole[one] * U(3) ^ mix(whole[two] + (two - one).astype(U)))
 
 
 def _raw(column: pa.Array) -> list[bytes]:
     return [x.encode() if x else b"" for x in column.to_pylist()]
 
 
-def _anchors(source: DataFrame) -> DataFrame:
+def _runs(source: DataFrame) -> DataFrame:
     def find(batches):
         for batch in batches:
             for b in slices(batch, 2):
-                for k, lo, hi, m in anchored(*word_codes(_raw(b.column(2)))):
+                for k, lo, hi, m, c in anchored(*word_codes(_raw(b.column(2)))):
                     rows = pa.array(k)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), as_long(m), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["d", "h", "m", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), as_long(m), as_long(c), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], names=["d", "h", "m", "c", "lo", "hi"])
+
+    return arrow_map(source, find, "d bigint, h bigint, m bigint, c bigint, lo int, hi int")
+
+
+def _marked(runs: DataFrame) -> DataFrame:
+    """runs with f0, f1: the fingerprints of their first places."""
 
-    return arrow_map(source, find, "d bigint, h bigint, m bigint, lo int, hi int")
+    def mark(batches):
+        for b in batches:
+            d, h = (np.asarray(b.column(i), np.int64).view(U) for i in (0, 1))
+            doc, lo = mix(mix(d + U(1)) ^ h), np.asarray(b.column(4), np.int64)
+            marks = []
+            for p, base, part in zip(_PRIMES, _BASES, (doc >> U(32), doc & U(0xFFFFFFFF)), strict=True):
+                x, g, left = part % U(p - 1) + U(1), U(base), lo.copy()
+                while left.any():
+                    x = np.where(left & 1, x * g % U(p), x)
+                    g = g * g % U(p)
+                    left >>= 1
+                marks.append(pa.array(x.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns, *marks], names=["d", "h", "m", "c", "lo", "hi", "f0", "f1"])
 
+    return arrow_map(runs, mark, "d bigint, h bigint, m bigint, c bigint, lo int, hi int, f0 bigint, f1 bigint")
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """u, v, d, h, pos: an edge for each window within the ranges of a text."""
+
+def _edges(texts: DataFrame) -> DataFrame:
+    """u, v, class, i, d, pos, h, n, f0, f1: the edges of the first run of each class (struct class, lo, hi, n, f0, f1)."""
+    names = ("class", "lo", "hi", "n", "f0", "f1")
 
     def find(batches):
         for batch in batches:
             for b in slices(batch, 2):
                 z, off = word_codes(_raw(b.column(2)))
-                lo, hi = (np.asarray(b.column(3).flatten().field(c), np.int64) for c in (0, 1))
+                inner = b.column(3).flatten()
+                cls, lo, hi, n, *f = (np.asarray(inner.field(c), np.int64) for c in names)
                 of = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(b.column(3).offsets)))
-                mark = np.zeros(len(z) + 1, np.int32)  # ranges of one text never overlap, for each of its windows has one anchor
-                np.add.at(mark, lo + off[of], 1)
-                np.add.at(mark, hi + 1 + off[of], -1)
-                inside = np.cumsum(mark, dtype=np.int32)[:-1] > 0
-                text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-                for base in range(0, max(len(z) - WINDOW + 1, 0), BLOCK):
-                    nodes = run_hashes(z[base : base + BLOCK + WINDOW - 1], WINDOW - 1)
-                    at = np.flatnonzero(inside[base : base + len(nodes) - 1])
-                    k = text[base + at]
-                    rows = pa.array(k)
-                    yield pa.RecordBatch.from_arrays([as_long(nodes[at]), as_long(nodes[at + 1]), b.column(0).take(rows), b.column(1).take(rows), pa.array((base + at - off[k]).astype(np.int32))], names=["u", "v", "d", "h", "pos"])
-
-    return arrow_map(texts, find, "u bigint, v bigint, d bigint, h bigint, pos int")
+                order = np.argsort(off[of] + lo, kind="stable")
+                cls, lo, hi, n, of, f = cls[order], lo[order], hi[order], n[order], of[order], [x[order] for x in f]
+                size = hi - lo + 1
+                ends = np.cumsum(size)
+                for a, stop in _parts(ends):
+                    run = np.repeat(np.arange(a, stop), size[a:stop])
+                    i = np.arange(len(run)) - np.repeat(ends[a:stop] - size[a:stop] - (ends[a - 1] if a else 0), size[a:stop])
+                    at = off[of[run]] + lo[run] + i
+                    base = int(at[0])
+                    # nodes of the words that these runs span, a block at a time
+                    u, v = np.empty(len(at), U), np.empty(len(at), U)
+                    for first in range(base, int(at[-1]) + 1, BLOCK):
+                        some = slice(*np.searchsorted(at, (first, first + BLOCK)))
+                        if some.start < some.stop:
+                            nodes = run_hashes(z[first : first + BLOCK + WINDOW - 1], WINDOW - 1)
+                            u[some], v[some] = nodes[at[some] - first], nodes[at[some] - first + 1]
+                    rows = pa.array(of[run])
+                    moved = [(x[run].astype(U) * np.array([pow(g, int(k), p) for k in range(WINDOW)], U)[i] % U(p)).astype(np.int64) for x, g, p in zip(f, _BASES, _PRIMES, strict=True)]
+                    yield pa.RecordBatch.from_arrays([as_long(u), as_long(v), pa.array(cls[run]), pa.array(i.astype(np.int32)), b.column(0).take(rows), pa.array((lo[run] + i).astype(np.int32)), b.column(1).take(rows), pa.array(n[run]), *map(pa.array, moved)], names=["u", "v", "class", "i", "d", "pos", "h", "n", "f0", "f1"])
+
+    return arrow_map(texts, find, "u bigint, v bigint, class bigint, i int, d bigint, pos int, h bigint, n bigint, f0 bigint, f1 bigint")
+
+
+def _parts(ends: np.ndarray):
+    """Ranges of runs that hold about BLOCK windows together; ends: windows up to and with each run."""
+    a = 0
+    while a < len(ends):
+        stop = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK)), a + 1)
+        yield a, stop
+        a = stop
 
 
 def _paths(edges: DataFrame) -> DataFrame:
     """u, v (of the first edge), d, pos (of its first occurrence), size (edges) of each path that never branches.
 
-    edges: u, v, n, first (d, pos, h), here, before.
+    edges: u, v, n, first (d, pos, h), f0, f1.
     """
-    e = edges.select("u", "v", "n", "first.d", "first.pos", "first.h", "here", "before")
-    left = e.select("d", "h", F.col("pos").alias("p"), F.col("v").alias("node"), "n", F.col("here").alias("mark"), (F.col("pos") + 1).alias("next"))
-    right = e.select("u", "v", F.col("d").alias("d2"), F.col("h").alias("h2"), "pos", F.col("u").alias("node2"), F.col("n").alias("n2"), F.col("before").alias("mark2"))
-    same = (F.col("node") == F.col("node2")) & (F.col("mark") == F.col("mark2")) & (F.col("n") == F.col("n2")) & (F.col("d") == F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("next") == F.col("pos"))
+    e = edges.select("u", "v", "n", "first.d", "first.pos", "first.h", "f0", "f1")
+    moved = [(F.col(f"f{k}") * g % p).alias(f"g{k}") for k, (g, p) in enumerate(zip(_BASES, _PRIMES, strict=True))]
+    left = e.select("d", "h", F.col("pos").alias("p"), F.col("v").alias("node"), "n", *moved, (F.col("pos") + 1).alias("next"))
+    right = e.select("u", "v", F.col("d").alias("d2"), F.col("h").alias("h2"), "pos", F.col("u").alias("node2"), F.col("n").alias("n2"), "f0", "f1")
+    same = [F.col(a) == F.col(b) for a, b in (("node", "node2"), ("d", "d2"), ("h", "h2"), ("next", "pos"), ("n", "n2"), ("g0", "f0"), ("g1", "f1"))]
     ends = left.join(right, same, "full").where("d IS NULL OR d2 IS NULL")
     # no predecessor: (0) a path starts with this edge; no successor: (1) it ends with it
     ends = ends.select(F.coalesce("d", "d2").alias("d"), F.coalesce("h", "h2").alias("h"), F.coalesce("pos", "p").alias("pos"), F.col("d").isNotNull().cast("int").alias("kind"), "u", "v")
@@ -185,21 +236,26 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     A word of the result lies in a window whose words also start earlier: in a smaller doc_id, or earlier in the same one.
     """
     source = docs.select(F.coalesce(col(doc_id).cast("bigint"), F.lit(-(2**63))).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("text")).where("text IS NOT NULL")
-    anchors = stored(_anchors(source), "anchors")
-    twice = anchors.groupBy("m").count().where("count > 1").select("m")
-    ranges = stored(anchors.join(twice, "m", "left_semi").groupBy("d", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges")
-    dropped(anchors)
+    all_runs = stored(_runs(source), "all-runs")
+    twice = all_runs.groupBy("m").count().where("count > 1").select("m")
+    runs = stored(_marked(all_runs.join(twice, "m", "left_semi").select("d", "h", "m", "c", "lo", "hi")), "runs")
+    dropped(all_runs)
+    sums = [(F.sum(f"f{k}") % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
+    classes = runs.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "lo", "h", "hi")).alias("first"), *sums)
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    ranges = classes.groupBy("first.d", "first.h").agg(F.collect_list(F.struct("class", "first.lo", "first.hi", "n", "f0", "f1")).alias("ranges"))
     one = source.groupBy("d", "h").agg(F.first("text").alias("text"))  # a repeated row is one text
-    places = stored(_occurrences(one.join(ranges, ["d", "h"]).select("d", "h", "text", "ranges")), "places")
-    dropped(ranges)
-    edges = places.groupBy("u", "v").agg(F.count("*").alias("n"), F.min(F.struct("d", "pos", "h")).alias("first"), F.bit_xor(F.xxhash64("d", "h", "pos")).alias("here"), F.bit_xor(F.xxhash64("d", "h", F.col("pos") - 1)).alias("before"))
-    edges = stored(edges.where("n > 1"), "edges")
+    places = stored(_edges(one.join(ranges, ["d", "h"]).select("d", "h", "text", "ranges")), "places")
+    sums = [(F.sum(f"f{k}") % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
+    edges = stored(places.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min(F.struct("d", "pos", "h")).alias("first"), *sums).where("n > 1"), "edges")
     paths = stored(_paths(edges), "paths")
     dropped(edges)
-    first = paths.select("u", "v", F.col("d").alias("d0"), F.col("pos").alias("pos0"), "size")
-    later = places.join(first, ["u", "v"]).where("d > d0 OR (d = d0 AND pos > pos0)")
-    spans = stored(later.select("d", "h", F.col("pos").alias("lo"), (F.col("pos") + F.col("size") + (WINDOW - 1)).alias("hi")), "spans")
-    dropped(places, paths)
+    heads = paths.select("u", "v", F.col("d").alias("d0"), F.col("pos").alias("pos0"), "size")
+    found = stored(places.select("u", "v", "class", "i").join(heads, ["u", "v"]).join(classes.select("class", "m", "c"), "class").select("m", "c", "i", "d0", "pos0", "size"), "found")
+    dropped(places, paths, classes)
+    at = runs.join(found, ["m", "c"]).withColumn("lo", F.col("lo") + F.col("i")).where("d > d0 OR (d = d0 AND lo > pos0)")
+    spans = stored(at.select("d", "h", "lo", (F.col("lo") + F.col("size") + (WINDOW - 1)).alias("hi")), "spans")
+    dropped(runs, found)
     return spans
 
 
