@@ -2,64 +2,51 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import deleted, written
 
-def _written(df: DataFrame) -> tuple[DataFrame, str]:
-    """df as a table in the folder that all executors share (``spark.checkpoint.dir``), which cuts its lineage, and its path.
 
-    Only where Spark runs on this machine alone a temporary folder stands in for an unset one.
-    """
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        where = tempfile.mkdtemp(prefix="stratalens-")
-        spark.sparkContext.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/stratalens/labels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every node hands its larger neighbours to the least node around it."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    return _written(df)[0]
+def _small_star(e: DataFrame) -> DataFrame:
+    """Every node hands itself and its smaller neighbours to the least of them. Edges go from larger to smaller."""
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    moved = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _deleted(df: DataFrame, path: str) -> None:
-    """Delete a table that nothing reads any more, through Hadoop's file system; Spark removes the files of shuffles that
-    made it once the driver's garbage is collected."""
-    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def _is_star_forest(e: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller node, and none of those has one."""
+    roles = e.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return roles.groupBy("id").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c + p > 1").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component: the smallest node reachable, for each node of an edge.
 
-    Alternates two steps until nothing changes: every node hands its neighbours the smallest label around it, then every
-    label is replaced by its own label. Labels only fall, and long chains halve with each round. Hub nodes are safe:
-    minima are combined before the shuffle and skewed joins are split at run time. Null ends are left out; a self-loop
-    is a node of its own; repeated edges count once. A round's labels are deleted once the next ones are written.
+    Contraction by stars: neighbours are handed on to ever smaller nodes until each component is a star around its
+    smallest one. An edge is never added, repeated ones fall together, so the table shrinks towards one edge a node, in
+    a number of rounds like the logarithm of the longest path. Hubs are safe: minima are combined before the shuffle and
+    skewed joins are split at run time. Null ends are left out; a self-loop is a node of its own; repeated edges count
+    once. Each round's table replaces the one before.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    e = _persisted(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    labels, old = _written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")))
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
-        low = labels.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "n").alias("l"))
-        jump = low.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        new, path = _written(low.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l")))
-        _deleted(edges, old)
-        old = path
-        if new.where("old <> l").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("l").alias("component"))
-        labels = new.select("u", "l")
+    now = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    alone, stars = now.where("u = v").select("u", "v"), now.where("u <> v")
+    first = now
+    while not _is_star_forest(stars):
+        large = written(_large_star(stars), "edges")
+        new = written(_small_star(large), "edges")
+        deleted(large)
+        if now is not first:
+            deleted(now)
+        now, stars = new, new
+    whole = stars.unionByName(stars.select(F.col("v").alias("u"), "v")).unionByName(alone)
+    return whole.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import _persisted
+from .scratch import deleted, written
 
 
 def fold_nodes(raw: DataFrame) -> DataFrame:
@@ -22,19 +22,29 @@ def fold_nodes(raw: DataFrame) -> DataFrame:
     return checked.join(props, "id", "left").select("id", "type", "layer", F.coalesce("props", empty).alias("props"), F.coalesce("conflicts", F.array().cast("array<string>")).alias("conflicts"))
 
 
-def fold_edges(raw: DataFrame) -> DataFrame:
-    """src, dst, type, salt, cnt, props: repeated edges counted, each property from the lowest ord that has it.
+def fold_edges(raw: DataFrame, properties: list[str] | None = None) -> DataFrame:
+    """src, dst, type, salt, cnt, layer, props: repeated edges counted, each property from the lowest ord that has it.
 
-    Rows are folded by edge and property first, then by edge: the second grouping is on a part of the first one's key, over
-    as many rows as there are properties, and the edge's own count and layer come with the rows that hold no property.
+    With the properties' names an edge is one group with a column for each, combined before the only shuffle. Without
+    them rows are folded by edge and property first, then by edge.
     """
     key = ["src", "dst", "type", "salt"]
-    own = F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("v"))
-    each = raw.select(*key, "ord", "layer", F.explode(F.array_append(F.transform(F.map_entries(F.coalesce("props", F.expr("CAST(map() AS map<string,string>)"))), lambda e: F.struct(e.key.cast("string").alias("k"), e.value.cast("string").alias("v"))), own)).alias("p"))
-    kv = each.groupBy(*key, "p.k").agg(F.min_by("p.v", "ord").alias("v"), F.count("*").alias("n"), F.min_by("layer", "ord").alias("layer"))
-    mine = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
-    props = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
-    return kv.groupBy(*key).agg(mine("n").alias("cnt"), mine("layer").alias("layer"), props.alias("_p")).withColumn("props", F.when(F.size("_p") > 0, F.map_from_entries("_p"))).drop("_p")
+    if properties is None:
+        own = F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("v"))
+        each = raw.select(*key, "ord", "layer", F.explode(F.array_append(F.transform(F.map_entries(F.coalesce("props", F.expr("CAST(map() AS map<string,string>)"))), lambda e: F.struct(e.key.cast("string").alias("k"), e.value.cast("string").alias("v"))), own)).alias("p"))
+        kv = each.groupBy(*key, "p.k").agg(F.min_by("p.v", "ord").alias("v"), F.count("*").alias("n"), F.min_by("layer", "ord").alias("layer"))
+        mine = lambda c: F.max(F.when(F.col("k").isNull(), F.col(c)))
+        found = F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v"))))
+        folded = kv.groupBy(*key).agg(mine("n").alias("cnt"), mine("layer").alias("layer"), found.alias("_p"))
+    else:
+        # a null ord takes no part in min_by, so only rows that hold the property count
+        held = [F.when(F.map_contains_key("props", k), F.col("ord")) for k in sorted(properties)]
+        own = [F.min_by(F.try_element_at("props", F.lit(k)).cast("string"), o).alias(f"_v{i}") for i, (k, o) in enumerate(zip(sorted(properties), held, strict=True))]
+        has = [F.count(o).alias(f"_n{i}") for i, o in enumerate(held)]
+        folded = raw.groupBy(*key).agg(F.count("*").alias("cnt"), F.min_by("layer", "ord").alias("layer"), *own, *has)
+        found = F.array_compact(F.array(*[F.when(F.col(f"_n{i}") > 0, F.struct(F.lit(k).alias("k"), F.col(f"_v{i}").alias("v"))) for i, k in enumerate(sorted(properties))]))
+        folded = folded.withColumn("_p", found)
+    return folded.select(*key, "cnt", "layer", F.when(F.size("_p") > 0, F.map_from_entries("_p")).alias("props"))
 
 
 def prune_layers(nodes: DataFrame, edges: DataFrame, layers: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -71,7 +81,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, types: list[
     frontier = seen
     for d in range(1, depth + 1):
         new = frontier.join(step, F.col("id") == F.col("u")).select("start", F.col("v").alias("id")).distinct().join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(d))
-        frontier = _persisted(new) if d % 3 == 0 else new
+        frontier = written(new) if d % 3 == 0 else new
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
@@ -79,22 +89,38 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, types: list[
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6, types: list[str] | None = None) -> DataFrame:
     """start, end, path, hops: a shortest path over edges taken both ways, the least of equal ones; none beyond max_hops.
 
-    Breadth-first level by level from each start, once for all its ends; a start stops when all of them are found, and
-    nodes seen before aren't entered again.
+    Breadth-first from both ends in turn, once for all pairs that share an end: a path of n hops is met in the middle, so
+    the frontiers grow with half its length. A pair's end stops when all its pairs are found, nodes seen before aren't
+    entered again, and what is kept for a node is the least path to it. All paths to one level have equal lengths, so the
+    least whole path is made of least halves.
     """
-    step = _persisted(_steps(edges, types, "both"))
-    todo = _persisted(pairs.select("start", "end").distinct())
-    seen = _persisted(todo.select("start", F.col("start").alias("id"), F.array("start").alias("path")).distinct())
-    frontier, found = seen, todo.where("start = end").select("start", "end", F.array("start").alias("path"))
-    for _ in range(max_hops):
-        open_ = todo.join(found.select("start", "end"), ["start", "end"], "left_anti").select("start").distinct()
-        new = frontier.join(open_, "start", "left_semi").join(step, F.col("id") == F.col("u")).groupBy("start", F.col("v").alias("id")).agg(F.min("path").alias("path"))
-        new = _persisted(new.join(seen.select("start", "id"), ["start", "id"], "left_anti").select("start", "id", F.concat("path", F.array("id")).alias("path")))
+    step = written(_steps(edges, types, "both"), "steps")
+    todo = written(pairs.select("start", "end").distinct(), "pairs")
+    found = todo.where("start = end").select("start", "end", F.array("start").alias("path"))
+    sides = []
+    for own in ("start", "end"):
+        seen = written(todo.select(F.col(own).alias("own"), F.col(own).alias("id"), F.array(own).alias("path")).distinct(), "seen")
+        sides.append([own, seen, seen])
+    kept = [step, todo, sides[0][1], sides[1][1]]
+    for hop in range(max_hops):
+        side = sides[hop % 2]
+        own, seen, frontier = side
+        left = todo.join(found.select("start", "end"), ["start", "end"], "left_anti")
+        open_ = left.select(F.col(own).alias("own")).distinct()
+        put = (lambda p, x: F.concat(p, F.array(x))) if own == "start" else (lambda p, x: F.concat(F.array(x), p))
+        new = frontier.join(open_, "own", "left_semi").join(step, F.col("id") == F.col("u")).groupBy("own", F.col("v").alias("to")).agg(F.min(put(F.col("path"), F.col("v"))).alias("path"))
+        new = written(new.withColumnRenamed("to", "id").join(seen.select("own", "id"), ["own", "id"], "left_anti").select("own", "id", "path"), "frontier")
+        kept.append(new)
+        side[1], side[2] = seen.unionByName(new), new
+        ahead, behind = (sides[0][2], sides[1][2])
+        met = left.join(ahead.select(F.col("own").alias("start"), "id", F.col("path").alias("a")), "start").join(behind.select(F.col("own").alias("end"), "id", F.col("path").alias("b")), ["end", "id"])
+        met = written(met.groupBy("start", "end").agg(F.min(F.concat("a", F.slice("b", F.lit(2), F.size("b")))).alias("path")), "found")
+        found = found.unionByName(met)
         if new.isEmpty():
             break
-        found = found.unionByName(new.join(todo.withColumnRenamed("end", "id"), ["start", "id"]).select("start", F.col("id").alias("end"), "path"))
-        seen, frontier = seen.unionByName(new), new
-    return found.select("start", "end", "path", (F.size("path") - 1).alias("hops"))
+    out = written(found.select("start", "end", "path", (F.size("path") - 1).alias("hops")), "paths")
+    deleted(*kept)
+    return out
 
 
 def task_view(nodes: DataFrame, edges: DataFrame, targets: DataFrame, types: list[str] | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -134,16 +160,49 @@ def dump_view(view_edges: DataFrame, most: int = 4000) -> DataFrame:
     return begun.select("task_id", F.left(F.array_join("l", "\n"), F.lit(most)).alias("text"))
 
 
-def subtree(events: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """root, id, depth: the events below each root by parent pointers, the root included."""
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most + 1):
-        level = _persisted(level.join(events.select(F.col("parent").alias("id"), F.col("id").alias("child")), "id").select("root", F.col("child").alias("id"), F.lit(d).alias("depth")))
-        if level.isEmpty():
+def _doubled(pointers: DataFrame, most: int) -> DataFrame:
+    """id, to, dist, done: where pointers (id, to, dist, done) lead in the end; each round takes twice as many steps."""
+    now = written(pointers, "pointers")
+    for _ in range(most.bit_length() + 1):
+        if now.where("NOT done").isEmpty():
+            return now
+        step = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
+        new = written(now.where("NOT done").join(step, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("done2", F.lit(True)).alias("done")).unionByName(now.where("done")), "pointers")
+        deleted(now)
+        now = new
+    if now.where("NOT done").isEmpty():
+        return now
+    raise ValueError("the events' parents run in circles")
+
+
+def subtree(events: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, id, depth: the events below each root by parent pointers, the root included; a root below another is in both.
+
+    Pointer doubling: every event's pointer to the nearest root above it takes twice as many steps with each round, so a
+    chain of any length is done in as many rounds as its length has bits. Roots that lie below roots are closed in the
+    same way. An event whose parent isn't there is below no root but itself; parents that run in circles below no root
+    are an error.
+    """
+    tops = roots.select(F.col("id").alias("r")).distinct()
+    own = events.select("id", "parent").union(tops.select("r", F.lit(None).cast(events.schema["parent"].dataType))).groupBy("id").agg(F.max("parent").alias("parent"))
+    marked = own.join(tops.select(F.col("r").alias("id"), F.lit(True).alias("is_root")), "id", "left")
+    pointers = marked.where("is_root IS NOT NULL OR parent IS NOT NULL").select("id", F.when(F.col("is_root"), F.col("id")).otherwise(F.col("parent")).alias("to"), F.when(F.col("is_root"), 0).otherwise(1).alias("dist"), F.coalesce("is_root", F.lit(False)).alias("done"))
+    most = max(events.count(), 1)
+    near = _doubled(pointers, most).join(tops.withColumnRenamed("r", "to"), "to", "left_semi").select("id", F.col("to").alias("root"), F.col("dist").alias("depth"))
+    # links from a root to the nearest root above it, closed by squaring
+    up = marked.where("is_root AND parent IS NOT NULL").select(F.col("id").alias("low"), F.col("parent").alias("id")).join(near, "id").select("low", F.col("root").alias("high"), (F.col("depth") + 1).alias("steps"))
+    links = written(up, "links")
+    for _ in range(most.bit_length() + 1):
+        far = links.select(F.col("low").alias("high"), F.col("high").alias("high2"), F.col("steps").alias("steps2"))
+        new = links.join(far, "high").select("low", F.col("high2").alias("high"), (F.col("steps") + F.col("steps2")).alias("steps")).unionByName(links).where("low <> high").groupBy("low", "high").agg(F.min("steps").alias("steps"))
+        new = written(new, "links")
+        grown = new.count() > links.count()
+        deleted(links)
+        links = new
+        if not grown:
             break
-        out = out.unionByName(level)
-    return out
+    above = near.join(links.withColumnRenamed("low", "root"), "root").select(F.col("high").alias("root"), "id", (F.col("depth") + F.col("steps")).alias("depth"))
+    return near.select("root", "id", "depth").unionByName(above)
 
 
 def code_graph(files: DataFrame, symbols: DataFrame, imports: DataFrame, calls: DataFrame, endpoints: DataFrame, ui: DataFrame, commits: DataFrame, commit_files: DataFrame, pairs: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:

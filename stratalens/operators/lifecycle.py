@@ -79,6 +79,80 @@ def missing_hunks(refs: DataFrame, hunks: DataFrame) -> DataFrame:
     return refs.join(hunks.select("sha", "file", "idx"), ["sha", "file", "idx"], "left_anti")
 
 
+def content_hashes(lines: DataFrame) -> DataFrame:
+    """path, hash: SHA-256 of each file's lines (path, line_no, text) in order."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x.text), "\n")
+    return lines.groupBy("path").agg(F.sha2(text, 256).alias("hash"))
+
+
+def actual_patch(before: DataFrame, after: DataFrame) -> DataFrame:
+    """file, idx, old_start, old_lines, new_start, new_lines, lines: what changed between two line tables.
+
+    Files of equal hash are left out first; of the others, one at a time, the lines between the common head and tail are
+    aligned. A hunk holds removed and added lines only.
+    """
+    a, b = content_hashes(before).withColumnRenamed("hash", "a"), content_hashes(after).withColumnRenamed("hash", "b")
+    changed = a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("path")
+    side = lambda df, n: df.join(changed, "path", "left_semi").select("path", "line_no", "text", F.lit(n).alias("side"))
+
+    def hunks(pdf):
+        import difflib
+
+        import pandas as pd
+
+        pdf = pdf.sort_values("line_no")
+        old, new = (pdf.loc[pdf["side"] == s, "text"].tolist() for s in (0, 1))
+        head = 0
+        while head < min(len(old), len(new)) and old[head] == new[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+            tail += 1
+        match = difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False)
+        steps = [(a + head, b + head, c + head, d + head) for op, a, b, c, d in match.get_opcodes() if op != "equal"]
+        rows = [(pdf["path"].iloc[0], k, a + (b > a), b - a, c + (d > c), d - c, [{"tag": "-", "text": x} for x in old[a:b]] + [{"tag": "+", "text": x} for x in new[c:d]]) for k, (a, b, c, d) in enumerate(steps)]
+        return pd.DataFrame(rows, columns=["file", "idx", "old_start", "old_lines", "new_start", "new_lines", "lines"])
+
+    path = dict(before.dtypes)["path"]
+    both = side(before, 0).unionByName(side(after, 1))
+    return both.groupBy("path").applyInPandas(hunks, f"file {path}, idx int, old_start int, old_lines int, new_start int, new_lines int, lines array<struct<tag:string,text:string>>")
+
+
+def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: DataFrame, rolled_back: DataFrame, kept: DataFrame, files: DataFrame, proof: DataFrame | None = None) -> DataFrame:
+    """sha, expected, preservation, scope, outside, drift, conflict, tests, evidence, overall: judged by what happened.
+
+    before, planned, after: line tables (path, line_no, text): what the patch was tried on, what it should leave, what it
+    left. status (path, status) of the patch's files. rolled_back and kept: hunks (sha, file, lines). files (sha, file): what
+    may change. proof (sha, tests, evidence); without it neither holds.
+
+    expected: every rolled-back file did change, and every line that its hunks added is gone. preservation and scope: see
+    the faces; a touched file that isn't what was planned is drift and out of scope. A change outside all plans counts
+    against each commit. A conflict in a file of a commit is a failure of its own.
+    """
+    shas = rolled_back.select("sha").distinct()
+    patch = actual_patch(before, after)
+    own = rolled_back.select("sha", "file").union(files.select("sha", "file")).distinct()
+    loose = patch.join(own.select("file").distinct(), "file", "left_anti").crossJoin(F.broadcast(shas))  # the commits of one plan
+    actual = patch.join(own, "file").unionByName(loose).select("sha", "file", "lines")
+    touched = actual.select(F.col("file").alias("path")).distinct()
+    gone = content_hashes(before).join(content_hashes(planned), "path", "left_anti").select("path")
+    moved = content_drift(content_hashes(planned), content_hashes(after), touched, gone).select(F.col("path").alias("file"))
+    drift = actual.select("sha", "file").distinct().join(moved, "file", "left_semi")
+    idle = rolled_back.select("sha", "file").distinct().join(actual.select("sha", "file"), ["sha", "file"], "left_anti").select("sha").distinct().withColumn("_idle", F.lit(True))
+    clash = own.join(status.where("status = 'CONFLICT'").select(F.col("path").alias("file")), "file", "left_semi").groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("conflict"))
+    none = F.array().cast(f"array<{dict(own.dtypes)['file']}>")
+    faces = shas.join(expected_face(rolled_back, actual), "sha", "left").join(idle, "sha", "left").join(preservation_face(kept, rolled_back, actual), "sha", "left")
+    faces = faces.join(scope_face(actual, files, drift), "sha", "left").join(drift.groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("drift")), "sha", "left").join(clash, "sha", "left")
+    if proof is not None:
+        faces = faces.join(proof.select("sha", "tests", "evidence"), "sha", "left")
+    else:
+        faces = faces.withColumns({"tests": F.lit(False), "evidence": F.lit(False)})
+    yes = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    expected = yes("expected", True) & F.col("_idle").isNull() & F.col("conflict").isNull()  # hunks that only removed lines have nothing to be gone
+    out = faces.select("sha", expected.alias("expected"), yes("preservation", True).alias("preservation"), yes("scope", True).alias("scope"), F.coalesce("outside", none).alias("outside"), F.coalesce("drift", none).alias("drift"), F.coalesce("conflict", none).alias("conflict"), yes("tests", False).alias("tests"), yes("evidence", False).alias("evidence"))
+    return verification(out)
+
+
 def verification(faces: DataFrame) -> DataFrame:
     """faces (expected, preservation, scope, tests, evidence booleans) with overall VERIFIED, PARTIAL or FAILED."""
     hard = F.col("expected") & F.col("preservation") & F.col("scope")
@@ -133,11 +207,14 @@ def apply_hunks(lines: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFram
     """A line table (path, line_no, text) after hunks (file, idx, old_start, old_lines, lines), and path, status of each file.
 
     A hunk's context and removed lines must be what the table holds from old_start on, else its file is in CONFLICT and
-    keeps its lines; other files are APPLIED_SANDBOX. A hunk without old lines inserts after old_start.
+    keeps its lines; other files are APPLIED_SANDBOX. A hunk without old lines inserts after old_start, which must be a
+    line of the file or its very beginning.
     """
     of = lambda tags: F.filter("lines", lambda x: x.tag.isin(*tags))
     olds = hunks.select(F.col("file").alias("path"), "old_start", F.posexplode(of(" -")).alias("pos", "l")).select("path", (F.col("old_start") + F.col("pos")).alias("line_no"), F.col("l.text").alias("want"))
-    wrong = olds.join(lines, ["path", "line_no"], "left").where(~F.col("want").eqNullSafe(F.col("text"))).select("path").distinct().withColumn("_wrong", F.lit(True))
+    wrong = olds.join(lines, ["path", "line_no"], "left").where(~F.col("want").eqNullSafe(F.col("text"))).select("path")
+    inserts = hunks.where(~F.exists("lines", lambda x: x.tag.isin(" ", "-")) & (F.col("old_start") > 0)).select(F.col("file").alias("path"), F.col("old_start").alias("line_no"))
+    wrong = wrong.union(inserts.join(lines, ["path", "line_no"], "left_anti").select("path")).distinct().withColumn("_wrong", F.lit(True))
     status = hunks.select(F.col("file").alias("path")).distinct().join(wrong, "path", "left").select("path", F.when(F.col("_wrong"), "CONFLICT").otherwise("APPLIED_SANDBOX").alias("status"))
     good = hunks.join(status.where("status = 'APPLIED_SANDBOX'").select(F.col("path").alias("file")), "file", "left_semi")
     covered = olds.join(status.where("status = 'APPLIED_SANDBOX'"), "path", "left_semi").select("path", "line_no").distinct()

@@ -27,24 +27,27 @@ def hunk_features(hunks: DataFrame) -> DataFrame:
 
 
 def bind_edges(features: DataFrame, file_calls: DataFrame | None = None) -> DataFrame:
-    """sha, a, b: pairs of hunks of a commit that belong together (a < b by ord).
+    """sha, a, b: links that hold the hunks of a commit together which belong together (a < b by ord).
 
-    A pair is bound by a shared symbol; by a shared domain in one file; by shared domains with two hits or more in all;
-    or by a call from one's file to the other's. Each reason is an equi-join on commit and what is shared, so hunks with
-    nothing in common never meet.
+    Hunks belong together by a shared symbol, by a shared domain (two hits in all, which any two hunks of a domain have),
+    or by a call from one's file to the other's. What shares a reason is linked to the first hunk that has it, so a
+    reason of n hunks gives n - 1 links instead of all pairs, and components stay the same.
     """
     f = features.withColumn("ord", F.row_number().over(Window.partitionBy("sha").orderBy("file", "idx")))
-    sym = f.select("sha", "ord", F.explode("symbols").alias("s"))
-    by_symbol = sym.withColumnRenamed("ord", "a").join(sym.withColumnRenamed("ord", "b"), ["sha", "s"]).where("a < b").select("sha", "a", "b")
-    dom = f.select("sha", "ord", "file", F.explode("bind").alias("d", "n"))
-    left, right = dom.select("sha", "d", F.col("ord").alias("a"), F.col("file").alias("fa"), F.col("n").alias("na")), dom.select("sha", "d", F.col("ord").alias("b"), F.col("file").alias("fb"), F.col("n").alias("nb"))
-    by_domain = left.join(right, ["sha", "d"]).where("a < b").groupBy("sha", "a", "b").agg(F.sum(F.col("na") + F.col("nb")).alias("hits"), F.first(F.col("fa") == F.col("fb")).alias("same")).where(f"same OR hits >= {fixed.BIND_HITS}").select("sha", "a", "b")
-    out = by_symbol.union(by_domain)
+
+    def stars(df: DataFrame, by: list[str]) -> DataFrame:
+        first = df.groupBy("sha", *by).agg(F.min("ord").alias("a"))
+        return df.join(first, ["sha", *by]).where("ord > a").select("sha", "a", F.col("ord").alias("b"))
+
+    out = stars(f.select("sha", "ord", F.explode("symbols").alias("s")), ["s"]).union(stars(f.select("sha", "ord", F.explode(F.map_keys("bind")).alias("d")), ["d"]))
     if file_calls is not None:
-        x = f.select("sha", F.col("ord").alias("x"), F.col("file").alias("caller_file"))
-        y = f.select("sha", F.col("ord").alias("y"), F.col("file").alias("callee_file"))
-        linked = x.join(file_calls.select("caller_file", "callee_file").distinct(), "caller_file").join(y, ["sha", "callee_file"]).where("x <> y")
-        out = out.union(linked.select("sha", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        calls = file_calls.select("caller_file", "callee_file").distinct()
+        firsts = f.groupBy("sha", "file").agg(F.min("ord").alias("first"))
+        pairs = firsts.select("sha", F.col("file").alias("caller_file"), F.col("first").alias("x")).join(calls, "caller_file").join(firsts.select("sha", F.col("file").alias("callee_file"), F.col("first").alias("y")), ["sha", "callee_file"]).where("x <> y")
+        # all hunks of two files that a call joins are linked through the first hunk of either
+        ends = pairs.select("sha", F.col("caller_file").alias("file"), F.col("y").alias("other")).union(pairs.select("sha", "callee_file", "x")).distinct()
+        linked = f.select("sha", "file", "ord").join(ends, ["sha", "file"])
+        out = out.union(linked.select("sha", F.least("ord", "other").alias("a"), F.greatest("ord", "other").alias("b")))
     return out.distinct()
 
 

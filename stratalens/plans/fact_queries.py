@@ -270,7 +270,7 @@ _FK = "e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'IN' A
 @query("edge_fold", "SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, l_returnflag AS type, CAST(count(*) AS BIGINT) AS cnt, arg_min(l_linestatus, l_orderkey * 10 + l_linenumber) AS status FROM lineitem GROUP BY 1, 2, 3")
 def edge_fold(spark, d):
     raw = table(spark, d, "lineitem").select(F.concat(F.lit("s"), text("l_suppkey")).alias("src"), F.concat(F.lit("p"), text("l_partkey")).alias("dst"), F.col("l_returnflag").alias("type"), F.lit("").alias("salt"), F.lit("code").alias("layer"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.create_map(F.lit("status"), F.col("l_linestatus")).alias("props"))
-    return graph.fold_edges(raw).select("src", "dst", "type", "cnt", F.col("props")["status"].alias("status"))
+    return graph.fold_edges(raw, ["status"]).select("src", "dst", "type", "cnt", F.col("props")["status"].alias("status"))
 
 
 @query("node_fold", "SELECT 's' || l_suppkey AS id, arg_min(l_linestatus, l_orderkey * 10 + l_linenumber) AS status, count(DISTINCT l_linestatus) > 1 AS conflict FROM lineitem GROUP BY 1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.functions.text import query_terms, query_vocabulary, symbol_pick
 from stratalens.operators import cochange, codegraph, evidence, graph, ledger, lifecycle, metrics, policy, ranges, search, semantic, units
-from stratalens.operators.components import _persisted
+from stratalens.operators.scratch import written
 from stratalens.sources.script_facts import fact_tables, facts
 
 MODES = ["lexical", "structural", "structural_git", "graph"]
@@ -38,8 +38,8 @@ class Repository:
     @cached_property
     def facts(self) -> dict[str, DataFrame]:
         code = self.files.where(F.col("path").rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$"))
-        found = fact_tables(_persisted(facts(code)))
-        found["imports"] = _persisted(codegraph.resolve_imports(found["imports"], self.files))
+        found = fact_tables(written(facts(code)))
+        found["imports"] = written(codegraph.resolve_imports(found["imports"], self.files))
         return found
 
     @cached_property
@@ -48,7 +48,7 @@ class Repository:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return _persisted(cochange.cochange_pairs(self.commit_files, support=2))
+        return written(cochange.cochange_pairs(self.commit_files, support=2))
 
     @cached_property
     def units(self) -> DataFrame:
@@ -56,7 +56,7 @@ class Repository:
         named = self.hunks.join(h, ["sha", "file", "idx"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
         f = self.facts
         file_calls = codegraph.callers(f["calls"], f["symbols"], f["imports"]).select("caller_file", F.substring_index("qualified", "::", 1).alias("callee_file")).where("caller_file <> callee_file").distinct()
-        return _persisted(units.change_units(units.hunk_features(named), file_calls))
+        return written(units.change_units(units.hunk_features(named), file_calls))
 
     @cached_property
     def graph(self) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +64,7 @@ class Repository:
         none = self.spark.createDataFrame([], "sha string, file string")
         cf = self.commit_files if self.commit_files is not None else none
         n, e = graph.code_graph(self.files, f["symbols"], f["imports"], f["calls"], self.endpoints, f["ui_strings"], self.commits if self.commits is not None else none, cf, cochange.cochange_pairs(cf, support=2), self.name)
-        return _persisted(n), _persisted(e)
+        return written(n), written(e)
 
 
 def _mode(mode: str, needs: str) -> bool:
@@ -251,12 +251,17 @@ def orchestrate(repo: Repository, query: str, keep_hint: str = "", findings: Dat
     return {"features": mapped, "sides": sides, "couplings": coupled, "gate": advice, "decisions": policy.gate_decisions(gate.withColumn("_key", F.lit(query)), "_key"), "view_nodes": view[0], "view_edges": view[1]}
 
 
-def execute(repo: Repository, judged: DataFrame, results: DataFrame | None = None) -> dict[str, DataFrame]:
+def execute(repo: Repository, judged: DataFrame, results: DataFrame | None = None, snapshot: DataFrame | None = None, cited: DataFrame | None = None, registered: DataFrame | None = None, after: DataFrame | None = None) -> dict[str, DataFrame]:
     """The patch that undoes the rolled-back hunks, tried on the files' lines and checked: nothing is written to a repository.
 
-    judged: units with action. results: execution_id, result of validation commands, as an input table. The units rolled
-    back are their own evidence, which must be among the repository's. ``applied`` has each file's status, ``after`` the
-    line table that the patch leaves.
+    judged: units with action. results: execution_id, result of validation commands, as an input table. snapshot (path,
+    hash, see ``lifecycle.content_hashes``): the files as the plan was made on them; cited (sha, id): the evidence that
+    the plan names, registered (id): what there is. Without these there is no evidence. after: the line table that a
+    sandbox was left with; without it that of the patch.
+
+    ``status`` is a commit's PATCH_BUILT, STALE_PLAN (a planned file is no longer what the snapshot says) or CONFLICT (a
+    hunk is missing or doesn't fit), ``applied`` each file's, ``after`` the lines left. ``verification`` compares them
+    with those before, file by file; a commit that is not PATCH_BUILT is never more than FAILED.
     """
     picked = lambda action: judged.where(F.col("action") == action).select("sha", F.explode("hunks").alias("h")).select("sha", "h.file", "h.idx")
     refs = picked("ROLLBACK")
@@ -264,14 +269,27 @@ def execute(repo: Repository, judged: DataFrame, results: DataFrame | None = Non
     own = repo.hunks.join(refs, ["sha", "file", "idx"], "left_semi")
     kept = repo.hunks.join(picked("KEEP"), ["sha", "file", "idx"], "left_semi")
     undo = lifecycle.inverse_hunks(own)
-    after, applied = lifecycle.apply_hunks(search.lines(repo.files).select("path", "line_no", "text"), undo)
-    planned = judged.where("action = 'ROLLBACK'").select("sha", F.explode("files").alias("file"))
+    before = written(search.lines(repo.files).select("path", "line_no", "text"))
+    planned, applied = lifecycle.apply_hunks(before, undo)
+    planned, applied = written(planned), written(applied)
+    plan = judged.where("action = 'ROLLBACK'").select("sha", F.explode("files").alias("file")).distinct()
     patches = lifecycle.patch_text(undo)
-    attempt = judged.where("action = 'ROLLBACK'").groupBy("sha").agg(F.collect_set("unit_id").alias("evidence_ids"))
-    attempt = attempt.join(patches.groupBy("sha").agg((F.count("*") > 0).alias("has_patches")), "sha", "left").withColumn("has_snapshot", F.lit(True))
-    faces = lifecycle.expected_face(own, undo).join(lifecycle.preservation_face(kept, own, undo), "sha").join(lifecycle.scope_face(undo, planned), "sha").join(lifecycle.evidence_face(attempt, repo.units.select(F.col("unit_id").alias("id"))), "sha")
-    tests = F.lit(False) if results is None else F.lit(lifecycle.validation_status(results).where("NOT tests").isEmpty())
-    return {"missing": lost, "status": lifecycle.patch_status(refs, repo.hunks), "patch": patches, "signature": lifecycle.patch_signature(undo), "applied": applied, "after": after, "verification": lifecycle.verification(faces.withColumn("tests", tests))}
+    now = lifecycle.content_hashes(before)
+    stale = plan.limit(0).select("sha").withColumn("_stale", F.lit(True))
+    attempt = plan.select("sha").distinct().join(patches.groupBy("sha").agg((F.count("*") > 0).alias("has_patches")), "sha", "left").withColumn("has_snapshot", F.lit(snapshot is not None))
+    if snapshot is not None:
+        known = plan.join(snapshot.select(F.col("path").alias("file"), F.col("hash").alias("then")), "file", "left").join(now.select(F.col("path").alias("file"), "hash"), "file", "left")
+        stale = known.where("then IS NOT NULL AND NOT then <=> hash").select("sha").distinct().withColumn("_stale", F.lit(True))
+        attempt = attempt.drop("has_snapshot").join(known.groupBy("sha").agg((F.count("then") == F.count("*")).alias("has_snapshot")), "sha", "left")
+    ids = cited.groupBy("sha").agg(F.collect_set("id").alias("evidence_ids")) if cited is not None else plan.limit(0).select("sha", F.array().cast("array<string>").alias("evidence_ids"))
+    proof = lifecycle.evidence_face(attempt.join(ids, "sha", "left"), registered if registered is not None else cited.limit(0) if cited is not None else plan.limit(0).select(F.col("sha").alias("id")))
+    tests = F.lit(False) if results is None else F.lit(not results.isEmpty() and lifecycle.validation_status(results).where("NOT tests").isEmpty())
+    judged_faces = lifecycle.verify(before, planned, after if after is not None else planned, applied, own, kept, plan, proof.withColumn("tests", tests))
+    built = lifecycle.patch_status(refs, repo.hunks).join(stale, "sha", "left").join(judged_faces.select("sha", "conflict"), "sha", "left")
+    status = F.when(F.col("_stale"), "STALE_PLAN").when(F.size(F.coalesce("conflict", F.array())) > 0, "CONFLICT").otherwise(F.col("status"))
+    built = built.select("sha", status.alias("status"))
+    verdict = built.join(judged_faces, "sha", "left").withColumn("overall", F.when(F.col("status") == "PATCH_BUILT", F.col("overall")).otherwise("FAILED"))
+    return {"missing": lost, "status": built, "patch": patches, "signature": lifecycle.patch_signature(undo), "applied": applied, "after": after if after is not None else planned, "verification": verdict.drop("status")}
 
 
 def evaluate(predictions: DataFrame, gold: DataFrame, tasks: DataFrame, runs: DataFrame | None = None) -> DataFrame:
