@@ -236,10 +236,10 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     A word of the result lies in a window whose words also start earlier: in a smaller doc_id, or earlier in the same one.
     """
     source = docs.select(F.coalesce(col(doc_id).cast("bigint"), F.lit(-(2**63))).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("text")).where("text IS NOT NULL")
-    all_runs = stored(_runs(source), "all-runs")
-    twice = all_runs.groupBy("m").count().where("count > 1").select("m")
-    runs = stored(_marked(all_runs.join(twice, "m", "left_semi").select("d", "h", "m", "c", "lo", "hi")), "runs")
-    dropped(all_runs)
+    # texts are split twice, so that runs which don't repeat are never written
+    twice = stored(_runs(source).groupBy("m").count().where("count > 1").select("m"), "anchors")
+    runs = stored(_marked(_runs(source).join(twice, "m", "left_semi").select("d", "h", "m", "c", "lo", "hi")), "runs")
+    dropped(twice)
     sums = [(F.sum(f"f{k}") % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
     classes = runs.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "lo", "h", "hi")).alias("first"), *sums)
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
