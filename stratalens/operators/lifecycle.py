@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
 
+from .scratch import written
+
 
 def transition_table(spark: SparkSession) -> DataFrame:
     """prev, next: the steps an attempt may take."""
@@ -130,14 +132,14 @@ def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: Data
     against each commit. A conflict in a file of a commit is a failure of its own.
     """
     shas = rolled_back.select("sha").distinct()
-    patch = actual_patch(before, after)
+    patch = written(actual_patch(before, after), "patch")
     own = rolled_back.select("sha", "file").union(files.select("sha", "file")).distinct()
     loose = patch.join(own.select("file").distinct(), "file", "left_anti").crossJoin(F.broadcast(shas))  # the commits of one plan
     actual = patch.join(own, "file").unionByName(loose).select("sha", "file", "lines")
     touched = actual.select(F.col("file").alias("path")).distinct()
     gone = content_hashes(before).join(content_hashes(planned), "path", "left_anti").select("path")
     moved = content_drift(content_hashes(planned), content_hashes(after), touched, gone).select(F.col("path").alias("file"))
-    drift = actual.select("sha", "file").distinct().join(moved, "file", "left_semi")
+    drift = written(actual.select("sha", "file").distinct().join(moved, "file", "left_semi"), "drift")
     idle = rolled_back.select("sha", "file").distinct().join(actual.select("sha", "file"), ["sha", "file"], "left_anti").select("sha").distinct().withColumn("_idle", F.lit(True))
     clash = own.join(status.where("status = 'CONFLICT'").select(F.col("path").alias("file")), "file", "left_semi").groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("conflict"))
     none = F.array().cast(f"array<{dict(own.dtypes)['file']}>")

@@ -284,7 +284,7 @@ def execute(repo: Repository, judged: DataFrame, results: DataFrame | None = Non
     ids = cited.groupBy("sha").agg(F.collect_set("id").alias("evidence_ids")) if cited is not None else plan.limit(0).select("sha", F.array().cast("array<string>").alias("evidence_ids"))
     proof = lifecycle.evidence_face(attempt.join(ids, "sha", "left"), registered if registered is not None else cited.limit(0) if cited is not None else plan.limit(0).select(F.col("sha").alias("id")))
     tests = F.lit(False) if results is None else F.lit(not results.isEmpty() and lifecycle.validation_status(results).where("NOT tests").isEmpty())
-    judged_faces = lifecycle.verify(before, planned, after if after is not None else planned, applied, own, kept, plan, proof.withColumn("tests", tests))
+    judged_faces = written(lifecycle.verify(before, planned, after if after is not None else planned, applied, own, kept, plan, proof.withColumn("tests", tests)))
     built = lifecycle.patch_status(refs, repo.hunks).join(stale, "sha", "left").join(judged_faces.select("sha", "conflict"), "sha", "left")
     status = F.when(F.col("_stale"), "STALE_PLAN").when(F.size(F.coalesce("conflict", F.array())) > 0, "CONFLICT").otherwise(F.col("status"))
     built = built.select("sha", status.alias("status"))

