@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shares a bucket is confirmed or refuted.
 
     Where K components of one bucket stay apart for good, all K * (K - 1) / 2 pairs of them are refuted one by one; rounds
-    are that many pairs over STARS times the first members, so a round's size never follows the bucket.
+    are that many pairs over STARS times the first members, so a round's size never follows the bucket. A pair is compared in
+    one round only, however many buckets it shares.
 
     Bands and rows follow ``percent`` so that a pair at the threshold shares no bucket with probability ``miss`` at most
     (at 85: 64 bands of 10, 8e-7); such a pair is missed only if no chain of others links it. Pairs that their sizes or their
@@ -229,7 +230,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(_sets(texts.join(named.hint("merge"), "id"), shingle).dropDuplicates(["id"]), "sets")
     comp = wanted.select("id", F.col("id").alias("comp"))
     at_first = rows = members.count()
-    links = None
+    links = tried = None
+    compared: list[DataFrame] = []
     while True:
         here = members.join(comp.hint("merge"), "id")
         if links is None:
@@ -243,6 +245,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if centre.isEmpty():
             break
         met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        if tried is not None:  # a pair that shares several buckets is compared once
+            met = met.join(tried.hint("merge"), ["a", "b"], "left_anti")
+        met = stored(met, "pairs")
+        tried = met if tried is None else tried.unionByName(met)
+        compared.append(met)
         fresh = stored(_confirmed(met, sets, percent), "links")
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
@@ -261,7 +268,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         rows = members.count()
         if not rows:
             break
-    dropped(sets, members)
+    dropped(sets, members, *compared)
     of_class = classes.join(comp, "id", "left").select("set_key", F.coalesce("comp", "id").alias("comp"))
     out = all_docs.join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

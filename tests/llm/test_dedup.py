@@ -245,3 +245,19 @@ def test_repeated_ids_do_not_depend_on_partitions(spark):
         got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in M.near_duplicates(df).collect())
         want = want or got
         assert got == want
+
+
+def test_near_misses_are_compared_once(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(250)]
+    texts = []
+    for k in range(60):  # any two share about 0.83 of their shingles, under the threshold
+        words = list(base)
+        for at in rng.sample(range(0, 250, 6), 2):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    made = []
+    confirmed = M._confirmed
+    monkeypatch.setattr(M, "_confirmed", lambda edges, *more: made.extend(tuple(r) for r in edges.collect()) or confirmed(edges, *more))
+    M.near_duplicates(spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], SCHEMA), percent=88).collect()
+    assert len(made) == len(set(made)) <= 60 * 59 // 2
