@@ -176,6 +176,14 @@ def lexical_impact(found: DataFrame, symbol: str) -> DataFrame:
     return found.withColumn("role", role)
 
 
+def lexical_roles(found: DataFrame, symbol: Column) -> DataFrame:
+    """``lexical_impact`` where each row has its own symbol."""
+    s = F.concat(F.lit("\\Q"), symbol, F.lit("\\E"))
+    defined = F.regexp_like("text", F.concat(F.lit(r"\b(function|class|const|let|var|interface|type|enum)\s+"), s, F.lit(r"\b")))
+    called = F.regexp_like("text", F.concat(F.lit(r"\b"), s, F.lit(r"\s*\(")))
+    return found.withColumn("role", F.when(defined, "definition").when(called, "call").otherwise("mention"))
+
+
 def newest_per(df: DataFrame, by: list[str], time: str, tie: str, n: int = 10) -> DataFrame:
     """The n newest rows of each group."""
     w = Window.partitionBy(*by).orderBy(F.desc(time), tie)

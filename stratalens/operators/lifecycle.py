@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,27 +98,53 @@ def actual_patch(before: DataFrame, after: DataFrame) -> DataFrame:
     changed = a.join(b, "path", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("path")
     side = lambda df, n: df.join(changed, "path", "left_semi").select("path", "line_no", "text", F.lit(n).alias("side"))
 
-    def hunks(pdf):
-        import difflib
-
-        import pandas as pd
-
-        pdf = pdf.sort_values("line_no")
-        old, new = (pdf.loc[pdf["side"] == s, "text"].tolist() for s in (0, 1))
-        head = 0
-        while head < min(len(old), len(new)) and old[head] == new[head]:
-            head += 1
-        tail = 0
-        while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
-            tail += 1
-        match = difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False)
-        steps = [(a + head, b + head, c + head, d + head) for op, a, b, c, d in match.get_opcodes() if op != "equal"]
-        rows = [(pdf["path"].iloc[0], k, a + (b > a), b - a, c + (d > c), d - c, [{"tag": "-", "text": x} for x in old[a:b]] + [{"tag": "+", "text": x} for x in new[c:d]]) for k, (a, b, c, d) in enumerate(steps)]
-        return pd.DataFrame(rows, columns=["file", "idx", "old_start", "old_lines", "new_start", "new_lines", "lines"])
-
-    path = dict(before.dtypes)["path"]
-    both = side(before, 0).unionByName(side(after, 1))
-    return both.groupBy("path").applyInPandas(hunks, f"file {path}, idx int, old_start int, old_lines int, new_start int, new_lines int, lines array<struct<tag:string,text:string>>")
+    kind = dict(before.dtypes)["path"]
+    # written, since a union of two joins on path would count as dealt by path already, whatever they become at run time
+    both = written(side(before, 0).unionByName(side(after, 1)), "sides")
+
+    def hunks(batches):
+        path, texts, found = None, ([], []), []
+
+        def put():
+            for k, (a, b, c, d) in enumerate(_steps(*texts)):
+                found.append((path, k, a + (b > a), b - a, c + (d > c), d - c, [("-", x) for x in texts[0][a:b]] + [("+", x) for x in texts[1][c:d]]))
+
+        def batch(field):
+            cols = list(zip(*found, strict=True)) or [()] * 7
+            lines = pa.array([[{"tag": t, "text": x} for t, x in ls] for ls in cols[6]], pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())])))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], field), *(pa.array(c, pa.int32()) for c in cols[1:6]), lines], names=["file", "idx", "old_start", "old_lines", "new_start", "new_lines", "lines"])
+
+        field = None
+        for b in batches:
+            field = b.schema.field(0).type
+            for p, text, n in zip(*(b.column(c).to_pylist() for c in ("path", "text", "side")), strict=True):
+                if p != path:
+                    put()
+                    path, texts = p, ([], [])
+                texts[n].append(text)
+            yield batch(field)
+        put()
+        if found:
+            yield batch(field)
+
+    # a file's lines follow each other, so one file is in memory at a time
+    rows = both.repartition("path").sortWithinPartitions("path", "side", "line_no")
+    return rows.mapInArrow(hunks, f"file {kind}, idx int, old_start int, old_lines int, new_start int, new_lines int, lines array<struct<tag:string,text:string>>")
+
+
+def _steps(old: list[str], new: list[str]) -> list[tuple[int, int, int, int]]:
+    """Ranges old[a:b] that became new[c:d], without the common head and tail aligned."""
+    import difflib
+
+    head = 0
+    while head < min(len(old), len(new)) and old[head] == new[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(old), len(new)) - head and old[-1 - tail] == new[-1 - tail]:
+        tail += 1
+    match = difflib.SequenceMatcher(None, old[head : len(old) - tail], new[head : len(new) - tail], autojunk=False)
+    return [(a + head, b + head, c + head, d + head) for op, a, b, c, d in match.get_opcodes() if op != "equal"]
 
 
 def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: DataFrame, rolled_back: DataFrame, kept: DataFrame, files: DataFrame, proof: DataFrame | None = None) -> DataFrame:
@@ -128,14 +155,15 @@ def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: Data
     may change. proof (sha, tests, evidence); without it neither holds.
 
     expected: every rolled-back file did change, and every line that its hunks added is gone. preservation and scope: see
-    the faces; a touched file that isn't what was planned is drift and out of scope. A change outside all plans counts
-    against each commit. A conflict in a file of a commit is a failure of its own.
+    the faces; a touched file that isn't what was planned is drift and out of scope. A file that no commit
+    names counts against each (the first 20 are listed). A conflict in a file of a commit is a failure of its own.
     """
     shas = rolled_back.select("sha").distinct()
     patch = written(actual_patch(before, after), "patch")
     own = rolled_back.select("sha", "file").union(files.select("sha", "file")).distinct()
-    loose = patch.join(own.select("file").distinct(), "file", "left_anti").crossJoin(F.broadcast(shas))  # the commits of one plan
-    actual = patch.join(own, "file").unionByName(loose).select("sha", "file", "lines")
+    actual = patch.join(own.union(kept.select("sha", "file")).distinct(), "file").select("sha", "file", "lines")
+    named = own.select("file").union(kept.select("file")).distinct()
+    loose = patch.select("file").distinct().join(named, "file", "left_anti").orderBy("file").limit(20).agg(F.collect_list("file").alias("_loose"))
     touched = actual.select(F.col("file").alias("path")).distinct()
     gone = content_hashes(before).join(content_hashes(planned), "path", "left_anti").select("path")
     moved = content_drift(content_hashes(planned), content_hashes(after), touched, gone).select(F.col("path").alias("file"))
@@ -149,9 +177,10 @@ def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: Data
         faces = faces.join(proof.select("sha", "tests", "evidence"), "sha", "left")
     else:
         faces = faces.withColumns({"tests": F.lit(False), "evidence": F.lit(False)})
+    faces = faces.crossJoin(F.broadcast(loose))  # one row
     yes = lambda c, other: F.coalesce(F.col(c), F.lit(other))
     expected = yes("expected", True) & F.col("_idle").isNull() & F.col("conflict").isNull()  # hunks that only removed lines have nothing to be gone
-    out = faces.select("sha", expected.alias("expected"), yes("preservation", True).alias("preservation"), yes("scope", True).alias("scope"), F.coalesce("outside", none).alias("outside"), F.coalesce("drift", none).alias("drift"), F.coalesce("conflict", none).alias("conflict"), yes("tests", False).alias("tests"), yes("evidence", False).alias("evidence"))
+    out = faces.select("sha", expected.alias("expected"), yes("preservation", True).alias("preservation"), (yes("scope", True) & (F.size("_loose") == 0)).alias("scope"), F.concat(F.coalesce("outside", none), F.col("_loose")).alias("outside"), F.coalesce("drift", none).alias("drift"), F.coalesce("conflict", none).alias("conflict"), yes("tests", False).alias("tests"), yes("evidence", False).alias("evidence"))
     return verification(out)
 
 

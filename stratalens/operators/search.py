@@ -75,6 +75,27 @@ def islands(df: DataFrame, by: list[str], order: list[str], value: str, gap: int
     return df.withColumn("_new", F.coalesce((F.col(value) - F.lag(value).over(w) > gap).cast("int"), F.lit(0))).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def group_scores(found: DataFrame, by: list[str]) -> DataFrame:
+    """by, line_start, line_end, n_hits, hits, credit of the densest groups of matches: one scan, one shuffle.
+
+    Groups, their terms and their lines share the partitioning of the window that numbers them; a group's few terms and
+    the lines of each are held in arrays.
+    """
+    m = found.withColumn("kind", hit_kind(F.col("text"), F.col("col"), F.col("term"))).withColumn("w", kind_weight(F.col("kind")))
+    m = islands(m, by, ["line_no", "col", "term"], "line_no")
+    best = F.max_by(F.struct("w", "line_no"), F.struct(F.col("w"), -F.col("line_no"), -F.col("col")))
+    each = m.groupBy(*by, "grp", "term").agg(best.alias("b"), F.count("*").alias("n"), F.collect_set("line_no").alias("lines"))
+    terms = F.collect_list(F.struct("term", "b.w", "b.line_no", "lines")).alias("t")
+    whole = each.groupBy(*by, "grp").agg(F.sum("n").alias("n_hits"), F.min(F.array_min("lines")).alias("line_start"), F.max(F.array_max("lines")).alias("line_end"), terms)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n_hits"), "grp"))
+    top = whole.withColumn("rank", rank).where(F.col("rank") <= fixed.GROUPS_PER_FILE)
+    shared = lambda x: F.exists("t", lambda y: (y.term != x.term) & F.array_contains(y.lines, x.line_no))
+    zero = F.lit(0.0).cast("double")
+    hits = F.aggregate("t", zero, lambda n, x: n + x.w * F.when(shared(x), fixed.SAME_LINE_BOOST).otherwise(1.0))
+    credit = F.aggregate("t", zero, lambda n, x: n + F.least(F.lit(fixed.REPEAT_CREDIT), x.w / fixed.REPEAT_DIVISOR))
+    return top.select(*by, "line_start", "line_end", "n_hits", hits.alias("hits"), credit.alias("credit"))
+
+
 def locate_groups(found: DataFrame, terms: list[tuple[str, str]], weigh: bool = True) -> DataFrame:
     """path, line_start, line_end, score, n_hits: scored groups of matches, the three densest of each file.
 
@@ -82,20 +103,9 @@ def locate_groups(found: DataFrame, terms: list[tuple[str, str]], weigh: bool =
     again of 0.6 if its line holds another term) and a small credit, adds the file name's bonus, and is scaled by the
     file's extension.
     """
-    m = found.withColumn("kind", hit_kind(F.col("text"), F.col("col"), F.col("term"))).withColumn("w", kind_weight(F.col("kind")))
-    m = islands(m, ["path"], ["line_no", "col", "term"], "line_no")
-    sizes = m.groupBy("path", "grp").agg(F.count("*").alias("n_hits"), F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
-    top = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n_hits"), "grp"))).where(F.col("rank") <= fixed.GROUPS_PER_FILE).drop("rank")
-    shared = m.groupBy("path", "grp", "line_no").agg(F.count_distinct("term").alias("terms"))
-    first = F.max_by(F.struct("w", "line_no"), F.struct(F.col("w"), -F.col("line_no"), -F.col("col")))
-    best = m.groupBy("path", "grp", "term").agg(first.alias("b")).select("path", "grp", "b.w", "b.line_no")
-    part = best.join(shared, ["path", "grp", "line_no"]).groupBy("path", "grp").agg(
-        F.sum(F.col("w") * F.when(F.col("terms") >= 2, fixed.SAME_LINE_BOOST).otherwise(1.0)).alias("hits"),
-        F.sum(F.least(F.lit(fixed.REPEAT_CREDIT), F.col("w") / fixed.REPEAT_DIVISOR)).alias("credit"),
-    )
     ext = extension_weight("path") if weigh else F.lit(1.0)
     score = F.round((F.col("hits") + F.col("credit") + filename_bonus(F.col("path"), terms)) * ext, 3)
-    return top.join(part, ["path", "grp"]).select("path", "line_start", "line_end", score.alias("score"), "n_hits")
+    return group_scores(found, ["path"]).select("path", "line_start", "line_end", score.alias("score"), "n_hits")
 
 
 def top_k(candidates: DataFrame, k: int = fixed.TOP_K) -> DataFrame:

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from . import fact_queries, ledger_queries, more_queries, search_queries  # noqa: F401  they register themselves
+    from . import fact_queries, ledger_queries, more_queries, search_queries, task_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -33,14 +33,17 @@ CASES = {
 
 
 def test_each_face_fails_on_its_own(spark):
-    before, planned = table(spark, BEFORE), table(spark, PLANNED)
-    own, kept = spark.createDataFrame(FORWARD, HUNKS), spark.createDataFrame(KEPT, HUNKS)
-    files = spark.createDataFrame([("c", "a.ts"), ("c", "r.ts")], "sha string, file string")
-    for name, (after, change, want) in CASES.items():
-        status = spark.createDataFrame(change.get("status", [("a.ts", "APPLIED_SANDBOX"), ("r.ts", "APPLIED_SANDBOX")]), STATUS)
-        proof = spark.createDataFrame(change.get("proof", [("c", True, True)]), "sha string, tests boolean, evidence boolean")
-        r = lifecycle.verify(before, planned, table(spark, after), status, own, kept, files, proof).first()
-        assert (r.expected, r.preservation, r.scope, r.tests, r.evidence, r.overall) == want, name
+    """Every case is a commit of its own, its files in a folder of its own; the one that touches an unnamed file is alone."""
+    for some in (["another file"], [c for c in CASES if c != "another file"]):
+        at = lambda files: {f"{c}/{p}": ts for c in some for p, ts in (files(c) if callable(files) else files).items()}
+        named = lambda rows: [(c, f"{c}/{r[1]}", *r[2:]) for c in some for r in rows]
+        status = [(f"{c}/{p}", s) for c in some for p, s in CASES[c][1].get("status", [("a.ts", "APPLIED_SANDBOX"), ("r.ts", "APPLIED_SANDBOX")])]
+        proof = [(c, *r[1:]) for c in some for r in CASES[c][1].get("proof", [("c", True, True)])]
+        got = lifecycle.verify(
+            table(spark, at(BEFORE)), table(spark, at(PLANNED)), table(spark, at(lambda c: CASES[c][0])), spark.createDataFrame(status, STATUS), spark.createDataFrame(named(FORWARD), HUNKS), spark.createDataFrame(named(KEPT), HUNKS),
+            spark.createDataFrame(named([("c", "a.ts"), ("c", "r.ts")]), "sha string, file string"), spark.createDataFrame(proof, "sha string, tests boolean, evidence boolean"),
+        )
+        assert {r.sha: (r.expected, r.preservation, r.scope, r.tests, r.evidence, r.overall) for r in got.collect()} == {c: CASES[c][2] for c in some}
 
 
 def test_actual_patches_lead_from_one_table_to_the_other(spark):
