@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,16 +67,10 @@ def stored(df: DataFrame, name: str, max_records: int = 0) -> DataFrame:
 
 
 def dropped(*tables: DataFrame | None) -> None:
-    """Delete stored tables that nothing reads any more, and let the driver see that what made them is done with: Spark
-    removes a shuffle's files once the driver's garbage is collected."""
-    spark = None
+    """Delete stored tables that nothing reads any more."""
     for df in tables:
         if df is not None and (path := df.__dict__.pop("_scratch", None)):
-            spark = df.sparkSession
-            delete(spark, path)
-    if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges whose full sets satisfy 100 * |intersection| >= percent * |union|."""
+    """Edges (a, b and the components of both, ca and cb) whose full sets satisfy 100 * |intersection| >= percent * |union|."""
     pairs = edges.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
 
     def compare(batches):
@@ -184,10 +184,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= percent * (lo + hi - common))
             at = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(at), b.column(1).filter(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(at) for i in (0, 1, 4, 5)], names=["a", "b", "ca", "cb"])
 
     kind = edges.schema["a"].dataType.simpleString()
-    return arrow_map(pairs.select("a", "b", "x", "y"), compare, f"a {kind}, b {kind}")
+    return arrow_map(pairs.select("a", "b", "x", "y", "ca", "cb"), compare, f"a {kind}, b {kind}, ca {kind}, cb {kind}")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85, shingle: int = SHINGLE, miss: float = MISS) -> DataFrame:
@@ -230,11 +230,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(_sets(texts.join(named.hint("merge"), "id"), shingle).dropDuplicates(["id"]), "sets")
     comp = wanted.select("id", F.col("id").alias("comp"))
     at_first = rows = members.count()
-    links = tried = None
+    tried, first_round = None, True
     compared: list[DataFrame] = []
     while True:
         here = members.join(comp.hint("merge"), "id")
-        if links is None:
+        if first_round:
             centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles", "cells"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
         else:
             sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles", "cells"), F.struct("fame", "id")).alias("x"))
@@ -244,21 +244,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         centre = stored(centre, "centres")
         if centre.isEmpty():
             break
-        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select("id", "c", "comp", "c_comp")
+        up = F.col("id") < F.col("c")
+        met = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.when(up, F.col("comp")).otherwise(F.col("c_comp")).alias("ca"), F.when(up, F.col("c_comp")).otherwise(F.col("comp")).alias("cb")).distinct()
         if tried is not None:  # a pair that shares several buckets is compared once
             met = met.join(tried.hint("merge"), ["a", "b"], "left_anti")
         met = stored(met, "pairs")
-        tried = met if tried is None else tried.unionByName(met)
+        tried = met.select("a", "b") if tried is None else tried.unionByName(met.select("a", "b"))
         compared.append(met)
         fresh = stored(_confirmed(met, sets, percent), "links")
-        if not fresh.isEmpty():
-            links = fresh if links is None else links.unionByName(fresh)
-            groups = connected_components(links, "a", "b")
+        if not fresh.isEmpty():  # components that a link joins become one; earlier links are in them already
+            groups = connected_components(fresh.select("ca", "cb").distinct(), "ca", "cb")
             before = comp
-            comp = stored(wanted.join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "comp")
+            comp = stored(comp.join(groups.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "comp")
             dropped(before)
-        elif links is None:
-            links = fresh
+        dropped(fresh)
+        first_round = False
         # only buckets with several components stay, without the centres that have met all others in them
         left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
         open_ = left.join(comp.hint("merge"), "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")

@@ -258,6 +258,6 @@ def test_near_misses_are_compared_once(spark, monkeypatch):
         texts.append(" ".join(words))
     made = []
     confirmed = M._confirmed
-    monkeypatch.setattr(M, "_confirmed", lambda edges, *more: made.extend(tuple(r) for r in edges.collect()) or confirmed(edges, *more))
+    monkeypatch.setattr(M, "_confirmed", lambda edges, *more: made.extend((r.a, r.b) for r in edges.collect()) or confirmed(edges, *more))
     M.near_duplicates(spark.createDataFrame([(k, t, "", 0) for k, t in enumerate(texts)], SCHEMA), percent=88).collect()
     assert len(made) == len(set(made)) <= 60 * 59 // 2
