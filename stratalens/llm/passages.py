@@ -171,7 +171,8 @@ def _marked(runs: DataFrame) -> DataFrame:
 
 
 def _edges(texts: DataFrame) -> DataFrame:
-    """u, v, class, i, d, pos, h, n, f0, f1: the edges of the first run of each class (struct class, lo, hi, n, f0, f1)."""
+    """u, v, class, i, d, pos, h, n, f0, f1: the edges of the first run of each class (struct class, lo, hi, n, f0, f1); the
+    class's fingerprints are those of the run's first place, i edges before."""
     names = ("class", "lo", "hi", "n", "f0", "f1")
 
     def find(batches):
@@ -198,8 +199,7 @@ def _edges(texts: DataFrame) -> DataFrame:
                             nodes = run_hashes(z[first : first + BLOCK + WINDOW - 1], WINDOW - 1)
                             u[some], v[some] = nodes[at[some] - first], nodes[at[some] - first + 1]
                     rows = pa.array(of[run])
-                    moved = [(x[run].astype(U) * np.array([pow(g, int(k), p) for k in range(WINDOW)], U)[i] % U(p)).astype(np.int64) for x, g, p in zip(f, _BASES, _PRIMES, strict=True)]
-                    yield pa.RecordBatch.from_arrays([as_long(u), as_long(v), pa.array(cls[run]), pa.array(i.astype(np.int32)), b.column(0).take(rows), pa.array((lo[run] + i).astype(np.int32)), b.column(1).take(rows), pa.array(n[run]), *map(pa.array, moved)], names=["u", "v", "class", "i", "d", "pos", "h", "n", "f0", "f1"])
+                    yield pa.RecordBatch.from_arrays([as_long(u), as_long(v), pa.array(cls[run]), pa.array(i.astype(np.int32)), b.column(0).take(rows), pa.array((lo[run] + i).astype(np.int32)), b.column(1).take(rows), pa.array(n[run]), *(pa.array(x[run]) for x in f)], names=["u", "v", "class", "i", "d", "pos", "h", "n", "f0", "f1"])
 
     return arrow_map(texts, find, "u bigint, v bigint, class bigint, i int, d bigint, pos int, h bigint, n bigint, f0 bigint, f1 bigint")
 
@@ -238,15 +238,16 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     source = docs.select(F.coalesce(col(doc_id).cast("bigint"), F.lit(-(2**63))).alias("d"), F.xxhash64(col(text)).alias("h"), col(text).alias("text")).where("text IS NOT NULL")
     # texts are split twice, so that runs which don't repeat are never written
     twice = stored(_runs(source).groupBy("m").count().where("count > 1").select("m"), "anchors")
-    runs = stored(_marked(_runs(source).join(twice, "m", "left_semi").select("d", "h", "m", "c", "lo", "hi")), "runs")
+    runs = stored(_runs(source).join(twice, "m", "left_semi").select("d", "h", "m", "c", "lo", "hi"), "runs")
     dropped(twice)
     sums = [(F.sum(f"f{k}") % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
-    classes = runs.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "lo", "h", "hi")).alias("first"), *sums)
+    classes = _marked(runs).groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("d", "lo", "h", "hi")).alias("first"), *sums)
     classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     ranges = classes.groupBy("first.d", "first.h").agg(F.collect_list(F.struct("class", "first.lo", "first.hi", "n", "f0", "f1")).alias("ranges"))
     one = source.groupBy("d", "h").agg(F.first("text").alias("text"))  # a repeated row is one text
     places = stored(_edges(one.join(ranges, ["d", "h"]).select("d", "h", "text", "ranges")), "places")
-    sums = [(F.sum(f"f{k}") % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
+    powers = lambda k: F.array(*[F.lit(pow(_BASES[k], i, _PRIMES[k])) for i in range(WINDOW)])
+    sums = [(F.sum(F.col(f"f{k}") * F.element_at(powers(k), F.col("i") + 1) % p) % p).alias(f"f{k}") for k, p in enumerate(_PRIMES)]
     edges = stored(places.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min(F.struct("d", "pos", "h")).alias("first"), *sums).where("n > 1"), "edges")
     paths = stored(_paths(edges), "paths")
     dropped(edges)
