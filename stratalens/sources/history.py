@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import subprocess
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -12,19 +13,28 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LOG_SCHEMA = "sha string, author string, email string, date_raw string, subject string, body string, files array<string>, ord bigint"
 DIFF_SCHEMA = "sha string, diff string, ord bigint"
+STATE_SCHEMA = "name string, value string"
 _FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%ad%x1f%s%x1f%b%x1f"
+#: Lines of a working tree's state at most.
+STATUS_LINES = 200
 
 
-class _Range(InputPartition):
-    def __init__(self, skip: int, count: int):
-        self.skip, self.count = skip, count
+class _Commits(InputPartition):
+    """Commits of one partition, by id, and the place of the first in the whole order."""
 
+    def __init__(self, shas: list[str], first: int):
+        self.shas, self.first = shas, first
 
-class HistorySource(DataSource):
-    """``spark.read.format("history")`` with options path, mode (log or diff), max_count, grep, file, batch.
 
-    Each partition asks for its own range of commits, so long histories are read in parallel; grep and file are pushed
-    into the command.
+class HistorySource(DataSource):
+    """``spark.read.format("history")`` with options path, mode (log, diff or state), max_count, grep, file, batch, ref, pushdown.
+
+    log and diff: the ids of the commits are listed once, and each partition gets ``batch`` of them, which one process reads
+    whatever their number. grep and file are pushed into the listing. With pushdown=true, where the session has
+    ``spark.sql.python.filterPushdown.enabled``, so are a query's filters on sha (equal to, or in) and on subject
+    (contains); Spark checks the rows again.
+    A diff is that against the first parent; a first commit's is all it added. state: head (its commit), ref (what the
+    option ``ref`` names), and a row for each of the first STATUS_LINES lines of the working tree's state.
     """
 
     @classmethod
@@ -32,33 +42,81 @@ class HistorySource(DataSource):
         return "history"
 
     def schema(self) -> str:
-        return DIFF_SCHEMA if self.options.get("mode") == "diff" else LOG_SCHEMA
+        return {"diff": DIFF_SCHEMA, "state": STATE_SCHEMA}.get(self.options.get("mode"), LOG_SCHEMA)
 
     def reader(self, schema):
-        return _HistoryReader(dict(self.options))
+        return (_PushedReader if self.options.get("pushdown") == "true" else _HistoryReader)(dict(self.options))
 
 
 class _HistoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.o = options
         self.most, self.batch = int(options.get("max_count", 100)), int(options.get("batch", 50))
+        self.only: set[str] | None = None
+        self.words: list[str] = []
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Range(k, min(self.batch, self.most - k)) for k in range(0, self.most, self.batch)]
+    def _git(self, *args: str, given: str | None = None) -> str:
+        done = subprocess.run(["git", "-C", self.o["path"], *args], capture_output=True, check=True, input=None if given is None else given.encode())
+        return done.stdout.decode("utf-8", "replace")
 
-    def _git(self, *args: str) -> str:
-        return subprocess.run(["git", "-C", self.o["path"], *args], capture_output=True, check=True).stdout.decode("utf-8", "replace")
-
-    def read(self, partition: _Range) -> Iterator[tuple]:
-        args = ["log", f"--skip={partition.skip}", f"--max-count={partition.count}", *([f"--grep={self.o['grep']}"] if "grep" in self.o else [])]
-        tail = ["--", self.o["file"]] if "file" in self.o else []
+    def partitions(self) -> list[InputPartition]:
+        if self.o.get("mode") == "state":
+            return [_Commits([], 0)]
+        words = [f"--grep={self.o['grep']}"] if "grep" in self.o else []
+        if self.words and not words:  # a listing takes one kind of pattern
+            words = ["--fixed-strings", "--all-match", *(f"--grep={w}" for w in self.words if "\n" not in w)]
+        listed = self._git("log", f"--max-count={self.most}", *words, "--format=%H", *(["--", self.o["file"]] if "file" in self.o else [])).split()
+        found: list[InputPartition] = []
+        for k in range(0, len(listed), self.batch):
+            shas = listed[k : k + self.batch]
+            if self.only is None or self.only & set(shas):
+                found.append(_Commits(shas, k))
+        return found
+
+    def read(self, partition: _Commits) -> Iterator[tuple]:
+        if self.o.get("mode") == "state":
+            yield from self._state()
+            return
+        keep = [(k, sha) for k, sha in enumerate(partition.shas, partition.first) if self.only is None or sha in self.only]
+        if not keep:
+            return
+        mark = uuid.uuid4().hex
+        ids, place = "\n".join(sha for _, sha in keep), {sha: k for k, sha in keep}
         if self.o.get("mode") == "diff":
-            for k, sha in enumerate(self._git(*args, "--format=%H", *tail).split()):
-                yield sha, self._git("show", "--format=", "--find-renames", "--first-parent", "-m", sha), partition.skip + k
+            out = self._git("log", "--no-walk=unsorted", "--stdin", "--root", "--patch", "--find-renames", "--first-parent", "-m", f"--format={mark}%H", given=ids)
+            for part in out.split(mark)[1:]:
+                sha, _, diff = part.partition("\n")
+                yield sha, diff.lstrip("\n"), place[sha]
+            return
+        for part in self._git("log", "--no-walk=unsorted", "--stdin", f"--format={mark}{_FORMAT}", "--name-only", given=ids).split(mark)[1:]:
+            fields = part.removeprefix("\x1e").split("\x1f")
+            yield *(x.strip() for x in fields[:6]), [f for f in fields[6].split("\n") if f.strip()], place[fields[0].strip()]
+
+    def _state(self) -> Iterator[tuple]:
+        if subprocess.run(["git", "-C", self.o["path"], "rev-parse", "--git-dir"], capture_output=True).returncode:
+            yield "is_repo", "false"
             return
-        for k, record in enumerate(self._git(*args, f"--format={_FORMAT}", "--name-only", *tail).split("\x1e")[1:]):
-            fields = record.split("\x1f")
-            yield *(x.strip() for x in fields[:6]), [f for f in fields[6].split("\n") if f.strip()], partition.skip + k
+        yield "is_repo", "true"
+        for name, ref in (("head", "HEAD"), ("ref", self.o.get("ref"))):
+            found = ref and subprocess.run(["git", "-C", self.o["path"], "rev-parse", "--verify", "--quiet", "--end-of-options", f"{ref}^{{commit}}"], capture_output=True, text=True)
+            if found and found.returncode == 0:
+                yield name, found.stdout.strip()
+        for line in self._git("status", "--porcelain").split("\n")[:STATUS_LINES]:
+            if line.strip():
+                yield "status", line
+
+
+class _PushedReader(_HistoryReader):
+    def pushFilters(self, filters):
+        """Take what narrows the listing; every filter is left for Spark as well, which judges the rows."""
+        for f in filters:
+            kind, column = type(f).__name__, getattr(f, "attribute", ())
+            if column == ("sha",) and kind in ("EqualTo", "In"):
+                named = {f.value} if kind == "EqualTo" else set(f.value)
+                self.only = named if self.only is None else self.only & named
+            elif column == ("subject",) and kind == "StringContains":
+                self.words.append(f.value)
+            yield f
 
 
 def parse_log(raw: DataFrame, column: str = "value") -> DataFrame:
