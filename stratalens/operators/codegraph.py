@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
+from stratalens.functions.text import stable_id
 
 
 def _with_imports(refs: DataFrame, imports: DataFrame) -> DataFrame:
@@ -149,9 +150,10 @@ def surface(text: Column, words: list[str]) -> Column:
 
 
 def context_of(edges: DataFrame, targets: DataFrame, levels: int = 3) -> DataFrame:
-    """target, role, node, level: callers and callees through call names, importers, and routes upwards.
+    """target, role, node, level: callers and callees through call names, importers, and the routes that reach the target.
 
-    edges: src, dst, type. A scope CALLS a call name which REFERENCES symbols; levels are unrolled joins.
+    edges: src, dst, type. A scope CALLS a call name which REFERENCES symbols; levels are unrolled joins. A route is an
+    endpoint (``api:``) that the target's file (level 0) or a caller's file DEFINES, at the lowest level.
     """
     calls = edges.where("type = 'CALLS'").select(F.col("src").alias("scope"), F.col("dst").alias("call"))
     refs = edges.where("type = 'REFERENCES'").select(F.col("src").alias("call"), F.col("dst").alias("symbol"))
@@ -166,7 +168,19 @@ def context_of(edges: DataFrame, targets: DataFrame, levels: int = 3) -> DataFra
         level = up.select("target", F.regexp_replace("node", "^scope:", "sym:").alias("symbol"))
     down = targets.withColumn("scope", F.regexp_replace("target", "^sym:", "scope:")).join(step, "scope").select("target", F.lit("callee").alias("role"), F.col("symbol").alias("node"), F.lit(1).alias("level"))
     brought = targets.withColumn("dst", F.concat(F.lit("file:"), F.regexp_extract("target", "^sym:(.*)::", 1))).join(edges.where("type = 'IMPORTS'"), "dst").select("target", F.lit("importer").alias("role"), F.col("src").alias("node"), F.lit(1).alias("level"))
-    return out.unionByName(down).unionByName(brought).distinct()
+    home = lambda c: F.concat(F.lit("file:"), F.regexp_extract(c, "^(?:sym|scope):(.*)::", 1))
+    files = targets.select("target", home("target").alias("src"), F.lit(0).alias("level")).union(out.select("target", home("node"), "level"))
+    routes = files.join(edges.where("type = 'DEFINES'").where(F.startswith("dst", F.lit("api:"))), "src").groupBy("target", F.col("dst").alias("node")).agg(F.min("level").alias("level")).select("target", F.lit("route").alias("role"), "node", "level")
+    return out.unionByName(down).unionByName(brought).distinct().unionByName(routes)
+
+
+def context_evidence(context: DataFrame, targets: DataFrame) -> DataFrame:
+    """id, type, source, target, location, payload: what was read about each target (from ``context_of``), as evidence."""
+    n = lambda role, only=F.lit(True): F.count_if((F.col("role") == role) & only)
+    read = targets.select("target").distinct().join(context, "target", "left").groupBy("target").agg(F.concat_ws(", ", F.concat(n("caller", F.col("level") == 1), F.lit(" callers")), F.concat(n("callee"), F.lit(" callees")), F.concat(n("importer"), F.lit(" importers"))).alias("payload"))
+    location = F.regexp_extract("target", "^sym:(.*)::", 1)
+    kind, source = F.lit("AST").alias("type"), F.lit("context").alias("source")
+    return read.select(F.concat(F.lit("ev:"), stable_id(F.lit("AST"), "target", location, "payload")).alias("id"), kind, source, "target", location.alias("location"), "payload")
 
 
 def lexical_impact(found: DataFrame, symbol: str) -> DataFrame:

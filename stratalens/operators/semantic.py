@@ -41,14 +41,16 @@ def related_symbols(edges: DataFrame) -> DataFrame:
 
 
 def resolve_target(symbols: DataFrame, files: DataFrame, query: str) -> DataFrame:
-    """id, how: symbols named in the query, else files whose name or stem it holds."""
+    """id, how: symbols named in the query, else files whose name or stem it holds. A blank query is an error."""
+    if not query.strip():
+        raise ValueError("the query is empty")
     names = [t for t, o in query_terms(query) if o.startswith("en:")]
     by_name = symbols.where(F.col("name").isin(names)).select(F.concat(F.lit("sym:"), F.col("qualified")).alias("id"), F.lit("symbol").alias("how"), F.lit(0).alias("p"))
     q = F.lit(query.lower())
     held = F.contains(q, F.lower(F.element_at(F.split("path", "/"), -1))) | ((F.length(stem("path")) > 2) & F.contains(q, F.lower(stem("path"))))
     by_file = files.where(held).select(F.concat(F.lit("file:"), F.col("path")).alias("id"), F.lit("file").alias("how"), F.lit(1).alias("p"))
-    both = by_name.union(by_file)
-    return both.withColumn("_p", F.min("p").over(Window.partitionBy(F.lit(1)))).where("p = _p").select("id", "how")
+    named = by_name.agg((F.count("*") > 0).alias("_named"))
+    return by_name.union(by_file).crossJoin(F.broadcast(named)).where("p = 0 OR NOT _named").select("id", "how")  # one row
 
 
 def short_names(df: DataFrame, column: str) -> DataFrame:

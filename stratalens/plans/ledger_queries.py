@@ -292,10 +292,43 @@ def feature_seeds(spark, d):
     return semantic.seed_features(none, symbols, files)
 
 
-@query("context_targets", """WITH c AS (SELECT DISTINCT 'scope:' || s_name AS scope, 'call' || s_nationkey AS call FROM supplier), r AS (SELECT 'call' || n_nationkey AS call, 'sym:' || n_name AS sym FROM nation)
-SELECT sym AS target, 'caller' AS role, scope AS node, 1 AS level FROM r JOIN c USING (call) UNION SELECT 'sym:' || n_name, 'importer', 'file:' || r_name, 1 FROM nation JOIN region ON r_regionkey = n_regionkey WHERE FALSE""")
+_CONTEXT = """WITH nt AS (SELECT 'src/' || n_regionkey || '.ts::' || n_name AS q, n_nationkey AS k, 'src/' || n_regionkey || '.ts' AS f FROM nation),
+c AS (SELECT DISTINCT 'scope:src/s' || s_suppkey % 7 || '.ts::' || s_name AS scope, 'call' || s_nationkey AS call FROM supplier UNION SELECT 'scope:' || q, 'call' || (k + 1) % 25 FROM nt),
+st AS (SELECT DISTINCT scope, 'sym:' || q AS sym FROM c JOIN nt ON call = 'call' || k), t AS (SELECT 'sym:' || q AS target, f FROM nt),
+u1 AS (SELECT DISTINCT target, scope AS node FROM t JOIN st ON sym = target),
+u2 AS (SELECT DISTINCT target, scope AS node FROM u1 JOIN st ON sym = replace(node, 'scope:', 'sym:') EXCEPT SELECT * FROM u1),
+u3 AS (SELECT DISTINCT target, scope AS node FROM u2 JOIN st ON sym = replace(node, 'scope:', 'sym:') EXCEPT SELECT * FROM u1 EXCEPT SELECT * FROM u2),
+up AS (SELECT *, 1 AS level FROM u1 UNION ALL SELECT *, 2 FROM u2 UNION ALL SELECT *, 3 FROM u3),
+api AS (SELECT DISTINCT 'src/s' || s_suppkey % 7 || '.ts' AS f FROM supplier WHERE s_suppkey % 7 < 3 UNION SELECT 'src/0.ts'),
+x AS (SELECT target, 'caller' AS role, node, level FROM up UNION ALL SELECT DISTINCT target, 'callee', sym, 1 FROM t JOIN st ON scope = replace(target, 'sym:', 'scope:')
+UNION ALL SELECT target, 'importer', 'file:src/n' || k || '.ts', 1 FROM t JOIN nt USING (f)
+UNION ALL SELECT target, 'route', 'api:' || api.f, min(level) FROM (SELECT target, f, 0 AS level FROM t UNION ALL SELECT target, regexp_extract(node, '^scope:(.*)::', 1), level FROM up) h JOIN api USING (f) GROUP BY 1, 3)
+"""
+
+
+def _context(spark, d):
+    """Suppliers and nations call nations: scopes in files, of which some are routes; each nation's file imports its region's."""
+    nation = table(spark, d, "nation").select(F.concat(F.lit("src/"), text("n_regionkey"), F.lit(".ts::"), "n_name").alias("q"), F.col("n_nationkey").alias("k"), F.concat(F.lit("file:src/"), text("n_regionkey"), F.lit(".ts")).alias("f"))
+    supplier = table(spark, d, "supplier").withColumn("f", F.concat(F.lit("src/s"), (F.col("s_suppkey") % 7).cast("string"), F.lit(".ts")))
+    call = lambda k: F.concat(F.lit("call"), k.cast("string"))
+    edge = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"))
+    edges = [
+        edge(supplier, F.concat(F.lit("scope:"), "f", F.lit("::"), "s_name"), call(F.col("s_nationkey")), "CALLS"), edge(nation, F.concat(F.lit("scope:"), "q"), call((F.col("k") + 1) % 25), "CALLS"), edge(nation, call(F.col("k")), F.concat(F.lit("sym:"), "q"), "REFERENCES"),
+        edge(nation, F.concat(F.lit("file:src/n"), text("k"), F.lit(".ts")), F.col("f"), "IMPORTS"), edge(supplier.where("s_suppkey % 7 < 3").select("f").distinct(), F.concat(F.lit("file:"), "f"), F.concat(F.lit("api:"), "f"), "DEFINES"),
+        edge(spark.range(1), F.lit("file:src/0.ts"), F.lit("api:src/0.ts"), "DEFINES"),
+    ]
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    targets = nation.select(F.concat(F.lit("sym:"), "q").alias("target"))
+    return codegraph.context_of(out, targets), targets
+
+
+@query("context_targets", _CONTEXT + "SELECT target, role, node, level FROM x")
 def context_targets(spark, d):
-    calls = table(spark, d, "supplier").select(F.concat(F.lit("scope:"), "s_name").alias("src"), F.concat(F.lit("call"), text("s_nationkey")).alias("dst"), F.lit("CALLS").alias("type"))
-    refs = table(spark, d, "nation").select(F.concat(F.lit("call"), text("n_nationkey")).alias("src"), F.concat(F.lit("sym:"), "n_name").alias("dst"), F.lit("REFERENCES").alias("type"))
-    targets = table(spark, d, "nation").select(F.concat(F.lit("sym:"), "n_name").alias("target"))
-    return codegraph.context_of(calls.union(refs), targets)
+    return _context(spark, d)[0]
+
+
+@query("context_evidence", _CONTEXT + """SELECT target, regexp_extract(target, '^sym:(.*)::', 1) AS location, count(*) FILTER (role = 'caller' AND level = 1) || ' callers, ' || count(*) FILTER (role = 'callee') || ' callees, ' || count(*) FILTER (role = 'importer') || ' importers' AS payload, 'AST' AS type FROM x GROUP BY 1""")
+def context_evidence(spark, d):
+    return codegraph.context_evidence(*_context(spark, d)).select("target", "location", "payload", "type")
