@@ -86,6 +86,24 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int = 1, types: list[
     return seen.where("depth > 0")
 
 
+def neighbours_stored(adjacency: DataFrame, starts: DataFrame, depth: int = 1, types: list[str] | None = None, direction: str = "out", layers: list[str] | None = None) -> DataFrame:
+    """``neighbours`` over a table of ``sinks.write_adjacency``: a level shuffles its frontier, never the edges.
+
+    The table is read with its layers pruned, and the frontier is dealt like its buckets.
+    """
+    e = adjacency if layers is None else adjacency.where(F.col("layer").isin(layers))
+    e = e if types is None else e.where(F.col("type").isin(types))
+    if direction != "both":
+        e = e.where(F.col("forward") if direction == "out" else ~F.col("forward"))
+    seen = written(starts.select("start", F.col("start").alias("id"), F.lit(0).alias("depth")).distinct(), "seen")
+    frontier = seen
+    for d in range(1, depth + 1):
+        met = frontier.select("start", F.col("id").alias("u")).join(e.select("u", "v").hint("merge"), "u").select("start", F.col("v").alias("id")).distinct()
+        frontier = written(met.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6, types: list[str] | None = None) -> DataFrame:
     """start, end, path, hops: a shortest path over edges taken both ways, the least of equal ones; none beyond max_hops.
 

@@ -17,6 +17,20 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").partitionBy("layer").parquet(f"{path}/edges")
 
 
+def write_adjacency(edges: DataFrame, name: str, path: str, buckets: int = 200) -> DataFrame:
+    """The table ``name`` at ``path``: u, v, type, layer, forward, each edge once from either end, by layer, and within it in
+    buckets by u, sorted.
+
+    Joins on u need no shuffle of the edges, and other layers aren't read. One task writes a bucket of each layer, so
+    there are as many files as buckets and layers.
+    """
+    ahead = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "type", "layer", F.lit(True).alias("forward"))
+    back = edges.select(F.col("dst").alias("u"), F.col("src").alias("v"), "type", "layer", F.lit(False).alias("forward"))
+    both = ahead.unionByName(back).repartition(buckets, "u")
+    both.write.mode("overwrite").partitionBy("layer").bucketBy(buckets, "u").sortBy("u").option("path", path).saveAsTable(name)
+    return edges.sparkSession.table(name)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Attempts, transitions and events only ever grow; the latest state is a query."""
     df.write.mode("append").parquet(path)
