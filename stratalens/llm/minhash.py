@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = standing.join(first.select("id").distinct().hint("merge"), "id", "left_semi")
     cells = all_docs.select(F.col("doc_id").alias("id"), "set_key", "cells").join(named.hint("merge"), ["id", "set_key"], "left_semi").select("id", "cells").dropDuplicates(["id"])
     fame = first.groupBy("id").agg(F.sum("n").alias("fame"))
-    members = stored(first.select("bucket", "id", "n_shingles").join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
+    members = stored(first.select("bucket", "id", "n_shingles", F.col("id").alias("comp")).join(fame.hint("merge"), "id").join(cells.hint("merge"), "id"), "members")
     dropped(first)
     wanted = stored(members.select("id").distinct(), "wanted")
     texts = docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("id"), col(text).alias("text"))
@@ -233,18 +233,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried, first_round = None, True
     compared: list[DataFrame] = []
     while True:
-        here = members.join(comp.hint("merge"), "id")
         if first_round:
-            centre = here.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles", "cells"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
+            centre = members.groupBy("bucket").agg(F.max_by(F.struct("id", "comp", "n_shingles", "cells"), F.struct("fame", "id")).alias("x")).select("bucket", F.col("x.id").alias("c"), F.col("x.comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
         else:
-            sizes = here.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles", "cells"), F.struct("fame", "id")).alias("x"))
+            sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max_by(F.struct("id", "n_shingles", "cells"), F.struct("fame", "id")).alias("x"))
             by_size = Window.partitionBy("bucket").orderBy("n", "comp")
             ranked = sizes.withColumn("rank", F.row_number().over(by_size)).withColumn("more", F.lead("n").over(by_size))
             centre = ranked.where((F.col("rank") <= STARS * at_first // max(rows, 1)) & F.col("more").isNotNull()).select("bucket", F.col("x.id").alias("c"), F.col("comp").alias("c_comp"), F.col("x.n_shingles").alias("c_size"), F.col("x.cells").alias("c_cells"))
         centre = stored(centre, "centres")
         if centre.isEmpty():
             break
-        met = here.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select("id", "c", "comp", "c_comp")
+        met = members.join(centre.hint("merge"), "bucket").where((F.col("comp") != F.col("c_comp")) & _may_be_near(percent)).select("id", "c", "comp", "c_comp")
         up = F.col("id") < F.col("c")
         met = met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"), F.when(up, F.col("comp")).otherwise(F.col("c_comp")).alias("ca"), F.when(up, F.col("c_comp")).otherwise(F.col("comp")).alias("cb")).distinct()
         if tried is not None:  # a pair that shares several buckets is compared once
@@ -253,16 +252,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         tried = met.select("a", "b") if tried is None else tried.unionByName(met.select("a", "b"))
         compared.append(met)
         fresh = stored(_confirmed(met, sets, percent), "links")
+        left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
         if not fresh.isEmpty():  # components that a link joins become one; earlier links are in them already
-            groups = connected_components(fresh.select("ca", "cb").distinct(), "ca", "cb")
+            groups = connected_components(fresh, "ca", "cb")
             before = comp
             comp = stored(comp.join(groups.select(F.col("node").alias("comp"), "component").hint("merge"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")), "comp")
             dropped(before)
+            left = left.drop("comp").join(comp.hint("merge"), "id")
         dropped(fresh)
         first_round = False
         # only buckets with several components stay, without the centres that have met all others in them
-        left = members.join(centre.select("bucket", F.col("c").alias("id")), ["bucket", "id"], "left_anti")
-        open_ = left.join(comp.hint("merge"), "id").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         before = members
         members = stored(left.join(open_, "bucket", "left_semi"), "members")
         dropped(before, centre)
