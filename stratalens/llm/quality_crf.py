@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,11 @@ SAMPLE, SAMPLE_LINES = 2_000, 200
 CURVE = 4
 #: Penalty on squared weights, steps of the first fit, and rounds of fitting and labelling hidden lines.
 PENALTY, STEPS, ROUNDS = 1e-3, 150, 3
+#: Lines of a text that are taken one step at a time; a longer text is scanned by products of matrices.
+RUN = 4096
+#: Characters of a long text that are read at a time, in whole lines; lines whose features are put together at a time; a
+#: line's own features.
+PIECE, BLOCK, OWN = 1 << 22, 1 << 16, 10
 _SYMBOLS = b"#*$%&|<>{}[]^~=+@_\\"
 
 
@@ -29,16 +36,63 @@ _UPPER, _LOWER, _DIGIT, _SYM, _BANG, _STOP = (_mask(x) for x in (bytes(range(65,
 _SPACE = _mask(b" \t\r\v\f\n\0")
 
 
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts and, of those over PIECE characters, runs of whole lines: which text each is of, in lists of some PIECE characters."""
+    of, got, size = [], [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while t and at < len(t):
+            end = t.find("\n", at + PIECE) + 1 or len(t)
+            of.append(k)
+            got.append(t[at:end])
+            size, at = size + end - at, end
+            if size >= PIECE:
+                yield of, got
+                of, got, size = [], [], 0
+    if got:
+        yield of, got
+
+
+def own_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A line's own features for every line that isn't blank, each line's bytes, and where each text's lines start.
+
+    Features are shares of a line's bytes or words (capitals, symbols, bangs, stops, digits, words equal to the one before,
+    bytes a word) and its length. Long texts are read in runs of lines, so memory follows lines rather than bytes.
+    """
+    own, sizes, text_of = [np.zeros((0, OWN), np.float32)], [np.zeros(0)], [np.zeros(0, np.int64)]
+    for of, got in _pieces(texts):
+        o, n, t = _own(got)
+        own.append(o)
+        sizes.append(n)
+        text_of.append(np.asarray(of)[t])
+    counts = np.bincount(np.concatenate(text_of), minlength=len(texts))
+    return np.concatenate(own), np.concatenate(sizes), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def around(own: np.ndarray, lines: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Features of lines lo to hi: their own, those of the line before and of the line after in the same text, and a one."""
+    first = np.ones(len(own) + 1, bool)
+    first[:-1] = False
+    first[lines[:-1]] = True
+    x = np.zeros((hi - lo, 3 * OWN + 1), np.float32)
+    x[:, :OWN], x[:, -1] = own[lo:hi], 1
+    at = np.arange(lo, hi)
+    before, behind = ~first[lo:hi], ~first[lo + 1 : hi + 1]
+    x[before, OWN : 2 * OWN] = own[at[before] - 1]
+    x[behind, 2 * OWN : -1] = own[at[behind] + 1]
+    return x
+
+
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line that isn't blank, each line's bytes, and where each text's lines start.
+    """Features of every line that isn't blank and of its neighbours, each line's bytes, and where each text's lines start."""
+    own, size, lines = own_features(texts)
+    return around(own, lines, 0, len(own)), size, lines
 
-    A line's own features are shares of its bytes or words (capitals, symbols, bangs, stops, digits, words equal to the
-    one before, bytes a word) and its length; then the same of the line before and the line after.
-    """
-    data, off = joined([(t or "").encode() for t in texts], 1)
+
+def _own(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features, bytes and text of each line that isn't blank."""
+    data, off = joined([t.encode() for t in texts], 1)
     n = len(data)
-    if n == 0:
-        return np.zeros((0, 3 * 10 + 1), np.float32), np.zeros(0), np.zeros(len(texts) + 1, np.int64)
     brk = (data == 10) | (data == 0)
     brk[off[1:] - 1] = True
     end = np.flatnonzero(brk)
@@ -72,29 +126,16 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     own = np.stack([share(upper) / np.maximum(letters, 1e-6), share(_SYM[data]), share(_BANG[data]), share(_STOP[data]), share(_DIGIT[data]), again / np.maximum(words, 1), words / np.maximum(size, 1), letters, np.log1p(size) / 8, (words > 3).astype(float)], 1)
     used = words > 0
     text_of = np.searchsorted(off[1:] - 1, end)[used]
-    own, size = own[used].astype(np.float32), size[used]
-    before, behind = np.zeros_like(own), np.zeros_like(own)
-    mates = text_of[1:] == text_of[:-1]
-    before[1:][mates], behind[:-1][mates] = own[:-1][mates], own[1:][mates]
-    lines = np.concatenate([[0], np.cumsum(np.bincount(text_of, minlength=len(texts)))]).astype(np.int64)
-    return np.concatenate([own, before, behind, np.ones((len(own), 1), np.float32)], 1), size, lines
-
+    return own[used].astype(np.float32), size[used], text_of
 
-def marginals(scores: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward over all texts at once, long ones first: P(good) of each line, expected pairs, log partition.
 
-    scores: each line's log potential of (bad, good); trans: log potentials of neighbouring labels.
-    """
-    count = np.diff(lines)
+def _steps(scores: np.ndarray, trans: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Forward, backward messages and expected pairs and log partitions of runs of lines, one step for all runs at once, long ones first."""
     order = np.argsort(-count, kind="stable")
-    start, count = lines[:-1][order], count[order]
-    live = int((count > 0).sum())
-    start, count = start[:live], count[:live]
+    start, count = start[order], count[order]
     fwd, bwd = np.zeros_like(scores), np.zeros_like(scores)
-    if live == 0:
-        return np.zeros(0), np.zeros((2, 2)), np.zeros(0)
     fwd[start] = scores[start]
-    sizes = [int(np.searchsorted(-count, -t, "left")) for t in range(1, int(count[0]))]  # texts with more than t lines
+    sizes = [int(np.searchsorted(-count, -t, "left")) for t in range(1, int(count[0]))]  # runs with more than t lines
     for t, k in enumerate(sizes, 1):
         at = start[:k] + t
         fwd[at] = scores[at] + np.logaddexp(fwd[at - 1][:, :1] + trans[0], fwd[at - 1][:, 1:] + trans[1])
@@ -105,8 +146,60 @@ def marginals(scores: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple
         z = scores[at] + bwd[at]
         bwd[at - 1] = np.logaddexp(trans[:, 0] + z[:, :1], trans[:, 1] + z[:, 1:])
         pairs += np.exp(fwd[at - 1][:, :, None] + trans + z[:, None, :] - total[:k, None, None]).sum(0)
+    back = np.empty_like(total)
+    back[order] = total
+    return fwd, bwd, pairs, back
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2x2 matrices of logarithms."""
+    return np.logaddexp(a[:, :, :1] + b[:, :1, :], a[:, :, 1:] + b[:, 1:, :])
+
+
+def _scanned(m: np.ndarray) -> np.ndarray:
+    """Products of the first k + 1 matrices for each k: halves are scanned first, so depth is logarithmic."""
+    if len(m) == 1:
+        return m
+    even = len(m) // 2 * 2
+    half = _scanned(_product(m[0:even:2], m[1:even:2]))
+    out = np.empty_like(m)
+    out[0], out[1:even:2] = m[0], half
+    out[2::2] = _product(half[: len(m[2::2])], m[2::2])
+    return out
+
+
+def _long(scores: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same of one long text: products of its lines' 2x2 matrices are scanned from both ends, and no step is a line's."""
+    m = trans + scores[1:, None, :]
+    fwd = np.concatenate([scores[:1], np.logaddexp(*(scores[0][:, None] + _scanned(m)).transpose(1, 0, 2))])
+    back = _scanned(m[::-1].transpose(0, 2, 1)).transpose(0, 2, 1)[::-1]
+    bwd = np.concatenate([np.logaddexp(back[:, :, 0], back[:, :, 1]), np.zeros((1, 2))])
+    total = float(np.logaddexp(*fwd[-1]))
+    pairs = np.zeros((2, 2))
+    for lo in range(0, len(m), RUN):
+        a = slice(lo, lo + RUN)
+        pairs += np.exp(fwd[:-1][a][:, :, None] + m[a] + bwd[1:][a][:, None, :] - total).sum(0)
+    return fwd, bwd, pairs, total
+
+
+def marginals(scores: np.ndarray, trans: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over all texts at once: P(good) of each line, expected pairs, log partition of texts with lines.
+
+    scores: each line's log potential of (bad, good); trans: log potentials of neighbouring labels. Texts of up to RUN
+    lines go step by step together; a longer one is scanned, in time that grows with its lines.
+    """
+    count = np.diff(lines)
+    fwd, bwd = np.zeros_like(scores), np.zeros_like(scores)
+    pairs, total = np.zeros((2, 2)), np.zeros(len(count))
+    short = (count > 0) & (count <= RUN)
+    if short.any():
+        fwd, bwd, pairs, total[short] = _steps(scores, trans, lines[:-1][short], count[short])
+    for k in np.flatnonzero(count > RUN):
+        a = slice(lines[k], lines[k + 1])
+        fwd[a], bwd[a], more, total[k] = _long(scores[a], trans)
+        pairs = pairs + more
     both = fwd + bwd
-    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60))), pairs, total
+    return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -60, 60))), pairs, total[count > 0]
 
 
 def _fitted(x: np.ndarray, lines: np.ndarray, gold: np.ndarray, par: np.ndarray, steps: int) -> np.ndarray:
@@ -169,8 +262,20 @@ class LineField:
     def quality(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray, scaled: bool = False) -> np.ndarray:
         """Length-weighted mean of P(good) over each text's lines; 0 for a text without any."""
         x = x if scaled else (x - self.mean) / self.scale
-        s = np.zeros((len(x), 2))
-        s[:, 1] = x @ self.weights
+        return self._weighed(x @ self.weights, size, lines)
+
+    def quality_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Quality and number of lines of each text; features are put together for BLOCK lines at a time."""
+        own, size, lines = own_features(texts)
+        look = np.zeros(len(own))
+        for lo in range(0, len(own), BLOCK):
+            hi = min(lo + BLOCK, len(own))
+            look[lo:hi] = (around(own, lines, lo, hi).astype(np.float64) - self.mean) / self.scale @ self.weights
+        return self._weighed(look, size, lines), np.diff(lines)
+
+    def _weighed(self, look: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        s = np.zeros((len(look), 2))
+        s[:, 1] = look
         p, _, _ = marginals(s, self.trans, lines)
         c, w = np.concatenate([[0], np.cumsum(p * size)]), np.concatenate([[0], np.cumsum(size)])
         n = w[lines[1:]] - w[lines[:-1]]
@@ -200,10 +305,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     def features(batches):
         for batch in batches:
             for b in slices(batch, 0):
-                x, size, lines = line_features(b.column(0).to_pylist())
+                own, size, lines = own_features(b.column(0).to_pylist())
                 runs = [(lo + h % max(hi - lo - SAMPLE_LINES + 1, 1), hi) for lo, hi, h in zip(lines[:-1].tolist(), lines[1:].tolist(), b.column(3).to_pylist(), strict=True)]
                 runs = [(lo, min(hi, lo + SAMPLE_LINES)) for lo, hi in runs]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[lo:hi].astype(np.float32).tobytes() for lo, hi in runs], pa.binary()), pa.array([size[lo:hi].astype(np.float64).tobytes() for lo, hi in runs], pa.binary()), b.column(2), b.column(3)], names=["label", "x", "size", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([around(own, lines, lo, hi).tobytes() for lo, hi in runs], pa.binary()), pa.array([size[lo:hi].astype(np.float64).tobytes() for lo, hi in runs], pa.binary()), b.column(2), b.column(3)], names=["label", "x", "size", "doc_id", "place"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     place = F.xxhash64("doc_id", F.lit("place")) % (1 << 30) + (1 << 30)
@@ -228,16 +333,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     field hasn't seen; of conflicting labels of a document the lowest counts. It labels every line of every whole text, and a document's quality is the mean
     marginal of its lines, weighted by their bytes. Null, empty and blank texts have no lines: quality 0. Without labels
     of both classes every score is 0.5. Null ids aren't held out. Repeated rows get equal rows. Other
-    columns of docs play no part, whatever their names; very long texts are scored whole.
+    columns of docs play no part, whatever their names. Very long texts are scored whole: they are read in runs of lines and
+    their marginals are scanned, so time grows with their bytes and memory with their lines (some 0.3 KB each).
     """
     field = fit_field(docs, labels, doc_id, text, label, folds, held, sample)
 
     def score(batches):
         for batch in batches:
             for b in slices(batch, 1):
-                x, size, lines = line_features(b.column(1).to_pylist())
-                s = np.full(b.num_rows, 0.5) if field is None else field.score(field.quality(x.astype(np.float64), size, lines))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(np.diff(lines))], names=["doc_id", "score", "n_lines"])
+                texts = b.column(1).to_pylist()
+                quality, n = (np.zeros(len(texts)), np.diff(own_features(texts)[2])) if field is None else field.quality_of(texts)
+                s = np.full(len(texts), 0.5) if field is None else field.score(quality)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(n)], names=["doc_id", "score", "n_lines"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     out = arrow_map(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")), score, f"doc_id {kind}, score double, n_lines bigint")

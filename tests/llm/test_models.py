@@ -156,6 +156,32 @@ def test_marginals_match_enumeration():
     assert np.allclose(p, want) and math.isclose(pairs.sum(), 2 + 0 + 4)
 
 
+@pytest.mark.parametrize("run", [1, 2, 3])
+def test_scanned_marginals_match_steps(monkeypatch, run):
+    rng = np.random.default_rng(run)
+    lines = np.concatenate([[0], np.cumsum([1, 0, 2, 3, 4, 7, 64, 129, 1])])
+    s, t = rng.normal(size=(lines[-1], 2)) * 9, rng.normal(size=(2, 2)) * 3
+    want = Q.marginals(s, t, lines)
+    monkeypatch.setattr(Q, "RUN", run)
+    for a, b in zip(Q.marginals(s, t, lines), want, strict=True):
+        assert np.allclose(a, b)
+
+
+def test_pieces_have_the_features_of_whole_texts(monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", "\n\n", *["".join(rng.choices(["a", "Bé", " ", "\n", "7", "#", "same same "], k=rng.randint(1, 80))) for _ in range(60)]]
+    whole = Q.line_features(texts)
+    field = Q.LineField.__new__(Q.LineField)
+    field.mean, field.scale, field.weights, field.trans = np.zeros(31), np.ones(31), np.linspace(-1, 1, 31), np.eye(2)
+    want = field.quality(whole[0].astype(float), *whole[1:])
+    for piece in (1, 7, 30):
+        monkeypatch.setattr(Q, "PIECE", piece)
+        monkeypatch.setattr(Q, "BLOCK", piece)
+        for a, b in zip(Q.line_features(texts), whole, strict=True):
+            assert np.array_equal(a, b)
+        assert np.allclose(field.quality_of(texts)[0], want)
+
+
 def brute_hits(text, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     w, hit, got = words(text), set(), set()
