@@ -26,7 +26,7 @@ def item_terms(spark, d) -> DataFrame:
 
 
 def _matches(spark, d) -> DataFrame:
-    return batch_search.matches(search.lines(doc_files(spark, d)), item_terms(spark, d))
+    return batch_search.matches(search.lines(doc_files(spark, d)), item_terms(spark, d), places=batch_search.token_places)
 
 
 @query("task_matches", f"WITH {_TASKS} SELECT task_id, path, CAST(line_no AS INTEGER) AS line_no, CAST(col AS INTEGER) AS col, term FROM m")
