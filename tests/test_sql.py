@@ -26,3 +26,7 @@ ITEMS = "SELECT * FROM (VALUES (1, 'menteneux kangaroos'), (2, 'Kangaroos senten
 def test_places_of_terms_beside_letters_that_are_not_ascii(spark, tmp_path):
     got = same(spark, tmp_path, "task_matches", documents=DOCS, benchmark=ITEMS)
     assert (1, "docs/s/1.md", 1, 3, "menteneux") in got
+
+
+def test_scores_of_terms_beside_letters_that_are_not_ascii(spark, tmp_path):
+    same(spark, tmp_path, "task_locate", documents=DOCS, benchmark=ITEMS)
