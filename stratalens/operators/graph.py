@@ -107,35 +107,41 @@ def neighbours_stored(adjacency: DataFrame, starts: DataFrame, depth: int = 1, t
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6, types: list[str] | None = None) -> DataFrame:
     """start, end, path, hops: a shortest path over edges taken both ways, the least of equal ones; none beyond max_hops.
 
-    Breadth-first from both ends in turn, once for all pairs that share an end: a path of n hops is met in the middle, so
-    the frontiers grow with half its length. A pair's end stops when all its pairs are found, nodes seen before aren't
-    entered again, and what is kept for a node is the least path to it. All paths to one level have equal lengths, so the
-    least whole path is made of least halves.
+    Breadth-first from both ends, once for all pairs that share an end; each step goes on from the side whose frontier has
+    fewer edges, so ends that many pairs have in a hub don't each cross its neighbours. A path is met between the levels
+    reached, whatever they are: pairs meet the smaller frontier first and the other by node. A pair's end stops when all its
+    pairs are found, nodes seen before aren't entered again, and what is kept for a node is the least path to it. All paths
+    to one level have equal lengths, so the least whole path is made of least halves.
     """
     step = written(_steps(edges, types, "both"), "steps")
+    degrees = written(step.groupBy(F.col("u").alias("id")).agg(F.count("*").alias("n")), "degrees")
     todo = written(pairs.select("start", "end").distinct(), "pairs")
     found = todo.where("start = end").select("start", "end", F.array("start").alias("path"))
-    sides = []
+    sides = {}
     for own in ("start", "end"):
         seen = written(todo.select(F.col(own).alias("own"), F.col(own).alias("id"), F.array(own).alias("path")).distinct(), "seen")
-        sides.append([own, seen, seen])
-    kept = [step, todo, sides[0][1], sides[1][1]]
-    for hop in range(max_hops):
-        side = sides[hop % 2]
-        own, seen, frontier = side
-        left = todo.join(found.select("start", "end"), ["start", "end"], "left_anti")
-        open_ = left.select(F.col(own).alias("own")).distinct()
+        sides[own] = [seen, seen]
+    kept = [step, degrees, todo, sides["start"][0], sides["end"][0]]
+    for _ in range(max_hops):
+        left = written(todo.join(found.select("start", "end"), ["start", "end"], "left_anti"), "left")
+        kept.append(left)
+        ahead = {own: frontier.join(left.select(F.col(own).alias("own")).distinct(), "own", "left_semi") for own, (_, frontier) in sides.items()}
+        edges_of = {own: f.join(degrees, "id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for own, f in ahead.items()}
+        own = min(edges_of, key=edges_of.get)
+        if edges_of[own] == 0:
+            break
+        seen = sides[own][0]
         put = (lambda p, x: F.concat(p, F.array(x))) if own == "start" else (lambda p, x: F.concat(F.array(x), p))
-        new = frontier.join(open_, "own", "left_semi").join(step, F.col("id") == F.col("u")).groupBy("own", F.col("v").alias("to")).agg(F.min(put(F.col("path"), F.col("v"))).alias("path"))
+        new = ahead[own].join(step, F.col("id") == F.col("u")).groupBy("own", F.col("v").alias("to")).agg(F.min(put(F.col("path"), F.col("v"))).alias("path"))
         new = written(new.withColumnRenamed("to", "id").join(seen.select("own", "id"), ["own", "id"], "left_anti").select("own", "id", "path"), "frontier")
         kept.append(new)
-        side[1], side[2] = seen.unionByName(new), new
-        ahead, behind = (sides[0][2], sides[1][2])
-        met = left.join(ahead.select(F.col("own").alias("start"), "id", F.col("path").alias("a")), "start").join(behind.select(F.col("own").alias("end"), "id", F.col("path").alias("b")), ["end", "id"])
+        sides[own] = [seen.unionByName(new), new]
+        halves = {"start": sides["start"][1].select(F.col("own").alias("start"), "id", F.col("path").alias("a")), "end": sides["end"][1].select(F.col("own").alias("end"), "id", F.col("path").alias("b"))}
+        rows = {o: left.join(h.groupBy(o).agg(F.count("*").alias("n")), o).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n for o, h in halves.items()}
+        near, far = sorted(halves, key=rows.get)
+        met = left.join(halves[near], near).join(halves[far], [far, "id"])
         met = written(met.groupBy("start", "end").agg(F.min(F.concat("a", F.slice("b", F.lit(2), F.size("b")))).alias("path")), "found")
         found = found.unionByName(met)
-        if new.isEmpty():
-            break
     out = written(found.select("start", "end", "path", (F.size("path") - 1).alias("hops")), "paths")
     deleted(*kept)
     return out

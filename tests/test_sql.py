@@ -30,3 +30,17 @@ def test_places_of_terms_beside_letters_that_are_not_ascii(spark, tmp_path):
 
 def test_scores_of_terms_beside_letters_that_are_not_ascii(spark, tmp_path):
     same(spark, tmp_path, "task_locate", documents=DOCS, benchmark=ITEMS)
+
+
+NATION = "SELECT * FROM (VALUES (0, 0), (1, 0), (2, 1)) t(n_nationkey, n_regionkey)"
+SUPPLIER = "SELECT CAST(i AS BIGINT) AS s_suppkey, i % 3 AS s_nationkey FROM range(1, 41) t(i)"
+
+
+def test_paths_of_many_ends_cross_a_hub_once(spark, tmp_path, monkeypatch):
+    from stratalens.operators import graph
+
+    sizes, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name="table": sizes.append((out := plain(df, name)).count()) or out)
+    got = same(spark, tmp_path, "shortest_path_len", nation=NATION, supplier=SUPPLIER, customer="SELECT i AS c_custkey, i % 3 AS c_nationkey FROM range(600) t(i)", orders="SELECT i AS o_orderkey, i % 600 AS o_custkey FROM range(900) t(i)")
+    # ends that each cross their nation would make 39 times 200 rows and more
+    assert {r[2] for r in got} == {2, 4} and max(sizes) < 2000
