@@ -34,17 +34,42 @@ def callers(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFra
     The call is in the symbol's file, or its file imports that name, or no other symbol has the name: three equi-joins
     that don't overlap, on (file, name), on imported names and on names that occur once.
     """
-    refs = _with_imports(calls.select("caller", "line", F.col("caller_file").alias("file"), F.col("callee_short").alias("name")), imports)
+    refs = calls.select("caller", "line", F.col("caller_file").alias("file"), F.col("callee_short").alias("name"))
+    return _called(refs, symbols, imports).select("qualified", "caller", F.col("file").alias("caller_file"), "line")
+
+
+def _called(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """refs (file, name, ...) with the qualified names of the symbols that each may mean."""
+    refs = _with_imports(refs, imports)
     own = symbols.select("qualified", "name", F.col("file").alias("_file"))
     same = refs.join(own.withColumn("file", F.col("_file")), ["file", "name"])
-    return same.unionByName(_elsewhere(refs, own, symbols)).select("qualified", "caller", F.col("file").alias("caller_file"), "line")
+    return same.unionByName(_elsewhere(refs, own, symbols))
+
+
+def caller_counts(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """qualified, caller_file, n, lines: ``callers`` counted by file, with the sum of their lines.
+
+    The tiers ask for a call's file and name only, so calls that share both are folded before they meet symbols: many
+    calls of a name that many symbols have make no rows for each pair.
+    """
+    refs = calls.groupBy(F.col("caller_file").alias("file"), F.col("callee_short").alias("name")).agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    return _called(refs, symbols, imports).select("qualified", F.col("file").alias("caller_file"), "n", "lines")
 
 
 def jsx_callers(jsx_refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """qualified, file, line: where other files render a component that they import or that has a name of its own."""
-    refs = _with_imports(jsx_refs.select("file", "line", F.col("component").alias("name")), imports)
+    return _rendered(jsx_refs.select("file", "line", F.col("component").alias("name")), symbols, imports).select("qualified", "file", "line")
+
+
+def _rendered(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     own = symbols.where("kind = 'component'").select("qualified", "name", F.col("file").alias("_file"))
-    return _elsewhere(refs, own, symbols).select("qualified", "file", "line")
+    return _elsewhere(_with_imports(refs, imports), own, symbols)
+
+
+def jsx_counts(jsx_refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """qualified, file, n: ``jsx_callers`` counted by file, folded first like ``caller_counts``."""
+    refs = jsx_refs.groupBy("file", F.col("component").alias("name")).agg(F.count("*").alias("n"))
+    return _rendered(refs, symbols, imports).select("qualified", "file", "n")
 
 
 def callees(calls: DataFrame, qualified: str) -> DataFrame:

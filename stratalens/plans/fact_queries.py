@@ -113,14 +113,14 @@ def code_facts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 @query("callers_3tier", "WITH " + _CALLS + " z AS (SELECT 1) SELECT qualified, caller_file, CAST(count(*) AS BIGINT) AS n, CAST(sum(line) AS BIGINT) AS lines FROM cs GROUP BY 1, 2")
 def callers_3tier(spark, d):
-    return codegraph.callers(*code_facts(spark, d)).groupBy("qualified", "caller_file").agg(F.count("*").alias("n"), F.sum("line").alias("lines"))
+    return codegraph.caller_counts(*code_facts(spark, d)).groupBy("qualified", "caller_file").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"))
 
 
 @query("jsx_callers", "WITH " + _CALLS + " j AS (SELECT 'f' || (o_orderkey % 25) AS file, 'n' || (o_custkey % 61) AS name, CAST(o_orderkey AS BIGINT) AS line FROM orders) SELECT sy.qualified, j.file, CAST(count(*) AS BIGINT) AS n FROM j JOIN sy ON j.name = sy.name JOIN un ON un.name = sy.name JOIN supplier ON 's' || s_suppkey = sy.qualified WHERE s_suppkey % 2 = 0 AND j.file <> sy.file AND (un.k = 1 OR EXISTS (SELECT 1 FROM im WHERE im.importer = j.file AND im.name = sy.name)) GROUP BY 1, 2")
 def jsx_callers(spark, d):
     _, symbols, imports = code_facts(spark, d)
     refs = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 25).cast("string")).alias("file"), F.concat(F.lit("n"), (F.col("o_custkey") % 61).cast("string")).alias("component"), F.col("o_orderkey").alias("line"))
-    return codegraph.jsx_callers(refs, symbols, imports).groupBy("qualified", "file").agg(F.count("*").alias("n"))
+    return codegraph.jsx_counts(refs, symbols, imports).groupBy("qualified", "file").agg(F.sum("n").alias("n"))
 
 
 @query("callees_prefix", "SELECT l_shipdate, l_orderkey FROM (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS l_shipdate, CASE WHEN l_partkey % 3 = 0 THEN 'f::a' WHEN l_partkey % 3 = 1 THEN 'f::a.b' ELSE 'f::ab' END AS caller FROM lineitem) WHERE caller = 'f::a' OR starts_with(caller, 'f::a.')")

@@ -44,3 +44,15 @@ def test_paths_of_many_ends_cross_a_hub_once(spark, tmp_path, monkeypatch):
     got = same(spark, tmp_path, "shortest_path_len", nation=NATION, supplier=SUPPLIER, customer="SELECT i AS c_custkey, i % 3 AS c_nationkey FROM range(600) t(i)", orders="SELECT i AS o_orderkey, i % 600 AS o_custkey FROM range(900) t(i)")
     # ends that each cross their nation would make 39 times 200 rows and more
     assert {r[2] for r in got} == {2, 4} and max(sizes) < 2000
+
+
+def test_calls_are_folded_by_file_before_they_meet_symbols(spark, tmp_path, monkeypatch):
+    from stratalens.operators import codegraph
+
+    met, plain = [], codegraph._elsewhere
+    monkeypatch.setattr(codegraph, "_elsewhere", lambda refs, own, symbols: met.append((out := plain(refs, own, symbols)).count()) or out)
+    many = {"supplier": "SELECT i AS s_suppkey, i % 25 AS s_nationkey FROM range(1, 700) t(i)", "nation": "SELECT i AS n_nationkey, i % 5 AS n_regionkey FROM range(25) t(i)"}
+    same(spark, tmp_path, "callers_3tier", lineitem="SELECT i // 4 AS l_orderkey, 1 + i % 699 AS l_suppkey, i % 4 AS l_linenumber FROM range(8000) t(i)", **many)
+    same(spark, tmp_path, "jsx_callers", orders="SELECT i AS o_orderkey, i * 7 AS o_custkey FROM range(8000) t(i)", **many)
+    # one row for each file, name and symbol that they meet, not for each call
+    assert met[0] <= 50 * 12 and met[1] <= 50 * 6
