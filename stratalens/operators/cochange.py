@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
 
+from .scratch import PART_ROWS, spread
+
 
 def cochange_pairs(commit_files: DataFrame, commit: str = "sha", file: str = "file", support: int = 1, most_files: int | None = None) -> DataFrame:
     """a, b, n: pairs a < b of files in the same commit and in how many commits, with at least ``support``.
 
-    Pairs are made by one self-join on the commit and counted with map-side combining. A commit of k files makes
-    k(k-1)/2 pairs; ``most_files`` leaves sweeping commits out where the caller wants that.
+    Pairs are made by one self-join on the commit. A commit of k files makes k(k-1)/2 pairs; ``most_files`` leaves sweeping
+    commits out where the caller wants that. Commits, and then pairs, whose number the commits' sizes tell, are dealt to
+    partitions of bounded rows, so the tables that a task sorts and counts stay small; few pairs are combined before the
+    shuffle.
     """
-    cf = commit_files.select(F.col(commit).alias("c"), F.col(file).alias("f")).where("c IS NOT NULL AND f IS NOT NULL").distinct()
+    both = commit_files.select(F.col(commit).alias("c"), F.col(file).alias("f")).where("c IS NOT NULL AND f IS NOT NULL")
+    rows = commit_files.count()
+    cf = spread(both, rows, "c").distinct()
+    sizes = cf.groupBy("c").agg(F.count("*").alias("k"))
     if most_files is not None:
         cf = cf.withColumn("_n", F.count("*").over(Window.partitionBy("c"))).where(F.col("_n") <= most_files).drop("_n")
-    pairs = cf.select("c", F.col("f").alias("a")).join(cf.select("c", F.col("f").alias("b")), "c").where("a < b")
+        sizes = sizes.where(F.col("k") <= most_files)
+    pairs = cf.select("c", F.col("f").alias("a")).join(cf.select("c", F.col("f").alias("b")), "c").where("a < b").select("a", "b")
+    if rows > PART_ROWS // 8:
+        pairs = spread(pairs, int(sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()[0] or 0), "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 

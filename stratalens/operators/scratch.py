@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of one partition where tables are dealt by key.
+PART_ROWS = 500_000
+
 _made: dict[str, SparkSession] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -24,6 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of about so many rows, dealt by keys to partitions of about PART_ROWS: what a task sorts or counts then doesn't
+    grow with the table, whatever the session's number of partitions. Small tables are left as they are."""
+    if rows <= PART_ROWS:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *keys)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage and survives lost executors. Spark removes the shuffle
     files of the plan that made it at once. The table goes with ``deleted``, or when the driver ends."""

@@ -56,3 +56,13 @@ def test_calls_are_folded_by_file_before_they_meet_symbols(spark, tmp_path, monk
     same(spark, tmp_path, "jsx_callers", orders="SELECT i AS o_orderkey, i * 7 AS o_custkey FROM range(8000) t(i)", **many)
     # one row for each file, name and symbol that they meet, not for each call
     assert met[0] <= 50 * 12 and met[1] <= 50 * 6
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    from stratalens.operators import cochange, scratch
+
+    monkeypatch.setattr(scratch, "PART_ROWS", 100)
+    monkeypatch.setattr(cochange, "PART_ROWS", 100)
+    files = spark.range(600).selectExpr("id DIV 6 AS sha", "id % 6 + (id DIV 6) % 2 AS file")
+    got = cochange.cochange_pairs(files)
+    assert got.rdd.getNumPartitions() >= 15 and got.count() == 20 and {r.n for r in got.collect()} == {50, 100}
