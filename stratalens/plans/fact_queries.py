@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.operators import cochange, codegraph, evidence, graph, lifecycle, metrics, policy, ranges, units
 from stratalens.operators.components import connected_components
+from stratalens.operators.scratch import spread
 
 from .registry import query
 from .search_queries import table
@@ -65,6 +66,7 @@ s AS (SELECT file, 'l' || ln AS qualified, e - q + 1 AS a, e AS z, ln AS ord FRO
 
 def order_symbols(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("bigint").alias("q"))
+    li = spread(li, li.count(), "file")
     w = Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     own = li.withColumn("line_end", F.sum("q").over(w)).select("file", F.concat(F.lit("l"), text("ord")).alias("qualified"), (F.col("line_end") - F.col("q") + 1).alias("line_start"), "line_end", "ord")
     whole = own.groupBy("file").agg(F.lit("all").alias("qualified"), F.lit(1).cast("bigint").alias("line_start"), F.max("line_end").alias("line_end"), F.lit(0).alias("ord"))

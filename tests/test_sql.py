@@ -66,3 +66,13 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     files = spark.range(600).selectExpr("id DIV 6 AS sha", "id % 6 + (id DIV 6) % 2 AS file")
     got = cochange.cochange_pairs(files)
     assert got.rdd.getNumPartitions() >= 15 and got.count() == 20 and {r.n for r in got.collect()} == {50, 100}
+
+
+def test_range_joins_are_dealt_by_their_rows(spark, monkeypatch):
+    from stratalens.operators import ranges, scratch
+
+    monkeypatch.setattr(scratch, "PART_ROWS", 100)
+    points = spark.range(1000).selectExpr("id % 50 AS file", "id AS k", "id DIV 2 AS line")
+    intervals = spark.range(50).selectExpr("id AS file", "0L AS a", "600L AS z", "id AS ord")
+    got = ranges.innermost(points, intervals, ["file"], "line", "a", "z", ["ord"], ["file", "k", "line"])
+    assert got.rdd.getNumPartitions() >= 11 and got.count() == 1000 and "_bucket" not in got.columns
