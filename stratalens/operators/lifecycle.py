@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import fixed
 
-from .scratch import written
+from .scratch import dealt, written
+
+_PLACED = "struct<at:int,part:int,pos:int,text:string>"
 
 
 def transition_table(spark: SparkSession) -> DataFrame:
@@ -242,17 +244,26 @@ def apply_hunks(lines: DataFrame, hunks: DataFrame) -> tuple[DataFrame, DataFram
     line of the file or its very beginning.
     """
     of = lambda tags: F.filter("lines", lambda x: x.tag.isin(*tags))
-    olds = hunks.select(F.col("file").alias("path"), "old_start", F.posexplode(of(" -")).alias("pos", "l")).select("path", (F.col("old_start") + F.col("pos")).alias("line_no"), F.col("l.text").alias("want"))
-    wrong = olds.join(lines, ["path", "line_no"], "left").where(~F.col("want").eqNullSafe(F.col("text"))).select("path")
-    inserts = hunks.where(~F.exists("lines", lambda x: x.tag.isin(" ", "-")) & (F.col("old_start") > 0)).select(F.col("file").alias("path"), F.col("old_start").alias("line_no"))
-    wrong = wrong.union(inserts.join(lines, ["path", "line_no"], "left_anti").select("path")).distinct().withColumn("_wrong", F.lit(True))
-    status = hunks.select(F.col("file").alias("path")).distinct().join(wrong, "path", "left").select("path", F.when(F.col("_wrong"), "CONFLICT").otherwise("APPLIED_SANDBOX").alias("status"))
-    good = hunks.join(status.where("status = 'APPLIED_SANDBOX'").select(F.col("path").alias("file")), "file", "left_semi")
-    covered = olds.join(status.where("status = 'APPLIED_SANDBOX'"), "path", "left_semi").select("path", "line_no").distinct()
-    rest = lines.join(covered, ["path", "line_no"], "left_anti").select("path", F.col("line_no").alias("at"), F.lit(0).alias("part"), F.lit(0).alias("pos"), "text")
-    news = good.select(F.col("file").alias("path"), F.col("old_start").alias("at"), F.lit(1).alias("part"), F.posexplode(of(" +")).alias("pos", "l")).select("path", "at", "part", "pos", F.col("l.text").alias("text"))
-    w = Window.partitionBy("path").orderBy("at", "part", "pos")
-    return rest.unionByName(news).withColumn("line_no", F.row_number().over(w)).select("path", "line_no", "text"), status
+    row = lambda at, part, pos, text: F.struct(at.cast("int").alias("at"), F.lit(part).alias("part"), pos.cast("int").alias("pos"), text.cast("string").alias("text"))
+    start, zero, none = F.col("old_start"), F.lit(0), F.lit(None)
+    # part 0: lines of the table; 1: new lines; 2: lines that a hunk expects; 3: the line an insertion follows; 4: the file has hunks
+    expected = F.transform(of(" -"), lambda x, i: row(start + i, 2, i, x.text))
+    new = F.transform(of(" +"), lambda x, i: row(start, 1, i, x.text))
+    follows = F.when((F.size(of(" -")) == 0) & (start > 0), F.array(row(start, 3, zero, none))).otherwise(F.array().cast(f"array<{_PLACED}>"))
+    placed = hunks.select(F.col("file").alias("path"), F.explode(F.concat(expected, new, follows, F.array(row(none, 4, zero, none)))).alias("r")).select("path", "r.*")
+    table = lines.select("path", F.col("line_no").cast("int").alias("at"), F.lit(0).alias("part"), F.lit(0).alias("pos"), "text")
+    rows = lines.count() + (hunks.agg(F.sum(F.size("lines") + 2)).first()[0] or 0)
+    # dealt and sorted once: all windows take the rows as they lie
+    each = dealt(table.unionByName(placed), rows, "path").sortWithinPartitions("path", "at", "part", "pos")
+    spot, file = Window.partitionBy("path", "at"), Window.partitionBy("path")
+    own = F.when(F.col("part") == 0, F.col("text"))
+    here, low, high, texts = F.count_if(F.col("part") == 0).over(spot), F.min(own).over(spot), F.max(own).over(spot), F.count(own).over(spot)
+    same = F.when(F.col("text").isNull(), texts == 0).otherwise((here > 0) & (texts == here) & (low == F.col("text")) & (high == F.col("text")))
+    wrong = F.when(F.col("part") == 2, ~same).when(F.col("part") == 3, here == 0).otherwise(False)
+    judged = each.withColumns({"_wrong": wrong, "_covered": F.count_if(F.col("part") == 2).over(spot) > 0}).withColumn("_bad", F.bool_or("_wrong").over(file))
+    status = judged.where("part = 4").select("path", F.when(F.col("_bad"), "CONFLICT").otherwise("APPLIED_SANDBOX").alias("status")).distinct()
+    left = judged.where("part = 0 AND (_bad OR NOT _covered) OR part = 1 AND NOT _bad")
+    return left.withColumn("line_no", F.row_number().over(file.orderBy("at", "part", "pos"))).select("path", "line_no", "text"), status
 
 
 def prepare(plans: DataFrame, expected: DataFrame, current: DataFrame) -> DataFrame:

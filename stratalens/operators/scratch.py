@@ -35,6 +35,11 @@ def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *keys)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``spread``, but small tables are dealt by keys as well: what groups or sorts by keys and more then stays where it is."""
+    return spread(df, rows, *keys) if rows > PART_ROWS else df.repartition(*keys)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a table in the shared folder, which cuts its lineage and survives lost executors. Spark removes the shuffle
     files of the plan that made it at once. The table goes with ``deleted``, or when the driver ends."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators import codegraph, evidence, graph, ledger, lifecycle, metrics, policy, semantic, units
+from stratalens.operators.scratch import dealt
 
 from .fact_queries import _FK, fk_edges, layered, text
 from .registry import query
@@ -17,7 +18,8 @@ _ITEMS = "items AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey
 
 def items(spark, d) -> DataFrame:
     """One row for each numbered line of an order."""
-    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")])
+    li = table(spark, d, "lineitem")
+    return dealt(li.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"), li.count(), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus")])
 
 
 @query("app_roles", r"""WITH p AS (SELECT CASE page_id % 6 WHEN 0 THEN 'src/app/x' || page_id || '/route.ts' WHEN 1 THEN 'app/page.tsx' WHEN 2 THEN 'app/y/z' || page_id || '/layout.tsx' WHEN 3 THEN 'app/app/route.ts' WHEN 4 THEN 'lib/page.tsx' ELSE 'app/y/notes.md' END AS path, page_id FROM pages)

@@ -76,3 +76,23 @@ def test_range_joins_are_dealt_by_their_rows(spark, monkeypatch):
     intervals = spark.range(50).selectExpr("id AS file", "0L AS a", "600L AS z", "id AS ord")
     got = ranges.innermost(points, intervals, ["file"], "line", "a", "z", ["ord"], ["file", "k", "line"])
     assert got.rdd.getNumPartitions() >= 11 and got.count() == 1000 and "_bucket" not in got.columns
+
+
+ORDERED = {
+    "lineitem": "SELECT i // 4 AS l_orderkey, 1 + i % 4 AS l_linenumber, i * 7 % 300 AS l_partkey, 1 + i * 11 % 40 AS l_suppkey, ['A', 'N', 'R'][1 + i % 3] AS l_returnflag, ['F', 'O'][1 + i % 2] AS l_linestatus FROM range(3000) t(i)",
+    "orders": "SELECT i AS o_orderkey, ['F', 'O', 'P'][1 + i % 3] AS o_orderstatus FROM range(800) t(i)",
+    "part": "SELECT i AS p_partkey, i % 50 AS p_size FROM range(300) t(i)",
+}
+
+
+def dealt_by_rows(spark, tmp_path, monkeypatch, *names):
+    from stratalens.operators import scratch
+
+    monkeypatch.setattr(scratch, "PART_ROWS", 100)
+    for name in names:
+        same(spark, tmp_path, name, **ORDERED)
+        assert entry.queries()[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 10, name
+
+
+def test_patched_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    dealt_by_rows(spark, tmp_path, monkeypatch, "apply_hunks", "apply_status")
