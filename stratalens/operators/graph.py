@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import deleted, written
+from .scratch import deleted, spread, written
 
 
 def fold_nodes(raw: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def _doubled(pointers: DataFrame, most: int) -> DataFrame:
         if now.where("NOT done").isEmpty():
             return now
         step = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"))
-        new = written(now.where("NOT done").join(step, "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("done2", F.lit(True)).alias("done")).unionByName(now.where("done")), "pointers")
+        new = written(spread(now.where("NOT done"), most, "to").join(spread(step, most, "to"), "to", "left").select("id", F.coalesce("to2", "to").alias("to"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.coalesce("done2", F.lit(True)).alias("done")).unionByName(now.where("done")), "pointers")
         deleted(now)
         now = new
     if now.where("NOT done").isEmpty():
@@ -208,11 +208,11 @@ def subtree(events: DataFrame, roots: DataFrame) -> DataFrame:
     are an error.
     """
     tops = roots.select(F.col("id").alias("r")).distinct()
-    own = events.select("id", "parent").union(tops.select("r", F.lit(None).cast(events.schema["parent"].dataType))).groupBy("id").agg(F.max("parent").alias("parent"))
-    marked = own.join(tops.select(F.col("r").alias("id"), F.lit(True).alias("is_root")), "id", "left")
-    pointers = marked.where("is_root IS NOT NULL OR parent IS NOT NULL").select("id", F.when(F.col("is_root"), F.col("id")).otherwise(F.col("parent")).alias("to"), F.when(F.col("is_root"), 0).otherwise(1).alias("dist"), F.coalesce("is_root", F.lit(False)).alias("done"))
     most = max(events.count(), 1)
-    near = _doubled(pointers, most).join(tops.withColumnRenamed("r", "to"), "to", "left_semi").select("id", F.col("to").alias("root"), F.col("dist").alias("depth"))
+    own = events.select("id", "parent", F.lit(None).cast("boolean").alias("is_root")).union(tops.select("r", F.lit(None).cast(events.schema["parent"].dataType), F.lit(True)))
+    marked = spread(own, most, "id").groupBy("id").agg(F.max("parent").alias("parent"), F.max("is_root").alias("is_root"))
+    pointers = marked.where("is_root IS NOT NULL OR parent IS NOT NULL").select("id", F.when(F.col("is_root"), F.col("id")).otherwise(F.col("parent")).alias("to"), F.when(F.col("is_root"), 0).otherwise(1).alias("dist"), F.coalesce("is_root", F.lit(False)).alias("done"))
+    near = spread(_doubled(pointers, most), most, "to").join(spread(tops.withColumnRenamed("r", "to"), most, "to"), "to", "left_semi").select("id", F.col("to").alias("root"), F.col("dist").alias("depth"))
     # links from a root to the nearest root above it, closed by squaring
     up = marked.where("is_root AND parent IS NOT NULL").select(F.col("id").alias("low"), F.col("parent").alias("id")).join(near, "id").select("low", F.col("root").alias("high"), (F.col("depth") + 1).alias("steps"))
     links = written(up, "links")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 
 def trail_name(name: Column) -> Column:
     """struct<layer, actor, action> of a trail name: ``agent:who:what``, ``skill:who:what``, else a tool and its last part."""
@@ -30,7 +32,8 @@ def span_events(events: DataFrame, most: int = 8) -> DataFrame:
 
 def trace_lines(events: DataFrame, members: DataFrame, fields: list[str]) -> DataFrame:
     """root, ord, line: a JSON line for each event of each subtree (root, id), in the order they happened."""
-    return events.join(members.select("root", "id"), "id").select("root", "ord", F.to_json(F.struct(*fields)).alias("line"))
+    rows = events.count()
+    return spread(events, rows, "id").join(spread(members.select("root", "id"), rows, "id"), "id").select("root", "ord", F.to_json(F.struct(*fields)).alias("line"))
 
 
 def run_costs(calls: DataFrame, by: list[str]) -> DataFrame:

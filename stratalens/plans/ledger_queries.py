@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators import codegraph, evidence, graph, ledger, lifecycle, metrics, policy, semantic, units
-from stratalens.operators.scratch import dealt
+from stratalens.operators.scratch import dealt, written
 
 from .fact_queries import _FK, fk_edges, layered, text
 from .registry import query
@@ -197,7 +197,8 @@ def trace_lines(spark, d):
     li = items(spark, d)
     root = F.concat(F.lit("o"), text("l_orderkey"))
     kids = li.select(F.concat_ws("-", root, text("l_linenumber")).alias("id"), root.alias("parent"), F.col("l_linenumber").alias("ord"), F.col("l_returnflag").alias("layer"))
-    e = kids.union(li.select(root, F.lit(None).cast("string"), F.lit(0), F.lit(None).cast("string")).distinct())
+    tops = li.groupBy("l_orderkey").agg(F.lit(None).cast("string").alias("parent"))
+    e = written(kids.union(tops.select(root, "parent", F.lit(0), F.col("parent"))), "events")  # read by each step of the subtrees
     return ledger.trace_lines(e, graph.subtree(e, e.where("parent IS NULL").select("id")), ["id", "ord", "layer"])
 
 

@@ -96,3 +96,7 @@ def dealt_by_rows(spark, tmp_path, monkeypatch, *names):
 
 def test_patched_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "apply_hunks", "apply_status")
+
+
+def test_events_of_subtrees_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    dealt_by_rows(spark, tmp_path, monkeypatch, "trace_lines")
