@@ -11,6 +11,7 @@ from stratalens.functions import fixed
 from stratalens.functions.text import domain_hits, hunk_tokens, short_name
 
 from .components import connected_components
+from .scratch import dealt, written
 
 
 def hunk_features(hunks: DataFrame) -> DataFrame:
@@ -133,20 +134,23 @@ def classify_units(units: DataFrame, problem: list[str], keep: list[str]) -> Dat
 def collateral_risk(units: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """sha, risk, shared_files: 0.35 for a file on both sides, 0.15 for each kept file's call of a rolled-back symbol, 0.2 if
     nothing is rolled back; at most 1, rounded to three places."""
-    files = units.select("sha", "action", F.explode("files").alias("file"))
-    sides = files.groupBy("sha", "file").agg(F.count_distinct("action").alias("n"))
-    shared = sides.where("n > 1").groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("shared_files"))
-    base = units.groupBy("sha").agg(F.count_if(F.col("action") == "ROLLBACK").alias("n_problem"))
-    out = base.join(shared, "sha", "left")
+    rows = units.agg(F.sum(F.greatest(F.lit(1), *[F.size(c) for c in ("files", *(("symbols",) if calls is not None else ()))]))).first()[0] or 0
+    own = dealt(units, rows, "sha")  # dealt once; what follows groups and joins where the rows lie
+    is_problem = F.coalesce(F.col("action") == "ROLLBACK", F.lit(False))
+    files = own.select("sha", "action", F.explode_outer("files").alias("file"))
+    sides = files.groupBy("sha", "file").agg(F.bool_or(is_problem).alias("_problem"), F.count_if(F.col("action") == "KEEP").alias("_kept"), F.coalesce(F.min("action") < F.max("action"), F.lit(False)).alias("_both"))
+    out = sides.groupBy("sha").agg(F.bool_or("_problem").alias("_problem"), F.array_sort(F.collect_list(F.when(F.col("_both"), F.col("file")))).alias("shared_files"))
     if calls is not None:
-        names = units.where("action = 'ROLLBACK'").select("sha", F.explode("symbols").alias("symbol")).select("sha", "symbol", F.substring_index(short_name("symbol"), ".", 1).alias("callee_short")).distinct()
-        kept = files.where("action = 'KEEP'").select("sha", F.col("file").alias("caller_file")).distinct()
-        hits = names.join(calls.select("callee_short", "caller_file").distinct(), "callee_short").join(kept, ["sha", "caller_file"], "left_semi").groupBy("sha").agg(F.count_distinct("symbol").alias("n_calls"))
+        called = written(calls.select("callee_short", "caller_file").distinct(), "called")
+        names = own.where("action = 'ROLLBACK'").select("sha", F.explode("symbols").alias("symbol")).distinct().select("sha", "symbol", F.substring_index(short_name("symbol"), ".", 1).alias("callee_short"))
+        kept = sides.where("_kept > 0").select("sha", F.col("file").alias("caller_file"))
+        # a commit's symbols meet its own files first: a name's callers are far more
+        hits = names.join(kept, "sha").join(called, ["callee_short", "caller_file"], "left_semi").groupBy("sha").agg(F.count_distinct("symbol").alias("n_calls"))
         out = out.join(hits, "sha", "left")
     else:
         out = out.withColumn("n_calls", F.lit(0))
-    risk = F.when(F.col("shared_files").isNotNull(), fixed.RISK_SHARED_FILE).otherwise(0.0) + fixed.RISK_CALLER * F.coalesce("n_calls", F.lit(0)) + F.when(F.col("n_problem") == 0, fixed.RISK_NO_PROBLEM).otherwise(0.0)
-    return out.select("sha", F.round(F.least(F.lit(1.0), risk), 3).alias("risk"), F.coalesce("shared_files", F.array().cast("array<string>")).alias("shared_files"))
+    risk = F.when(F.size("shared_files") > 0, fixed.RISK_SHARED_FILE).otherwise(0.0) + fixed.RISK_CALLER * F.coalesce("n_calls", F.lit(0)) + F.when(~F.col("_problem"), fixed.RISK_NO_PROBLEM).otherwise(0.0)
+    return out.select("sha", F.round(F.least(F.lit(1.0), risk), 3).alias("risk"), "shared_files")
 
 
 def label_by_domain(strengths: DataFrame, key: list[str], domain: str, n: str, order: str) -> DataFrame:

@@ -100,3 +100,7 @@ def test_patched_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
 
 def test_events_of_subtrees_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "trace_lines")
+
+
+def test_symbols_meet_their_commit_before_their_callers(spark, tmp_path, monkeypatch):
+    dealt_by_rows(spark, tmp_path, monkeypatch, "collateral_callers")
