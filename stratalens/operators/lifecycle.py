@@ -205,13 +205,16 @@ def preservation_face(kept: DataFrame, rolled_back: DataFrame, actual: DataFrame
 
     kept, rolled_back, actual: hunks (sha, file, lines). A commit without kept hunks is preserved.
     """
-    ours = rolled_back.select("sha", "file").distinct().withColumn("_shared", F.lit(True))
-    keep_files = kept.select("sha", "file").distinct().join(ours, ["sha", "file"], "left")
-    touched = keep_files.where("_shared IS NULL").join(actual.select("sha", "file").distinct(), ["sha", "file"], "left_semi").select("sha")
-    added = kept.join(ours, ["sha", "file"], "left_semi").select("sha", "file", F.explode("lines").alias("l")).where("l.tag = '+'").select("sha", "file", F.col("l.text").alias("text")).distinct()
-    gone = actual.select("sha", "file", F.explode("lines").alias("l")).where("l.tag = '-'").select("sha", "file", F.col("l.text").alias("text")).distinct()
-    broken = touched.union(added.join(gone, ["sha", "file", "text"], "left_semi").select("sha")).distinct().withColumn("_broken", F.lit(True))
-    return actual.select("sha").distinct().join(broken, "sha", "left").select("sha", F.col("_broken").isNull().alias("preservation"))
+    texts = lambda tag: F.explode_outer(F.transform(F.filter("lines", lambda x: x.tag == tag), lambda x: x.text)).alias("text")
+    side = lambda df, text, n: df.select("sha", "file", text, F.lit(n).alias("side"))
+    each = side(kept, texts("+"), 0).union(side(rolled_back, F.lit(None).cast("string").alias("text"), 1)).union(side(actual, texts("-"), 2))
+    rows = rolled_back.count() + sum(df.agg(F.sum(F.greatest(F.lit(1), F.size("lines")))).first()[0] or 0 for df in (kept, actual))
+    on = [F.bool_or(F.col("side") == n).alias(c) for n, c in enumerate("kra")]
+    lines = dealt(each, rows, "sha").groupBy("sha", "file", "text").agg(*on)
+    lost = F.bool_or(F.col("k") & F.col("a") & F.col("text").isNotNull()).alias("lost")
+    files = lines.groupBy("sha", "file").agg(*[F.bool_or(c).alias(c) for c in "kra"], lost)
+    broken = F.col("sha").isNotNull() & F.col("file").isNotNull() & F.col("k") & F.col("a") & (~F.col("r") | F.col("lost"))
+    return files.groupBy("sha").agg(F.bool_or("a").alias("a"), F.bool_or(broken).alias("broken")).where("a").select("sha", (~F.col("broken")).alias("preservation"))
 
 
 def scope_face(actual: DataFrame, planned: DataFrame, drift: DataFrame | None = None) -> DataFrame:

@@ -104,3 +104,7 @@ def test_events_of_subtrees_are_dealt_by_their_rows(spark, tmp_path, monkeypatch
 
 def test_symbols_meet_their_commit_before_their_callers(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "collateral_callers")
+
+
+def test_kept_hunks_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    dealt_by_rows(spark, tmp_path, monkeypatch, "preservation_face")
