@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.functions.text import stable_id
 
+from .scratch import spread
+
 
 def _with_imports(refs: DataFrame, imports: DataFrame) -> DataFrame:
     """refs (file, name, ...) with _imported: whether the file imports that name."""
@@ -108,15 +110,26 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports with source_file: the first candidate file that exists, '' for packages, URLs and misses.
 
     imports: importer, specifier (and more). Candidates are the importer's folder for relative specifiers, ``src`` and
-    then the root for ``@/``, each with the known suffixes in order; one equi-join with the files picks the first.
+    then the root for ``@/``, each with the known suffixes in order. Files are folded by their paths without suffixes, so a
+    candidate meets one row for all suffixes and no import is copied.
     """
     folder = F.regexp_replace("importer", "/?[^/]*$", "")
     spec = F.col("specifier")
-    roots = F.when(spec.rlike(r"^\.\.?(/|$)"), F.array(F.concat(folder, F.lit("/"), spec))).when(F.startswith(spec, F.lit("@/")), F.array(F.concat(F.lit("src/"), F.substring(spec, F.lit(3), F.length(spec))), F.substring(spec, F.lit(3), F.length(spec))))
-    options = F.flatten(F.transform(roots, lambda r: F.transform(F.array(*[F.lit(s) for s in fixed.IMPORT_SUFFIXES]), lambda s: F.concat(normal_path(r), s))))
-    cand = imports.select("importer", "specifier").distinct().select("importer", "specifier", F.posexplode(options).alias("ord", "path"))
-    hit = cand.join(files.select("path").distinct(), "path").groupBy("importer", "specifier").agg(F.min_by("path", "ord").alias("source_file"))
-    return imports.join(hit, ["importer", "specifier"], "left").withColumn("source_file", F.coalesce("source_file", F.lit("")))
+    near, aliased = (F.coalesce(x, F.lit(False)) for x in (spec.rlike(r"^\.\.?(/|$)"), F.startswith(spec, F.lit("@/"))))
+    inner = F.substring(spec, F.lit(3), F.length(spec))
+    # what a file answers to: its path without each suffix that it has; the first suffix counts where files share a name
+    ends = F.filter(F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(s).alias("end")) for k, s in enumerate(fixed.IMPORT_SUFFIXES)]), lambda s: F.endswith(F.col("path"), s["end"]))
+    named = files.select("path", F.explode(ends).alias("s")).select(F.left("path", F.length("path") - F.length("s.end")).alias("_base"), F.col("s.ord").alias("ord"), "path")
+    rows = imports.count() + files.count()
+    bases = spread(named, rows, "_base").groupBy("_base").agg(F.min_by("path", "ord").alias("source_file"))
+
+    def found(some: DataFrame, at: Column, column: str) -> DataFrame:
+        return spread(some.withColumn("_base", normal_path(at)), rows, "_base").join(bases.withColumnRenamed("source_file", column), "_base", "left").drop("_base")
+
+    one = found(imports.where(near), F.concat(folder, F.lit("/"), spec), "source_file")
+    two = found(found(imports.where(aliased), F.concat(F.lit("src/"), inner), "_src"), inner, "_root").withColumn("source_file", F.coalesce("_src", "_root")).drop("_src", "_root")
+    none = imports.where(~near & ~aliased).withColumn("source_file", F.lit(None).cast("string"))
+    return one.unionByName(two).unionByName(none).withColumn("source_file", F.coalesce("source_file", F.lit("")))
 
 
 def importers(imports: DataFrame, tests_only: bool = False) -> DataFrame:

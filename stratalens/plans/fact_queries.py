@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stratalens.functions import fixed
 from stratalens.operators import cochange, codegraph, evidence, graph, lifecycle, metrics, policy, ranges, units
 from stratalens.operators.components import connected_components
-from stratalens.operators.scratch import spread
+from stratalens.operators.scratch import dealt, spread, written
 
 from .registry import query
 from .search_queries import table
@@ -140,7 +140,9 @@ def import_priority(spark, d):
     base = F.concat(F.lit("src/p"), text("p_partkey"))
     kinds = F.element_at(F.array(*[F.lit(x) for x in (".ts", ".tsx", "/index.ts", ".css")]), (F.col("p_size") % 4 + 1).cast("int"))
     files = part.select(F.concat(base, kinds).alias("path")).union(part.where("p_partkey % 5 = 0").select(F.concat(base, F.lit(".js"))))
-    imports = table(spark, d, "lineitem").select(F.concat(F.lit("src/o"), text("l_orderkey"), F.lit(".ts")).alias("importer"), F.concat(F.lit("./p"), text("l_partkey")).alias("specifier")).distinct()
+    li = table(spark, d, "lineitem")
+    once = dealt(li.select("l_orderkey", "l_partkey"), li.count(), "l_orderkey").distinct()
+    imports = written(once.select(F.concat(F.lit("src/o"), text("l_orderkey"), F.lit(".ts")).alias("importer"), F.concat(F.lit("./p"), text("l_partkey")).alias("specifier")), "imports")
     return codegraph.resolve_imports(imports, files).select("importer", "specifier", "source_file")
 
 

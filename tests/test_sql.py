@@ -108,3 +108,14 @@ def test_symbols_meet_their_commit_before_their_callers(spark, tmp_path, monkeyp
 
 def test_kept_hunks_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "preservation_face")
+
+
+def test_imports_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    from stratalens.operators import codegraph
+
+    dealt_by_rows(spark, tmp_path, monkeypatch, "import_priority")
+    files = spark.createDataFrame([("src/a.ts",), ("src/a.js",), ("src/b/index.ts",), ("c.tsx",), ("src/c/index.tsx",), ("src/d.css",)], "path string")
+    asked = [("./a", "src/a.ts"), ("./b", "src/b/index.ts"), ("./d.css", "src/d.css"), ("../c", "c.tsx"), ("@/c", "src/c/index.tsx"), ("@/src/a", "src/a.ts"), ("react", ""), (None, ""), ("./x", ""), ("@/x", "")]
+    imports = spark.createDataFrame([("src/m.ts", s, k) for k, (s, _) in enumerate(asked)] * 2, "importer string, specifier string, k int")
+    got = codegraph.resolve_imports(imports, files).collect()
+    assert sorted((r.k, r.source_file) for r in got) == sorted([(k, f) for k, (_, f) in enumerate(asked)] * 2)
