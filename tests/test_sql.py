@@ -119,3 +119,12 @@ def test_imports_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     imports = spark.createDataFrame([("src/m.ts", s, k) for k, (s, _) in enumerate(asked)] * 2, "importer string, specifier string, k int")
     got = codegraph.resolve_imports(imports, files).collect()
     assert sorted((r.k, r.source_file) for r in got) == sorted([(k, f) for k, (_, f) in enumerate(asked)] * 2)
+
+
+def test_units_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    from stratalens.operators import units
+
+    dealt_by_rows(spark, tmp_path, monkeypatch, "collateral_risk")
+    rows = [("a", [], "ROLLBACK"), ("b", ["f"], "KEEP"), ("b", ["f", "g"], "ROLLBACK"), ("c", None, "KEEP"), ("d", ["f"], None)]
+    got = units.collateral_risk(spark.createDataFrame(rows, "sha string, files array<string>, action string")).collect()
+    assert {r.sha: (r.risk, r.shared_files) for r in got} == {"a": (0.0, []), "b": (0.35, ["f"]), "c": (0.2, []), "d": (0.2, [])}
