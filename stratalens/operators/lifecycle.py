@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -160,32 +162,64 @@ def verify(before: DataFrame, planned: DataFrame, after: DataFrame, status: Data
     the faces; a touched file that isn't what was planned is drift and out of scope. A file that no commit
     names counts against each (the first 20 are listed). A conflict in a file of a commit is a failure of its own.
     """
-    shas = rolled_back.select("sha").distinct()
-    patch = written(actual_patch(before, after), "patch")
-    own = rolled_back.select("sha", "file").union(files.select("sha", "file")).distinct()
-    actual = patch.join(own.union(kept.select("sha", "file")).distinct(), "file").select("sha", "file", "lines")
-    named = own.select("file").union(kept.select("file")).distinct()
-    loose = patch.select("file").distinct().join(named, "file", "left_anti").orderBy("file").limit(20).agg(F.collect_list("file").alias("_loose"))
-    touched = actual.select(F.col("file").alias("path")).distinct()
-    gone = content_hashes(before).join(content_hashes(planned), "path", "left_anti").select("path")
-    moved = content_drift(content_hashes(planned), content_hashes(after), touched, gone).select(F.col("path").alias("file"))
-    drift = written(actual.select("sha", "file").distinct().join(moved, "file", "left_semi"), "drift")
-    idle = rolled_back.select("sha", "file").distinct().join(actual.select("sha", "file"), ["sha", "file"], "left_anti").select("sha").distinct().withColumn("_idle", F.lit(True))
-    clash = own.join(status.where("status = 'CONFLICT'").select(F.col("path").alias("file")), "file", "left_semi").groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("conflict"))
-    none = F.array().cast(f"array<{dict(own.dtypes)['file']}>")
-    faces = shas.join(expected_face(rolled_back, actual), "sha", "left").join(idle, "sha", "left").join(preservation_face(kept, rolled_back, actual), "sha", "left")
-    faces = faces.join(scope_face(actual, files, drift), "sha", "left").join(drift.groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("drift")), "sha", "left").join(clash, "sha", "left")
+    patch = written(_removed(before, planned, after), "patch")
+    rows = files.count() + patch.count() + sum(df.agg(F.sum(F.greatest(F.lit(1), F.size("lines")))).first()[0] or 0 for df in (rolled_back, kept))
+    # by file: what happened to the files of each commit
+    named = [df.select("sha", "file", F.lit(own).alias("_own")) for df, own in ((rolled_back, True), (files, True), (kept, False))]
+    pairs = dealt(reduce(DataFrame.union, named), rows, "file").groupBy("sha", "file").agg(F.bool_or("_own").alias("_own"))
+    clashes = dealt(status.where("status = 'CONFLICT'").select(F.col("path").alias("file")), rows, "file").distinct().withColumn("_clash", F.lit(True))
+    facts = pairs.join(dealt(patch, rows, "file"), "file", "left").join(clashes, "file", "left")
+    loose = dealt(patch.select("file"), rows, "file").join(pairs.select("file"), "file", "left_anti").orderBy("file").limit(20).agg(F.collect_list("file").alias("_loose"))
+    # by commit: lines of kept (0), rolled-back (1) and actual (2) hunks and planned files (3), judged by three aggregates
+    no = F.lit(False)
+    side = lambda df, n, text, *marks: df.select("sha", "file", text.alias("text"), F.lit(n).alias("side"), *[x.alias(c) for x, c in zip(marks or (no, no, no), ("a", "moved", "clash"), strict=True)])
+    added = F.explode_outer(F.transform(F.filter("lines", lambda x: x.tag == "+"), lambda x: x.text))
+    happened = side(facts, 2, F.explode_outer("removed"), F.col("moved").isNotNull(), F.coalesce("moved", no), F.col("_own") & F.coalesce("_clash", no))
+    each = reduce(DataFrame.union, [happened, side(kept, 0, added), side(rolled_back, 1, added), side(files, 3, F.lit(None).cast("string"))])
+    rows += patch.agg(F.sum(F.size("removed"))).first()[0] or 0
+    marks = [F.bool_or(c).alias(c) for c in ("a", "moved", "clash")]
+    count = [F.count_if(F.col("side") == n).alias(c) for n, c in enumerate(("k", "r", "got", "p"))]
+    lines = dealt(each, rows, "sha").groupBy("sha", "file", "text").agg(*count, *marks)
+    held = F.col("text").isNotNull()
+    by_file = lines.groupBy("sha", "file").agg(F.bool_and(~held | (F.col("got") >= F.col("r"))).alias("gone"), F.bool_or(held & (F.col("k") > 0) & (F.col("got") > 0)).alias("lost"), *[F.bool_or(F.col(c) > 0).alias(c) for c in "krp"], *marks)
+    listed = lambda x, c: F.array_sort(F.collect_list(F.when(x, F.col("file")))).alias(c)
+    k, r, p, touched = (F.col(c) for c in ("k", "r", "p", "a"))
+    faces = by_file.groupBy("sha").agg(
+        F.bool_or("r").alias("_asked"), F.bool_and(F.col("gone") & ~(r & ~touched)).alias("expected"), (~F.bool_or(k & touched & (~r | F.col("lost")))).alias("preservation"),
+        listed(touched & ~p, "outside"), listed(touched & F.col("moved"), "drift"), listed(F.col("clash"), "conflict"),
+    ).where("_asked")
     if proof is not None:
-        faces = faces.join(proof.select("sha", "tests", "evidence"), "sha", "left")
+        faces = faces.join(dealt(proof.select("sha", "tests", "evidence"), rows, "sha"), "sha", "left")
     else:
-        faces = faces.withColumns({"tests": F.lit(False), "evidence": F.lit(False)})
+        faces = faces.withColumns({"tests": no, "evidence": no})
     faces = faces.crossJoin(F.broadcast(loose))  # one row
-    yes = lambda c, other: F.coalesce(F.col(c), F.lit(other))
-    expected = yes("expected", True) & F.col("_idle").isNull() & F.col("conflict").isNull()  # hunks that only removed lines have nothing to be gone
-    out = faces.select("sha", expected.alias("expected"), yes("preservation", True).alias("preservation"), (yes("scope", True) & (F.size("_loose") == 0)).alias("scope"), F.concat(F.coalesce("outside", none), F.col("_loose")).alias("outside"), F.coalesce("drift", none).alias("drift"), F.coalesce("conflict", none).alias("conflict"), yes("tests", False).alias("tests"), yes("evidence", False).alias("evidence"))
+    expected = F.col("expected") & (F.size("conflict") == 0)
+    scope = (F.size("outside") == 0) & (F.size("drift") == 0) & (F.size("_loose") == 0)
+    out = faces.select("sha", expected.alias("expected"), "preservation", scope.alias("scope"), F.concat("outside", "_loose").alias("outside"), "drift", "conflict", F.coalesce("tests", no).alias("tests"), F.coalesce("evidence", no).alias("evidence"))
     return verification(out)
 
 
+def _removed(before: DataFrame, planned: DataFrame, after: DataFrame) -> DataFrame:
+    """file, moved, removed of each file that changed: whether it isn't what was planned, and the lines that ``actual_patch``
+    removes. All three tables are dealt by file once."""
+    side = lambda df, n: df.select("path", F.struct("line_no", "text").alias("l"), F.lit(n).alias("side"))
+    each = side(before, 0).union(side(planned, 1)).union(side(after, 2))
+    texts = lambda n, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("l")))), lambda x: x.text).alias(c)
+    held = dealt(each, before.count() + planned.count() + after.count(), "path").groupBy("path").agg(texts(0, "b"), texts(1, "p"), texts(2, "a"))
+    none = [F.size(c) == 0 for c in "bpa"]
+    # a file that the plan deletes may be left
+    moved = F.when(none[1], none[0] & ~none[2]).otherwise(F.col("p") != F.col("a"))
+    kind = dict(before.dtypes)["path"]
+
+    def steps(batches):
+        for x in batches:
+            old, new = x.column(2).to_pylist(), x.column(3).to_pylist()
+            removed = [[t for a, b, _, _ in _steps(o, n) for t in o[a:b]] for o, n in zip(old, new, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(removed, pa.list_(pa.string()))], names=["file", "moved", "removed"])
+
+    return held.where(F.col("b") != F.col("a")).select("path", moved.alias("moved"), "b", "a").mapInArrow(steps, f"file {kind}, moved boolean, removed array<string>")
+
+
 def verification(faces: DataFrame) -> DataFrame:
     """faces (expected, preservation, scope, tests, evidence booleans) with overall VERIFIED, PARTIAL or FAILED."""
     hard = F.col("expected") & F.col("preservation") & F.col("scope")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.operators import batch_search, lifecycle, metrics, search
+from stratalens.operators.scratch import dealt, written
 
 from .registry import query
 from .search_queries import doc_files, table
@@ -89,14 +90,15 @@ def verified_patches(spark, d):
     file outside the plan, 6 without tests, 7 without evidence."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("path"), F.row_number().over(w).alias("line_no"), "l_partkey").select("path", "line_no", F.concat_ws(":", F.col("line_no").cast("string"), F.col("l_partkey").cast("string")).alias("text"))
-    files = lines.groupBy("path").agg(F.count("*").alias("m"), F.min_by("text", "line_no").alias("first"), F.max_by("text", "line_no").alias("last")).withColumn("k", F.col("path") % 8)
-    hunk = lambda c: F.array(F.struct(F.lit("+").alias("tag"), F.col(c).alias("text"))).alias("lines")
-    rolled = files.select(F.col("path").alias("sha"), F.col("path").alias("file"), hunk("first"))
-    kept = files.where("m > 1").select(F.col("path").alias("sha"), F.col("path").alias("file"), hunk("last"))
-    both = lines.join(files.select("path", "m", "k"), "path")
-    after = both.where("(line_no > 1 OR k IN (1, 2)) AND NOT (k = 4 AND line_no = m AND m > 1)").select("path", "line_no", F.when((F.col("k") == 3) & (F.col("line_no") == 2), "edited").otherwise(F.col("text")).alias("text"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    whole = Window.partitionBy("l_orderkey")
+    numbered = dealt(li, li.count(), "l_orderkey").select(F.col("l_orderkey").alias("path"), F.row_number().over(whole.orderBy("l_linenumber", "l_partkey", "l_suppkey")).alias("line_no"), F.count("*").over(whole).alias("m"), "l_partkey")
+    all_lines = written(numbered.select("path", "line_no", "m", (F.col("path") % 8).alias("k"), F.concat_ws(":", F.col("line_no").cast("string"), F.col("l_partkey").cast("string")).alias("text")), "lines")
+    lines, files = all_lines.select("path", "line_no", "text"), all_lines.where("line_no = 1")
+    hunk = F.array(F.struct(F.lit("+").alias("tag"), F.col("text").alias("text"))).alias("lines")
+    rolled = files.select(F.col("path").alias("sha"), F.col("path").alias("file"), hunk)
+    kept = all_lines.where("m > 1 AND line_no = m").select(F.col("path").alias("sha"), F.col("path").alias("file"), hunk)
+    after = all_lines.where("(line_no > 1 OR k IN (1, 2)) AND NOT (k = 4 AND line_no = m AND m > 1)").select("path", "line_no", F.when((F.col("k") == 3) & (F.col("line_no") == 2), "edited").otherwise(F.col("text")).alias("text"))
     status = files.select("path", F.when(F.col("k") == 2, "CONFLICT").otherwise("APPLIED_SANDBOX").alias("status"))
     plan = files.where("k <> 5").select(F.col("path").alias("sha"), F.col("path").alias("file"))
     proof = files.select(F.col("path").alias("sha"), (F.col("k") != 6).alias("tests"), (F.col("k") != 7).alias("evidence"))

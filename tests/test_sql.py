@@ -128,3 +128,7 @@ def test_units_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     rows = [("a", [], "ROLLBACK"), ("b", ["f"], "KEEP"), ("b", ["f", "g"], "ROLLBACK"), ("c", None, "KEEP"), ("d", ["f"], None)]
     got = units.collateral_risk(spark.createDataFrame(rows, "sha string, files array<string>, action string")).collect()
     assert {r.sha: (r.risk, r.shared_files) for r in got} == {"a": (0.0, []), "b": (0.35, ["f"]), "c": (0.2, []), "d": (0.2, [])}
+
+
+def test_verified_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    dealt_by_rows(spark, tmp_path, monkeypatch, "verified_patches")
