@@ -46,10 +46,10 @@ def hit_kind(text: Column, col: Column, term: Column) -> Column:
     before, after = F.substring(text, F.lit(1), col), F.substring(text, col + F.length(term) + 1, F.length(text))
     word = r"[\p{L}\p{N}_$]"
     return (
-        F.when(F.ltrim(text).rlike(r"^(//|\*|/\*|#)"), "comment")
-        .when(before.rlike("""['"`][^'"`]*$""") & after.rlike("""^[^'"`]*['"`]"""), "string")
+        F.when(text.rlike(r"^\p{Zs}*(//|\*|/\*|#)"), "comment")  # any kind of space may stand before it
+        .when(before.rlike("""['"`][^'"`]*\\z""") & after.rlike("""^[^'"`]*['"`]"""), "string")
         .when(has_cjk(term), "ui_text")
-        .when(after.rlike(f"^{word}") | before.rlike(f"{word}$"), "identifier")
+        .when(after.rlike(f"^{word}") | before.rlike(word + r"\z"), "identifier")
         .otherwise("plain")
     )
 
@@ -85,7 +85,7 @@ def group_scores(found: DataFrame, by: list[str]) -> DataFrame:
     m = islands(m, by, ["line_no", "col", "term"], "line_no")
     best = F.max_by(F.struct("w", "line_no"), F.struct(F.col("w"), -F.col("line_no"), -F.col("col")))
     each = m.groupBy(*by, "grp", "term").agg(best.alias("b"), F.count("*").alias("n"), F.collect_set("line_no").alias("lines"))
-    terms = F.collect_list(F.struct("term", "b.w", "b.line_no", "lines")).alias("t")
+    terms = F.array_sort(F.collect_list(F.struct("term", "b.w", "b.line_no", "lines"))).alias("t")  # sums of doubles in one order
     whole = each.groupBy(*by, "grp").agg(F.sum("n").alias("n_hits"), F.min(F.array_min("lines")).alias("line_start"), F.max(F.array_max("lines")).alias("line_end"), terms)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n_hits"), "grp"))
     top = whole.withColumn("rank", rank).where(F.col("rank") <= fixed.GROUPS_PER_FILE)

@@ -132,3 +132,9 @@ def test_units_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
 
 def test_verified_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "verified_patches")
+
+
+def test_scores_of_terms_beside_other_spaces_and_line_ends(spark, tmp_path):
+    docs = "SELECT * FROM (VALUES (1, 's', chr(160) || '# kangaroos'), (2, 's', chr(12288) || '// menteneux'), (3, 's', 'é' || chr(8232) || 'kangaroos'), (4, 's', ' * kangaroos'), (5, 's', chr(9) || '# kangaroos')) t(doc_id, source, text)"
+    got = same(spark, tmp_path, "task_locate", documents=docs, benchmark=ITEMS)
+    assert {r[1]: r[4] for r in got if r[0] == 1}["docs/s/1.md"] == 0.765
