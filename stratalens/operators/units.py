@@ -135,15 +135,16 @@ def collateral_risk(units: DataFrame, calls: DataFrame | None = None) -> DataFra
     """sha, risk, shared_files: 0.35 for a file on both sides, 0.15 for each kept file's call of a rolled-back symbol, 0.2 if
     nothing is rolled back; at most 1, rounded to three places."""
     rows = units.agg(F.sum(F.greatest(F.lit(1), *[F.size(c) for c in ("files", *(("symbols",) if calls is not None else ()))]))).first()[0] or 0
-    own = dealt(units, rows, "sha")  # dealt once; what follows groups and joins where the rows lie
-    is_problem = F.coalesce(F.col("action") == "ROLLBACK", F.lit(False))
-    files = own.select("sha", "action", F.explode_outer("files").alias("file"))
-    sides = files.groupBy("sha", "file").agg(F.bool_or(is_problem).alias("_problem"), F.count_if(F.col("action") == "KEEP").alias("_kept"), F.coalesce(F.min("action") < F.max("action"), F.lit(False)).alias("_both"))
-    out = sides.groupBy("sha").agg(F.bool_or("_problem").alias("_problem"), F.array_sort(F.collect_list(F.when(F.col("_both"), F.col("file")))).alias("shared_files"))
+    # files and symbols are dealt one a row, and the action as a flag: a scan's rows wait in memory to be dealt. What follows
+    # groups and joins where the rows lie
+    each = units.select("sha", (F.col("action") == "ROLLBACK").alias("_back"), F.explode_outer("files").alias("file"))
+    sides = dealt(each, rows, "sha").groupBy("sha", "file").agg(F.bool_or("_back").alias("_problem"), F.bool_or(~F.col("_back")).alias("_kept"))
+    both = F.col("_problem") & F.col("_kept") & F.col("sha").isNotNull()
+    out = sides.groupBy("sha").agg(F.coalesce(F.bool_or("_problem"), F.lit(False)).alias("_problem"), F.array_sort(F.collect_list(F.when(both, F.col("file")))).alias("shared_files"))
     if calls is not None:
         called = written(calls.select("callee_short", "caller_file").distinct(), "called")
-        names = own.where("action = 'ROLLBACK'").select("sha", F.explode("symbols").alias("symbol")).distinct().select("sha", "symbol", F.substring_index(short_name("symbol"), ".", 1).alias("callee_short"))
-        kept = sides.where("_kept > 0").select("sha", F.col("file").alias("caller_file"))
+        names = dealt(units.where("action = 'ROLLBACK'").select("sha", F.explode("symbols").alias("symbol")), rows, "sha").distinct().select("sha", "symbol", F.substring_index(short_name("symbol"), ".", 1).alias("callee_short"))
+        kept = sides.where("_kept").select("sha", F.col("file").alias("caller_file"))
         # a commit's symbols meet its own files first: a name's callers are far more
         hits = names.join(kept, "sha").join(called, ["callee_short", "caller_file"], "left_semi").groupBy("sha").agg(F.count_distinct("symbol").alias("n_calls"))
         out = out.join(hits, "sha", "left")

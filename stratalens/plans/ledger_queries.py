@@ -169,7 +169,8 @@ s AS (SELECT DISTINCT sha FROM (SELECT sha, file FROM x GROUP BY 1, 2 HAVING cou
 h AS (SELECT r.sha, count(DISTINCT r.sym) AS n FROM x r JOIN calls c ON c.callee = r.sym JOIN x k ON k.sha = r.sha AND k.file = c.file AND k.a = 'KEEP' WHERE r.a = 'ROLLBACK' GROUP BY 1)
 SELECT b.sha, round(least(1.0::DOUBLE, CASE WHEN b.sha IN (SELECT sha FROM s) THEN 0.35::DOUBLE ELSE 0 END + 0.15::DOUBLE * coalesce(h.n, 0) + CASE WHEN b.n = 0 THEN 0.2::DOUBLE ELSE 0 END), 3) AS risk FROM b LEFT JOIN h ON h.sha = b.sha""")
 def collateral_callers(spark, d):
-    u = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.array(text("l_suppkey")).alias("files"), F.array(F.concat(F.lit("f::s"), F.col("l_partkey") % 50)).alias("symbols"), F.when(F.col("l_returnflag") == "R", "ROLLBACK").otherwise("KEEP").alias("action"))
+    # a null supplier on both sides is a shared file here, as in the SQL, and no call's file
+    u = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), F.array(F.coalesce(text("l_suppkey"), F.lit(""))).alias("files"), F.array(F.concat(F.lit("f::s"), F.col("l_partkey") % 50)).alias("symbols"), F.when(F.col("l_returnflag") == "R", "ROLLBACK").otherwise("KEEP").alias("action"))
     calls = table(spark, d, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 50).alias("callee_short"), text("p_size").alias("caller_file"))
     return units.collateral_risk(u, calls).select("sha", "risk")
 

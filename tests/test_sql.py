@@ -130,6 +130,18 @@ def test_units_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     assert {r.sha: (r.risk, r.shared_files) for r in got} == {"a": (0.0, []), "b": (0.35, ["f"]), "c": (0.2, []), "d": (0.2, [])}
 
 
+def test_files_are_dealt_one_a_row_and_units_without_commit_share_none(spark, tmp_path, monkeypatch):
+    from stratalens.operators import scratch
+
+    monkeypatch.setattr(scratch, "PART_ROWS", 100)
+    lines = ORDERED["lineitem"].replace("i // 4 AS", "CASE WHEN i % 16 < 8 THEN i // 4 END AS").replace("1 + i * 11 % 40 AS", "CASE WHEN i % 5 > 1 THEN 1 + i % 2 END AS")
+    for name in ("collateral_risk", "collateral_callers"):
+        got = same(spark, tmp_path, name, **ORDERED | {"lineitem": lines})
+        assert [tuple(r)[1:] for r in got if r[0] is None] == [(0.0, "")[: len(got[0]) - 1]], name
+        plan = entry.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("RepartitionByExpression") < plan.index("Generate"), name
+
+
 def test_verified_files_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
     dealt_by_rows(spark, tmp_path, monkeypatch, "verified_patches")
 
